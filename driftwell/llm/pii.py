@@ -20,8 +20,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+\b"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+SSN = r"[0-9]++(?:-[0-9]++)++"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
 #: Words within ``CONTEXT_CHARS`` before or after a span that make the kind likelier, and those that make it less likely.
@@ -70,6 +70,8 @@ def _valid(kind: str, m: Column) -> Column:
         return n.between(10, 15)
     if kind == "iban":
         return mod97(m)
+    if kind == "ssn":
+        return m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     return F.lit(True)
 
 
@@ -88,6 +90,20 @@ def _proposed(text: Column, kind: str, pattern: str) -> Column:
     return F.filter(F.aggregate(pairs, start.cast(shape), step)["spans"], lambda x: _valid(kind, x["text"]))
 
 
+def _scorer(order: int, kind: str):
+    """A function that gives a proposed span its kind and its score from the words around it."""
+    word = lambda names: rf"(?:^|[^a-z0-9])(?:{names})(?:[^a-z0-9]|$)"
+
+    def scored(x):
+        lo = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
+        near = F.lower(F.concat(F.substr(F.col("_t"), lo + 1, x["start"] - lo), F.lit(" "), F.substr(F.col("_t"), x["end"] + 1, F.lit(CONTEXT_CHARS))))
+        score = F.lit(START_SCORE[kind]) + F.when(near.rlike(word(CONTEXT[kind])), 0.2).otherwise(0.0) - F.when(near.rlike(word(AGAINST)), 0.2).otherwise(0.0)
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+        return F.struct(x["start"].alias("start"), F.lit(order).alias("kind_order"), F.lit(kind).alias("kind"), x["end"].alias("end"), score.alias("score"), x["text"].alias("text"))
+
+    return scored
+
+
 #: A cheap test that every text with a match passes; texts that fail it skip the scan for places.
 GATES = {
     "email": lambda t: t.contains("@"), "phone": lambda t: t.contains("+"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
@@ -109,15 +125,7 @@ def find_spans(docs: DataFrame, kinds: tuple = BASE + ADDED, text_col: str = "te
         raw = raw.withColumn(f"_{k}", F.when(GATES[k](F.col("_t")), _proposed(F.col("_t"), k, PATTERNS[k])).otherwise(none))
     parts = []
     for i, k in enumerate(kinds):
-
-        def scored(x, i=i, k=k):
-            lo = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-            near = F.lower(F.concat(F.substr(F.col("_t"), lo + 1, x["start"] - lo), F.lit(" "), F.substr(F.col("_t"), x["end"] + 1, F.lit(CONTEXT_CHARS))))
-            score = F.lit(START_SCORE[k]) + F.when(near.rlike(rf"\b(?:{CONTEXT[k]})\b"), 0.2).otherwise(0.0) - F.when(near.rlike(rf"\b(?:{AGAINST})\b"), 0.2).otherwise(0.0)
-            score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
-            return F.struct(x["start"].alias("start"), F.lit(i).alias("kind_order"), F.lit(k).alias("kind"), x["end"].alias("end"), score.alias("score"), x["text"].alias("text"))
-
-        part = F.transform(F.col(f"_{k}"), scored)
+        part = F.transform(F.col(f"_{k}"), _scorer(i, k))
         parts.append((part if k in BASE else F.filter(part, lambda x: x["score"] >= keep_score)).cast(spans))
     return raw.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_t", *[f"_{k}" for k in kinds])
 
@@ -149,3 +157,38 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.withColumn(text_col, clean).select(*docs.columns)
 
 
+
+
+def _sql_spans(order: int, kind: str, pattern: str, valid: str) -> str:
+    return rf"""
+  SELECT k, {order} AS ord, '{kind}' AS kind, s, s + length(m) AS e, t FROM (
+    SELECT k, t, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS g, reverse(regexp_replace(ms[i], '[^0-9]', '', 'g')) AS r,
+           coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT k, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM d)))
+  WHERE {valid}"""
+
+
+_LUHN = "length(g) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(r, i, 1)::INT WHEN substr(r, i, 1)::INT > 4 THEN substr(r, i, 1)::INT * 2 - 9 ELSE substr(r, i, 1)::INT * 2 END)) % 10 = 0"
+_MOD97 = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)), lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1"
+_SSN = (
+    "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND regexp_matches(n, '(?:^|[^a-z0-9])(?:ssn|social|security)(?:[^a-z0-9]|$)') "
+    "AND NOT regexp_matches(n, '(?:^|[^a-z0-9])(?:version|example|sample|test|isbn|order)(?:[^a-z0-9]|$)')"
+).replace("(n,", "(lower(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(t, s + length(m) + 1, 40)),")
+ORACLE = (
+    "WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), f AS ("
+    + " UNION ALL ".join([
+        _sql_spans(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        _sql_spans(1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255))"),
+        _sql_spans(2, "card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
+        _sql_spans(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(g) BETWEEN 10 AND 15"),
+        _sql_spans(4, "iban", IBAN, _MOD97),
+        _sql_spans(5, "ssn", r"[0-9]+(?:-[0-9]+)+", _SSN),
+    ])
+    + r""")
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN (SELECT k, count(*) FILTER (ord = 0) AS n_email, count(*) FILTER (ord = 1) AS n_ip, count(*) FILTER (ord = 2) AS n_card, count(*) FILTER (ord = 3) AS n_phone,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans
+  FROM f GROUP BY k) USING (k)
+"""
+)

@@ -20,4 +20,4 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {"op4_mix": op4_mix, "op10_pii": op10_pii}
-ORACLES = {"op4_mix": mixing.ORACLE}
+ORACLES = {"op4_mix": mixing.ORACLE, "op10_pii": pii.ORACLE}
