@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import mixing, pii
+from driftwell.llm import jaccard_join, mixing, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix(spark, sf_dir):
     return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_jaccard(spark, sf_dir):
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_mix": op4_mix, "op10_pii": op10_pii}
-ORACLES = {"op4_mix": mixing.ORACLE, "op10_pii": pii.ORACLE}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_mix": op4_mix, "op7_jaccard": op7_jaccard, "op10_pii": op10_pii}
+ORACLES = {"op4_mix": mixing.ORACLE, "op7_jaccard": jaccard_join.ORACLE, "op10_pii": pii.ORACLE}

@@ -29,7 +29,9 @@ from driftwell.llm.tokens import mix, sub_batches, words
 SLOTS = 1 << 18
 DIM = 8
 MAX_PER_CLASS = 1200
-WINDOW = 32
+WINDOW = 4
+GAIN = 10.0
+MIN_DOCS = 3
 NGRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.7
 _VALUE = np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64) | np.uint64(1)
@@ -75,53 +77,61 @@ def _bags(texts: list) -> list[list[np.ndarray]]:
     return out
 
 
-def train(texts: list, toxic: list, epochs: int = 30, rate: float = 0.5, seed: int = 3) -> tuple[np.ndarray, float]:
-    """(logit of each slot, bias). Each epoch picks every document's most toxic window under the model so far, then takes
-    gradient steps on embeddings and softmax together; the first two epochs take a document's whole bag."""
+def train(texts: list, toxic: list, epochs: int = 18, rate: float = 0.3, seed: int = 3) -> tuple[np.ndarray, float]:
+    """(logit of each slot, bias).
+
+    Embeddings start on the softmax's axis at the smoothed log-odds of a slot's document counts, slots of fewer than
+    ``MIN_DOCS`` documents at zero and fixed. Each epoch picks every document's most toxic window under the model so
+    far, then takes adaptive gradient steps on embeddings and softmax together.
+    """
     y = np.asarray(toxic, np.float64)
     share = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
-    bias0 = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
-        return np.zeros(SLOTS, np.float32), bias0
+        return np.zeros(SLOTS, np.float32), float(np.log(share / (1 - share)))
     bags = _bags(texts)
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.05, (SLOTS, DIM)).astype(np.float32)
-    out, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    seen = np.zeros((2, SLOTS), np.float32)
+    for b, label in zip(bags, y, strict=True):
+        seen[int(label), np.unique(np.concatenate(b))] += 1
+    n0, n1 = (y == 0).sum(), (y == 1).sum()
+    odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+    live = seen.sum(0) >= MIN_DOCS
+    axis = np.full(DIM, DIM**-0.5, np.float32)
+    emb = (np.clip(odds, -3, 4) * live)[:, None].astype(np.float32) * axis
+    emb += rng.normal(0, 0.02, (SLOTS, DIM)).astype(np.float32) * live[:, None]
+    out = np.stack([-axis / 2, axis / 2], 1)
+    bias = np.array([1.5, -1.5], np.float32)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    flat = np.concatenate([np.concatenate(b) for b in bags]) if bags else np.zeros(0, np.int32)
-    sizes = [len(p) for b in bags for p in b]
-    edges = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate([p for b in bags for p in b])
+    edges = np.concatenate([[0], np.cumsum([len(p) for b in bags for p in b])])
     doc_first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    squares = np.full(SLOTS, 1e-3, np.float32)
-    for epoch in range(epochs):
-        if epoch >= 2:
-            s = (emb @ (out[:, 1] - out[:, 0]))[flat]
-            total = np.concatenate([[0.0], np.cumsum(s, dtype=np.float64)])
-            mean = (total[edges[1:]] - total[edges[:-1]]) / np.maximum(np.diff(edges), 1)
-            pick = [lo + int(np.argmax(mean[lo:hi])) for lo, hi in zip(doc_first[:-1], doc_first[1:], strict=True)]
-            chosen = [flat[edges[p] : edges[p + 1]] for p in pick]
-        else:
-            chosen = [flat[edges[lo] : edges[hi]] for lo, hi in zip(doc_first[:-1], doc_first[1:], strict=True)]
+    squares, out_squares, bias_squares = np.full(SLOTS, 1e-8, np.float32), np.full_like(out, 1e-2), np.full(2, 1e-2, np.float32)
+    for _ in range(epochs):
+        s = (emb @ (out[:, 1] - out[:, 0]))[flat]
+        total = np.concatenate([[0.0], np.cumsum(s, dtype=np.float64)])
+        mean = (total[edges[1:]] - total[edges[:-1]]) / np.maximum(np.diff(edges), 1)
+        chosen = [flat[edges[p] : edges[p + 1]] for p in (lo + int(np.argmax(mean[lo:hi])) for lo, hi in zip(doc_first[:-1], doc_first[1:], strict=True))]
         for block in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             ids = [chosen[k] for k in block]
-            n = np.array([max(1, len(i)) for i in ids])
-            bag = np.stack([emb[i].sum(0) / m for i, m in zip(ids, n, strict=True)])
+            n = np.array([max(1, len(i)) for i in ids], np.float32)
+            bag = GAIN * np.stack([emb[i].sum(0) for i in ids]) / n[:, None]
             logit = bag @ out + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             grad = p - np.stack([1 - y[block], y[block]], 1)
             grad = (grad * weight[block, None] / len(block)).astype(np.float32)
-            back = grad @ out.T
-            out -= rate * bag.T @ grad
-            bias -= rate * grad.sum(0)
-            slot = np.concatenate(ids)
-            many = np.repeat(back / n[:, None].astype(np.float32), [len(i) for i in ids], axis=0)
-            uniq, inverse = np.unique(slot, return_inverse=True)
-            g = np.zeros((len(uniq), DIM), np.float32)
-            np.add.at(g, inverse, many)
-            squares[uniq] += (g * g).mean(1) * 1e4
-            emb[uniq] -= rate * 20 * g / np.sqrt(squares[uniq])[:, None]
-    return (emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+            back = GAIN * (grad @ out.T) / n[:, None]
+            g_out, g_bias = bag.T @ grad, grad.sum(0)
+            out_squares += g_out**2
+            bias_squares += g_bias**2
+            out -= 0.1 * rate * g_out / np.sqrt(out_squares)
+            bias -= rate * g_bias / np.sqrt(bias_squares)
+            uniq, inverse = np.unique(np.concatenate(ids), return_inverse=True)
+            many = np.repeat(back, [len(i) for i in ids], axis=0)
+            g = np.stack([np.bincount(inverse, many[:, d], len(uniq)) for d in range(DIM)], 1).astype(np.float32) * live[uniq, None]
+            squares[uniq] += (g * g).sum(1)
+            emb[uniq] -= rate * g / np.sqrt(squares[uniq])[:, None]
+    return (GAIN * (emb @ (out[:, 1] - out[:, 0]))).astype(np.float32), float(bias[1] - bias[0])
 
 
 def window_logits(run: list[bytes], slots: np.ndarray, bias: float) -> np.ndarray:
