@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import jaccard_join, mixing, pii, toxicity
+from driftwell.llm import jaccard_join, mixing, pii, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,13 @@ def op7_jaccard(spark, sf_dir):
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix(spark, sf_dir):
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), digest_only=True)
+
+
 def op10_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_mix": op4_mix, "op7_jaccard": op7_jaccard, "op10_pii": op10_pii}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_mix": op4_mix, "op7_jaccard": op7_jaccard, "op8_suffix": op8_suffix, "op10_pii": op10_pii}
 ORACLES = {"op4_mix": mixing.ORACLE, "op7_jaccard": jaccard_join.ORACLE, "op10_pii": pii.ORACLE}
