@@ -279,6 +279,21 @@ def components(docs: DataFrame, n: int = 5, **cols) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
+    """One document of each component, that of the smallest doc_id; columns as they were.
+
+    Documents without shingles or without an id link with nothing and stay. Of rows that repeat a doc_id the smallest stays.
+    """
+    found = cut(components(docs, n))
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 d AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import jaccard_join, mixing, pii, suffix_dedup, toxicity
+from driftwell.llm import decontaminate, jaccard_join, mixing, pii, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_mix(spark, sf_dir):
     return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard(spark, sf_dir):
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_mix": op4_mix, "op7_jaccard": op7_jaccard, "op8_suffix": op8_suffix, "op10_pii": op10_pii}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_mix": op4_mix, "op6_decontaminate": op6_decontaminate, "op7_jaccard": op7_jaccard, "op8_suffix": op8_suffix, "op10_pii": op10_pii}
 ORACLES = {"op4_mix": mixing.ORACLE, "op7_jaccard": jaccard_join.ORACLE, "op10_pii": pii.ORACLE}

@@ -186,3 +186,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, learn)
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score under THRESHOLD, columns as they were."""
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    return score(docs.select(*docs.columns), model).where(F.col("score") < THRESHOLD).select(*docs.columns)
