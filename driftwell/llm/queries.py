@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import decontaminate, html_content, jaccard_join, mixing, pii, preferences, suffix_dedup, token_counts, toxicity
+from driftwell.llm import decontaminate, html_content, jaccard_join, mixing, nearest, pii, preferences, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_html(spark, sf_dir):
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_nearest(spark, sf_dir):
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mix(spark, sf_dir):
     return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -49,5 +53,5 @@ def op10_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op4_mix": op4_mix, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_jaccard": op7_jaccard, "op8_suffix": op8_suffix, "op9_preferences": op9_preferences, "op10_pii": op10_pii}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_nearest": op3_nearest, "op4_mix": op4_mix, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_jaccard": op7_jaccard, "op8_suffix": op8_suffix, "op9_preferences": op9_preferences, "op10_pii": op10_pii}
 ORACLES = {"op4_mix": mixing.ORACLE, "op7_jaccard": jaccard_join.ORACLE, "op9_preferences": preferences.ORACLE, "op10_pii": pii.ORACLE}
