@@ -28,7 +28,7 @@ from driftwell.llm.tokens import mix, sub_batches, words
 
 SLOTS = 1 << 18
 DIM = 8
-MAX_PER_CLASS = 1200
+MAX_PER_CLASS = 700
 WINDOW = 4
 GAIN = 10.0
 MIN_DOCS = 3
@@ -67,7 +67,7 @@ def features(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _bags(texts: list) -> list[list[np.ndarray]]:
     """For every text its windows, each the slots of its features."""
     out = []
-    for _, run in sub_batches(texts):
+    for _, run in sub_batches(texts, 300_000):
         slot, at, first = features(run)
         order = np.argsort(at, kind="stable")
         edges = np.searchsorted(at[order], np.arange(first[-1] + 1))
@@ -104,12 +104,13 @@ def train(texts: list, toxic: list, epochs: int = 18, rate: float = 0.3, seed: i
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     flat = np.concatenate([p for b in bags for p in b])
     edges = np.concatenate([[0], np.cumsum([len(p) for b in bags for p in b])])
+    width = np.diff(edges)
     doc_first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    del bags
     squares, out_squares, bias_squares = np.full(SLOTS, 1e-8, np.float32), np.full_like(out, 1e-2), np.full(2, 1e-2, np.float32)
     for _ in range(epochs):
-        s = (emb @ (out[:, 1] - out[:, 0]))[flat]
-        total = np.concatenate([[0.0], np.cumsum(s, dtype=np.float64)])
-        mean = (total[edges[1:]] - total[edges[:-1]]) / np.maximum(np.diff(edges), 1)
+        s = np.append((emb @ (out[:, 1] - out[:, 0]))[flat], np.float32(0))
+        mean = np.where(width > 0, np.add.reduceat(s, edges[:-1]) / np.maximum(width, 1), 0)
         chosen = [flat[edges[p] : edges[p + 1]] for p in (lo + int(np.argmax(mean[lo:hi])) for lo, hi in zip(doc_first[:-1], doc_first[1:], strict=True))]
         for block in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             ids = [chosen[k] for k in block]
