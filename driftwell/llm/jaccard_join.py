@@ -13,11 +13,12 @@ How it spreads:
 2. How common a shingle is comes from a count over all documents, folded to a table of fixed size (2^24 slots of one
    byte, the largest log2 count in the slot). Any fixed order of shingles keeps the join exact; this one puts common
    shingles last, so shared passages are long lists and never merged.
-3. Short lists are dealt by shingle. Lists of up to ``SMALL_LIST`` classes give their pairs; a longer list links its
-   classes to one of them only, in this round.
-4. Probed pairs become links and components. Long lists whose classes are still in different components then give the
-   pairs between different components, by an equi-join on the shingle (split by AQE where a shingle is hot). Classes
-   that are in one component already need no further link, so a group of near copies costs one probe each.
+3. Short lists are dealt by shingle. Lists of up to ``SMALL_LIST`` classes give their pairs, which are counted, and those
+   with enough common lists are probed; a longer list pairs its classes with one of them only, in this round.
+4. Probed pairs become links and components. Long lists whose classes are still in different components form families,
+   whose members are compared block by block inside tasks: short inverted lists are merged, long ones probed, and only
+   pairs of different components count. Classes that are in one component already need no further link, so a group of
+   near copies costs one probe each, and no pair of a group becomes a row.
 
 Defined cases: null, empty or white-space texts have no shingles and link with nothing (component: their own id); fewer
 than five words make one shingle; a null doc_id takes no part in links and has a null component; rows that repeat a
@@ -40,7 +41,9 @@ from driftwell.operators.graph import connected_components, cut
 PERCENT = 75
 TOKEN_BITS = 40
 LEVEL_BITS = 24
-SMALL_LIST = 24
+SMALL_LIST = 4
+BLOCK = 512
+LONG_LIST = 64
 FLUSH = 3_000_000
 _U = np.uint64
 
@@ -69,7 +72,7 @@ def shingle_sets(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
                     c = _class_of(s) if len(s) and known[len(cls)] else None
                     cls.append(c)
                     sizes.append(len(s))
-                    packed.append(pack_sorted(s >> _U(64 - TOKEN_BITS - 8)) if c is not None and c not in seen else None)
+                    packed.append(pack_sorted(s >> _U(64 - TOKEN_BITS)) if c is not None and c not in seen else None)
                     seen.add(c)
             yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "class", "n", "shingles"])
 
@@ -94,7 +97,7 @@ def _levels(sets: DataFrame) -> np.ndarray:
 
         for b in batches:
             for x in b.column(0).to_pylist():
-                held.append(unpack_sorted(x) >> _U(8))
+                held.append(unpack_sorted(x))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield flush()
@@ -130,31 +133,31 @@ def _levels(sets: DataFrame) -> np.ndarray:
 
 
 def _short_lists(sets: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, members array of (class, n)) for every shingle in the short lists of two classes or more."""
+    """(token, members array of (class, n, last rank of its short lists)) for every shingle in the short lists of two classes or more."""
     spark = sets.sparkSession
     nb, table = _buckets(spark), spark.sparkContext.broadcast(levels)
 
     def send(batches):
-        tokens, owner, classes, sizes, held = [], [], [], [], 0
+        tokens, owner, classes, sizes, lasts, held = [], [], [], [], [], 0
 
         def flush():
             t, o = np.concatenate(tokens), np.concatenate(owner)
             order = np.argsort(t, kind="stable")
             t, o = t[order], o[order]
             edges = bucket_edges(t, nb, TOKEN_BITS)
-            c, s = np.array(classes, np.int64), np.array(sizes, np.int64)
+            c, s, w = np.array(classes, np.int64), np.array(sizes, np.int64), np.array(lasts, np.int64)
             rows = []
             for k in range(nb):
                 lo, hi = edges[k], edges[k + 1]
                 if hi > lo:
                     mine, local = np.unique(o[lo:hi], return_inverse=True)
-                    rows.append((k, pack_sorted(t[lo:hi]), pack_small(local), c[mine].tobytes(), pack_small(s[mine])))
+                    rows.append((k, pack_sorted(t[lo:hi]), pack_small(local), c[mine].tobytes(), pack_small(s[mine]), w[mine].tobytes()))
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]], names=["bucket", "tokens", "owner", "classes", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]], names=["bucket", "tokens", "owner", "classes", "sizes", "lasts"])
 
         for b in batches:
             for cls, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = unpack_sorted(x) >> _U(8)
+                s = unpack_sorted(x)
                 short = len(s) - -(-PERCENT * len(s) // 100) + 1
                 rank = (table.value[(s >> _U(TOKEN_BITS - LEVEL_BITS)).astype(np.int64)].astype(_U) << _U(TOKEN_BITS)) | s
                 rank = np.sort(rank)[:short] if short < len(s) else rank
@@ -162,10 +165,11 @@ def _short_lists(sets: DataFrame, levels: np.ndarray) -> DataFrame:
                 owner.append(np.full(len(tokens[-1]), len(classes)))
                 classes.append(cls)
                 sizes.append(len(s))
+                lasts.append(int(rank.max()))
                 held += len(tokens[-1])
                 if held >= FLUSH:
                     yield flush()
-                    tokens, owner, classes, sizes, held = [], [], [], [], 0
+                    tokens, owner, classes, sizes, lasts, held = [], [], [], [], [], 0
         if classes:
             yield flush()
 
@@ -174,14 +178,14 @@ def _short_lists(sets: DataFrame, levels: np.ndarray) -> DataFrame:
         for b in batches:
             for k, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 local = unpack_small(rest[1])
-                by.setdefault(k, []).append((unpack_sorted(rest[0]), np.frombuffer(rest[2], np.int64)[local], unpack_small(rest[3])[local]))
+                by.setdefault(k, []).append((unpack_sorted(rest[0]), np.frombuffer(rest[2], np.int64)[local], unpack_small(rest[3])[local], np.frombuffer(rest[4], np.int64)[local]))
         for parts in by.values():
-            t, c, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            t, c, s, w = (np.concatenate([p[i] for p in parts]) for i in range(4))
             order = np.lexsort((c, t))  # the merge of sorted lists: equal shingles stand together
-            t, c, s = t[order], c[order], s[order]
+            t, c, s, w = t[order], c[order], s[order], w[order]
             fresh = np.ones(len(t), bool)
             fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c, s = t[fresh], c[fresh], s[fresh]
+            t, c, s, w = t[fresh], c[fresh], s[fresh], w[fresh]
             starts = np.flatnonzero(np.diff(t, prepend=~t[:1]) != 0)
             ends = np.append(starts[1:], len(t))
             keep = np.flatnonzero(ends - starts >= 2)
@@ -190,11 +194,11 @@ def _short_lists(sets: DataFrame, levels: np.ndarray) -> DataFrame:
                     lens = ends[block] - starts[block]
                     take = np.repeat(starts[block], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
                     edges = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
-                    one = pa.StructArray.from_arrays([pa.array(c[take]), pa.array(s[take])], names=["class", "n"])
+                    one = pa.StructArray.from_arrays([pa.array(c[take]), pa.array(s[take]), pa.array(w[take])], names=["class", "n", "last"])
                     yield pa.RecordBatch.from_arrays([pa.array(t[starts[block]].astype(np.int64)), pa.ListArray.from_arrays(edges, one)], names=["token", "members"])
 
-    sent = sets.select("class", "shingles").mapInArrow(send, "bucket int, tokens binary, owner binary, classes binary, sizes binary")
-    return sent.repartition(nb, "bucket").mapInArrow(merge, "token long, members array<struct<class:long,n:long>>")
+    sent = sets.select("class", "shingles").mapInArrow(send, "bucket int, tokens binary, owner binary, classes binary, sizes binary, lasts binary")
+    return sent.repartition(nb, "bucket").mapInArrow(merge, "token long, members array<struct<class:long,n:long,last:long>>")
 
 
 def _near_in_size(a: str, b: str) -> str:
@@ -228,34 +232,150 @@ def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _promising(small: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes worth a probe.
+
+    From the merge of short lists: pairs whose common short lists are as many as the overlap asks for. Of the two classes,
+    the one whose short lists end at the lower rank shares nothing more before that rank, and n - short more after it at
+    most; a pair may also share lists that were too long to merge, as many as the fewer of the two are in. Classes of
+    longer lists are each paired with the class of middle size of its list.
+    """
+    x = small.select("members", F.explode("members").alias("l")).select("l", F.explode("members").alias("r")).where("l.class < r.class").where(_near_in_size("l.n", "r.n"))
+    x = x.groupBy(F.col("l.class").alias("a"), F.col("r.class").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"), F.col("l.last").alias("wa"), F.col("r.last").alias("wb")).agg(F.count("*").alias("shared"))
+    more = cut(long.select(F.explode("members.class").alias("class")).groupBy("class").agg(F.count("*").alias("k")))
+    x = x.join(more.select(F.col("class").alias("a"), F.col("k").alias("ka")), "a", "left").join(more.select(F.col("class").alias("b"), F.col("k").alias("kb")), "b", "left")
+    after = lambda n: f"((({PERCENT} * {n} + 99) div 100) - 1)"
+    rest = f"case when wa < wb then {after('na')} when wb < wa then {after('nb')} else greatest({after('na')}, {after('nb')}) end"
+    need = f"({PERCENT} * (na + nb) + {100 + PERCENT - 1}) div {100 + PERCENT}"
+    x = x.where(f"shared + least(coalesce(ka, 0), coalesce(kb, 0)) + {rest} >= {need}").select("a", "b")
+    by_size = long.withColumn("members", F.array_sort(F.transform("members", lambda m: F.struct(m["n"].alias("n"), m["class"].alias("class")))))
+    star = by_size.select(F.element_at("members", (F.size("members") / 2).cast("int")).alias("l"), F.explode("members").alias("r")).where("l.class <> r.class")
+    star = star.where(_near_in_size("l.n", "r.n")).select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
+    return x.unionByName(star).distinct()
+
+
+def _wanted(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of the given classes, one row a class; a bitmap of fixed size spares most others the join."""
+    spark = sets.sparkSession
+
+    def slots(batches):
+        for b in batches:
+            got = np.unique((b.column(0).to_numpy(zero_copy_only=False).view(_U) >> _U(64 - LEVEL_BITS)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([pack_sorted(got.astype(_U))], pa.binary())], names=["slots"])
+
+    named = cut(classes.distinct())
+    bits = np.zeros(1 << LEVEL_BITS, bool)
+    for r in named.coalesce(_buckets(spark)).mapInArrow(slots, "slots binary").toLocalIterator():
+        bits[unpack_sorted(r.slots).astype(np.int64)] = True
+    packed = spark.sparkContext.broadcast(np.packbits(bits))
+
+    def may_be_named(batches):
+        bits = np.unpackbits(packed.value).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(bits[(b.column(0).to_numpy(zero_copy_only=False).view(_U) >> _U(64 - LEVEL_BITS)).astype(np.int64)]))
+
+    few = sets.mapInArrow(may_be_named, sets.schema).join(named, "class", "left_semi")
+    return few.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """|x[i] & y[j]| for all i and j, each set sorted: short inverted lists are merged, long ones probed as rows of bits."""
+    tx, ty = np.concatenate(x), np.concatenate(y)
+    ox, oy = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    tokens = np.intersect1d(tx, ty)
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not len(tokens):
+        return out
+    parts = []
+    for t, o in ((tx, ox), (ty, oy)):
+        at = np.searchsorted(tokens, t)
+        hit = tokens[np.minimum(at, len(tokens) - 1)] == t
+        at, o = at[hit], o[hit]
+        order = np.argsort(at, kind="stable")
+        parts.append((at[order], o[order], np.bincount(at, minlength=len(tokens))))
+    (ax, px, nx), (ay, py, ny) = parts
+    long = nx * ny > LONG_LIST
+    fx, fy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+    short = np.flatnonzero(~long)
+    many = nx[short] * ny[short]
+    token = np.repeat(short, many)
+    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    np.add.at(out, (px[fx[token] + inner // ny[token]], py[fy[token] + inner % ny[token]]), 1)
+    place = np.cumsum(long) - 1
+    for lo in range(0, int(long.sum()), 4096):
+        mx, my = (np.zeros((len(s), 4096), np.float32) for s in (x, y))
+        for a, p, m in ((ax, px, mx), (ay, py, my)):
+            mine = long[a] & (place[a] >= lo) & (place[a] < lo + 4096)
+            m[p[mine], place[a[mine]] - lo] = 1
+        out += np.rint(mx @ my.T).astype(np.int64)
+    return out
+
+
+def _across(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different components among the (token, class, component) of ``member``.
+
+    Classes that share lists, directly or through others, form a family; a family is cut into blocks of about ``BLOCK``
+    classes, and every pair of blocks is one unit of work. Of the links between two components one for each unit stays.
+    """
+    nb = _buckets(member.sparkSession)
+    least = member.groupBy("token").agg(F.min("class").alias("least"))
+    family = connected_components(member.join(least, "token").select("least", "class"), "least", "class")
+    own = family.select(F.col("node").alias("class"), F.col("component").alias("family"))
+    sizes = own.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = member.select("class", "component").distinct().join(own, "class").join(sizes, "family").join(sets, "class")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "class", "component", "shingles")
+
+    def work(key, group):
+        lo, hi = key[1:]
+        sides = []
+        for want in (lo, hi):
+            part = [g for g in group if g[0] == want]
+            sides.append((np.array([g[1] for g in part], np.int64), np.array([g[2] for g in part], np.int64), [unpack_sorted(g[3]) for g in part]))
+        (ca, ka, xa), (cb, kb, xb) = sides
+        if not len(ca) or not len(cb) or len(np.unique(np.concatenate([ka, kb]))) < 2:
+            return None
+        both = overlaps(xa, xb)
+        total = np.array([len(s) for s in xa])[:, None] + np.array([len(s) for s in xb])[None, :]
+        i, j = np.nonzero((100 * both >= PERCENT * (total - both)) & (ka[:, None] != kb[None, :]))
+        _, one = np.unique(np.stack([np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])]), axis=1, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(ca[i[one]]), pa.array(cb[j[one]])], names=["a", "b"])
+
+    def run(batches):
+        key, group = None, []
+        for b in batches:
+            for *k, mine, cls, component, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != key:
+                    out = work(key, group) if group else None
+                    if out is not None:
+                        yield out
+                    key, group = k, []
+                group.append((mine, cls, component, x))
+        out = work(key, group) if group else None
+        if out is not None:
+            yield out
+
+    dealt = rows.repartition(nb, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def class_links(docs: DataFrame, n: int = 5, **cols) -> tuple[DataFrame, DataFrame]:
     """(documents as doc_id, class, n; components of linked classes as class, component)."""
     rows = cut(shingle_sets(docs, n, **cols))
     sets = rows.where("shingles is not null").select("class", "n", "shingles")
-    lists = cut(_short_lists(sets, _levels(sets)))
-    small = lists.where(F.size("members") <= SMALL_LIST)
-    x = small.select("members", F.explode("members").alias("l")).select("l", F.explode("members").alias("r")).where("l.class < r.class")
-    x = x.where(_near_in_size("l.n", "r.n")).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
-    # members of a longer list against the one of its list with the middle size
-    long = lists.where(F.size("members") > SMALL_LIST).withColumn("members", F.array_sort(F.transform("members", lambda m: F.struct(m["n"].alias("n"), m["class"].alias("class")))))
-    star = long.select(F.element_at("members", (F.size("members") / 2).cast("int")).alias("l"), F.explode("members").alias("r")).where("l.class <> r.class")
-    star = star.where(_near_in_size("l.n", "r.n")).select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
-    one = sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
-    pairs = cut(x.unionByName(star).distinct())
-    some = cut(one.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi"))
-    links = cut(probe(pairs, some))
+    lists = cut(_short_lists(sets, _levels(sets)), release=True)
+    long = lists.where(F.size("members") > SMALL_LIST)
+    pairs = cut(_promising(lists.where(F.size("members") <= SMALL_LIST), long), release=True)
+    links = cut(probe(pairs, cut(_wanted(sets, pairs.select(F.explode(F.array("a", "b")).alias("class"))), release=True)), release=True)
     parts = connected_components(links, "a", "b")
     # what is left: classes of one long list in different components
-    member = long.select("token", F.explode("members").alias("m")).select("token", F.col("m.class").alias("class"), F.col("m.n").alias("n"))
-    member = member.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    member = long.select("token", F.explode("members.class").alias("class")).join(parts.withColumnRenamed("node", "class"), "class", "left")
+    member = member.withColumn("component", F.coalesce("component", "class"))
     mixed = member.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
     member = cut(member.join(mixed, "token", "left_semi"))
     if not member.isEmpty():
-        l, r = member.alias("l"), member.alias("r")
-        rest = l.join(r, F.expr(f"l.token = r.token and l.class < r.class and l.component <> r.component and {_near_in_size('l.n', 'r.n')}"))
-        rest = rest.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        again = cut(one.join(member.select("class").distinct(), "class", "left_semi"))
-        links = cut(links.unionByName(probe(cut(rest), again)))
+        links = cut(links.unionByName(_across(member, cut(_wanted(sets, member.select("class")), release=True))), release=True)
         parts = connected_components(links, "a", "b")
     return rows.select("doc_id", "class", "n"), parts.withColumnRenamed("node", "class")
 

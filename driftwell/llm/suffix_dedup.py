@@ -173,7 +173,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``digest_only``, kept (the bytes that stay)."""
     spark = docs.sparkSession
     nb, residues = int(spark.conf.get("spark.sql.shuffle.partitions")), COVER
-    chunks = cut(_chunks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    chunks = cut(_chunks(texts), release=True)
 
     def opened(row):
         return np.frombuffer(unsqueeze(row["data"]), np.uint8), np.array(row["lengths"], np.int64)
@@ -186,9 +187,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at, keys = _sample_keys(data, lengths, residues)
         return _remaining_keys(data, lengths, at, _flags(keys, row["answers"], nb, SAMPLE_BITS))
 
-    first = cut(_mark(chunks, sampled, ["lengths", "data"], SAMPLE_BITS))
-    known = chunks.join(first, "chunk", "left")
-    second = cut(_mark(known, remaining, ["lengths", "data", "answers"], 64)).withColumnRenamed("answers", "final")
+    # each phase's chunks take the place of the last one's, so no two phases lie on disk together
+    chunks = cut(chunks.join(cut(_mark(chunks, sampled, ["lengths", "data"], SAMPLE_BITS), release=True), "chunk", "left"), release=True)
+    second = cut(_mark(chunks, remaining, ["lengths", "data", "answers"], 64), release=True).withColumnRenamed("answers", "final")
 
     def finish(batches):
         for b in batches:
@@ -210,5 +211,5 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = known.join(second, "chunk", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = chunks.join(second, "chunk", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.drop("kept") if digest_only else done
