@@ -319,7 +319,11 @@ def _across(member: DataFrame, sets: DataFrame) -> DataFrame:
     """
     nb = _buckets(member.sparkSession)
     least = member.groupBy("token").agg(F.min("class").alias("least"))
-    family = connected_components(member.join(least, "token").select("least", "class"), "least", "class")
+    # a class is tied to the least of all its lists, and the leasts of its lists to that one: few edges, same components
+    tied = cut(member.join(least, "token").select("class", "least").distinct())
+    low = tied.groupBy("class").agg(F.min("least").alias("low"))
+    ties = low.select("class", "low").unionByName(tied.join(low, "class").select(F.col("least").alias("class"), "low")).distinct()
+    family = connected_components(ties, "class", "low")
     own = family.select(F.col("node").alias("class"), F.col("component").alias("family"))
     sizes = own.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = member.select("class", "component").distinct().join(own, "class").join(sizes, "family").join(sets, "class")
