@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,9 +19,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
+def release(spark: SparkSession) -> None:
+    """Asks for the shuffle files and checkpoints that nothing refers to any more to be dropped now.
+
+    Spark drops them once the driver has collected its garbage, which may be half an hour away; jobs of several large
+    phases call this between phases so that these do not add up on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage; ``fresh`` releases earlier phases first."""
     checkpoint_dir(df.sparkSession)
+    if fresh:
+        release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
