@@ -157,6 +157,9 @@ def leaks(h: np.ndarray, hit: tuple, items: Items) -> list[tuple]:
                     break
             if best and best[0] == 0:
                 break
+        if best and best[0]:  # a neighbouring start may align better
+            for st in range(max(0, best[1] - few), min(len(h), best[1] + few + 1)):
+                best = min(best, (edits_within(s, h[st : st + n + few], few), st))
         if best:
             found.append((items.ids[k], best[1], best[0]))
     return sorted(found, key=lambda x: (x[0] is None, x[0]))

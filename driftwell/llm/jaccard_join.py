@@ -368,10 +368,10 @@ def class_links(docs: DataFrame, n: int = 5, **cols) -> tuple[DataFrame, DataFra
     """(documents as doc_id, class, n; components of linked classes as class, component)."""
     rows = cut(shingle_sets(docs, n, **cols))
     sets = rows.where("shingles is not null").select("class", "n", "shingles")
-    lists = cut(_short_lists(sets, _levels(sets)), release=True)
+    lists = cut(_short_lists(sets, _levels(sets)), fresh=True)
     long = lists.where(F.size("members") > SMALL_LIST)
-    pairs = cut(_promising(lists.where(F.size("members") <= SMALL_LIST), long), release=True)
-    links = cut(probe(pairs, cut(_wanted(sets, pairs.select(F.explode(F.array("a", "b")).alias("class"))), release=True)), release=True)
+    pairs = cut(_promising(lists.where(F.size("members") <= SMALL_LIST), long), fresh=True)
+    links = cut(probe(pairs, cut(_wanted(sets, pairs.select(F.explode(F.array("a", "b")).alias("class"))), fresh=True)), fresh=True)
     parts = connected_components(links, "a", "b")
     # what is left: classes of one long list in different components
     member = long.select("token", F.explode("members.class").alias("class")).join(parts.withColumnRenamed("node", "class"), "class", "left")
@@ -379,7 +379,7 @@ def class_links(docs: DataFrame, n: int = 5, **cols) -> tuple[DataFrame, DataFra
     mixed = member.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
     member = cut(member.join(mixed, "token", "left_semi"))
     if not member.isEmpty():
-        links = cut(links.unionByName(_across(member, cut(_wanted(sets, member.select("class")), release=True))), release=True)
+        links = cut(links.unionByName(_across(member, cut(_wanted(sets, member.select("class")), fresh=True))), fresh=True)
         parts = connected_components(links, "a", "b")
     return rows.select("doc_id", "class", "n"), parts.withColumnRenamed("node", "class")
 
