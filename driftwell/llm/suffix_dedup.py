@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.blobs import bucket_edges, pack_small, pack_sorted, squeeze, unpack_small, unpack_sorted, unsqueeze
 from driftwell.llm.tokens import mix
-from driftwell.operators.graph import cut
+from driftwell.operators.graph import cut, release
 
 LENGTH = 200
 PERIOD = 133
@@ -174,7 +174,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     nb, residues = int(spark.conf.get("spark.sql.shuffle.partitions")), COVER
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = cut(_chunks(texts), release=True)
+    chunks = cut(_chunks(texts), fresh=True)
 
     def opened(row):
         return np.frombuffer(unsqueeze(row["data"]), np.uint8), np.array(row["lengths"], np.int64)
@@ -188,8 +188,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _remaining_keys(data, lengths, at, _flags(keys, row["answers"], nb, SAMPLE_BITS))
 
     # each phase's chunks take the place of the last one's, so no two phases lie on disk together
-    chunks = cut(chunks.join(cut(_mark(chunks, sampled, ["lengths", "data"], SAMPLE_BITS), release=True), "chunk", "left"), release=True)
-    second = cut(_mark(chunks, remaining, ["lengths", "data", "answers"], 64), release=True).withColumnRenamed("answers", "final")
+    first = cut(_mark(chunks, sampled, ["lengths", "data"], SAMPLE_BITS), fresh=True)
+    chunks = cut(chunks.join(first, "chunk", "left"), fresh=True)
+    del first
+    second = cut(_mark(chunks, remaining, ["lengths", "data", "answers"], 64), fresh=True).withColumnRenamed("answers", "final")
+    release(spark)
 
     def finish(batches):
         for b in batches:
