@@ -34,7 +34,7 @@ def hrefs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 def repository_links(docs: DataFrame, cues: str = r"(?i)(?:code|repository|implementation|available|released|project)", deny: tuple[str, ...] = ("github.com/features", "github.com/about"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, url): repository links with a cue word in the 60 characters before; a url that only begins another goes."""
     hosts = r"(?:github\.com|gitlab\.com|bitbucket\.org|huggingface\.co)/[\w.-]+/[\w.-]+"
-    pairs = F.regexp_extract_all(F.regexp_replace(text_col, r"(https?://\S*[/-])\n(?=\S)", "$1"), F.lit(rf"(?s)(.{{0,60}}https?://{hosts})"), F.lit(1))
+    pairs = F.regexp_extract_all(F.regexp_replace(text_col, r"(https?://\S*[/-])\n(?=\S)", "$1"), F.lit(rf"(?s)(.{{0,60}}?https?://{hosts})"), F.lit(1))
     l = docs.select(id_col, F.explode(pairs).alias("ctx")).select(id_col, "ctx", F.lower(F.regexp_replace(F.regexp_extract("ctx", rf"(https?://{hosts})$", 1), r"(?:\.git)?[.,;]*$", "")).alias("url"))
     l = l.where(F.col("ctx").rlike(cues)).select(id_col, "url").distinct()
     for d in deny:
