@@ -40,23 +40,34 @@ def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node id reachable from node; only nodes with an edge appear.
 
-    Every round gives each edge's ends the smaller label of the two, then jumps to the label's own label, so the
-    number of rounds grows with the logarithm of the longest path. Aggregations combine on the map side, so a node
-    with very many edges costs one row per task. Raises if the bound on rounds is reached, never returns a partial
-    result. Edges with a null end or equal ends are ignored; an empty input gives no rows.
+    Every round points each node at its smallest neighbour, or itself if that is smaller, follows the pointers to their
+    roots by doubling, and contracts the graph: edges inside a tree go, so later rounds see few. Every node that is no
+    local minimum disappears in the round, so rounds and doublings grow with the logarithm of the nodes. Aggregations
+    combine on the map side, so a node with very many edges costs one row a task. Raises if the bound on rounds is
+    reached, never returns a partial result.
+    Edges with a null end or equal ends are ignored; an empty input gives no rows.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = cut(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")))
-        labels = new.select("node", "label")
-        if new.where("was <> label").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("low")))
+        while True:  # jump along the pointers until each names its root
+            far = cut(low.join(low.select(F.col("node").alias("low"), F.col("low").alias("to")), "low").select("node", "low", "to"))
+            low = far.select("node", F.col("to").alias("low"))
+            if far.where("low <> to").isEmpty():
+                break
+        to = far.select("node", "to")
+        if labels is None:
+            labels = to.withColumnRenamed("to", "component")
+        else:
+            known = labels.join(to.withColumnRenamed("node", "component"), "component", "left")
+            labels = known.select("node", F.coalesce("to", "component").alias("component"))
+        ends = e.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        e = cut(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if e.isEmpty():
+            return cut(labels)
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
