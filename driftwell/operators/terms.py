@@ -105,9 +105,11 @@ def raw_term_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return ngrams(docs, id_col, text_col, sizes).select(id_col, "term").distinct()
 
 
-def hygienic(rows: DataFrame) -> DataFrame:
-    """Rows whose ``term`` passes the rules."""
-    return rows.where(reject_reason(F.split("term", " ")).isNull())
+def hygienic(rows: DataFrame, after: Column | None = None) -> DataFrame:
+    """Rows whose ``term`` passes the rules; with ``after`` (a condition on counts) the rules run on the rows that meet it,
+    and Spark can't move them below the count."""
+    ok = reject_reason(F.split("term", " ")).isNull()
+    return rows.where(ok if after is None else F.when(after, ok).otherwise(False))
 
 
 def reject_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,8 +137,8 @@ def emerging_terms(docs: DataFrame, current: Column, previous: Column, known: Da
     """Terms of at least ``least`` documents of the current window, with their count in the previous one."""
     d = docs.withColumn("_now", current).withColumn("_was", previous).where("_now or _was")
     t = raw_term_documents(d.withColumn("_at", F.struct(id_col, "_now", "_was")), "_at", text_col)
-    n = t.groupBy("term").agg(F.count_if("_at._now").alias("n_now"), F.count_if("_at._was").alias("n_before")).where(F.col("n_now") >= least)
-    n = hygienic(n)
+    n = t.groupBy("term").agg(F.count_if("_at._now").alias("n_now"), F.count_if("_at._was").alias("n_before"))
+    n = hygienic(n, F.col("n_now") >= least)
     if known is not None:
         n = drop_known(n, known)
     return drop_subsumed(n).orderBy(F.desc("n_now"), F.asc("n_before"), "term").limit(top)
@@ -146,7 +148,7 @@ def discover(term_docs: DataFrame, docs: DataFrame, id_col: str, seed: str, day:
     """Support, domain documents, different seeds and newest day of each term."""
     j = term_docs.join(docs.select(id_col, seed, day, domain), id_col)
     n = j.groupBy("term").agg(F.count("*").alias("support"), F.count_if(domain).alias("domain_docs"), F.size(F.collect_set(seed)).alias("breadth"), F.max(day).alias("newest"))
-    return hygienic(n.where(F.col("support") >= least))
+    return hygienic(n, F.col("support") >= least)
 
 
 def lanes(found: DataFrame, per_lane: int = 4) -> DataFrame:
