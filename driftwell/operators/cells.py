@@ -88,7 +88,7 @@ def most_cited(results: DataFrame, citations: DataFrame, keys: list[str]) -> Dat
 
 def difference(a: Column, b: Column, decimals: Column, way: Column) -> Column:
     """struct(diff, verdict): the signed difference at the shown precision; better or worse by direction."""
-    d = F.expr("1") * (a - b)
+    d = a - b
     d = F.when(decimals == 0, F.round(d, 0)).when(decimals == 1, F.round(d, 1)).when(decimals == 2, F.round(d, 2)).otherwise(F.round(d, 3))
     good = F.when(d == 0, "equal").when(way.isNull(), None).when((d > 0) == (way == "higher"), "better").otherwise("worse")
     return F.struct(d.alias("diff"), good.alias("verdict"))

@@ -12,9 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.operators.feedback import reaction_states
 from driftwell.operators.graph import checkpoint_dir
-from driftwell.operators.impact import gap_stage  # noqa: F401
 from driftwell.operators.match import match_keywords
 from driftwell.operators.merge import keyed_upsert
 
@@ -167,14 +165,10 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return latest_version(spark, f"{at}/table") if mode == "complete" else spark.read.parquet(f"{at}/table/*")
 
 
-def reaction_batch(events: DataFrame, tokens: DataFrame) -> DataFrame:
-    return reaction_states(events, tokens)
+def observe_sink(path: str, keywords: DataFrame):
+    """A ``foreachBatch`` function that writes a batch's matches as the observations of its epoch, by the batch equi-join."""
 
-
-def observed(stream: DataFrame, keywords: DataFrame):
-    """A ``foreachBatch`` form of matching, through the batch operator's equi-join."""
-
-    def write(path: str):
-        return lambda batch, epoch: match_keywords(batch, keywords).write.mode("overwrite").parquet(f"{path}/{epoch}")
+    def write(batch: DataFrame, epoch: int) -> None:
+        match_keywords(batch, keywords).write.mode("overwrite").parquet(f"{path}/{epoch}")
 
     return write
