@@ -364,15 +364,15 @@ def bm25_topk(spark, sf_dir):
 SQL_COS = """cs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 10)"""
 
 
-def _cosine(spark, sf_dir):
+def _cosine(spark, sf_dir, k=None):
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return search.vector_scores(v, q).withColumn("score", F.round("score", 6))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return search.vector_scores(v, q, k)
 
 
 @query(f"WITH {SQL_COS} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    return search.top_k(_cosine(spark, sf_dir), "query_id", 10, "vec_id")
+    return search.top_k(_cosine(spark, sf_dir, 10), "query_id", 10, "vec_id")
 
 
 @query(f"""WITH {SQL_BM25}, {SQL_COS}, a AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm), b AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs),

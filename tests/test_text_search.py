@@ -71,3 +71,36 @@ def test_sections(spark):
     d = spark.createDataFrame([(1, "# Method\n- one\n- two\n## sub\nthree\n# Method\nlater\n# End\nx")], "doc_id long, text string")
     got = {r.section: r.lines for r in text.sections(d).collect()}
     assert got == {"method": ["one", "two", "## sub", "three"], "end": ["x"]}
+
+
+def write_table(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_cosine_searches_from_every_hundredth_vector(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from driftwell.plans.queries import QUERIES
+
+    monkeypatch.setattr(search, "STRIP", 2)
+    monkeypatch.setattr(search, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(560, 4)), np.ones((40, 4))]).astype(np.float32).tolist()
+    x[300], x[301], x[302], x[303] = [0.0] * 4, [1.0], None, [None, 1.0, 1.0, 1.0]
+    sf = write_table(spark, tmp_path, "embeddings", list(enumerate(x)), "vec_id long, embedding array<float>")
+
+    def score(a, b):
+        if len(a) != len(b) or None in a or None in b:
+            return 0.0
+        a, b = np.array(a), np.array(b)
+        n = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
+        return round(float(a @ b / n), 6) if n else 0.0
+
+    want = set()
+    for q in range(0, 600, 100):
+        ranked = sorted((-score(x[q], v), i) for i, v in enumerate(x) if v is not None)[:10]
+        want |= {(q, i, -s, r) for r, (s, i) in enumerate(ranked, 1)}
+    assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in QUERIES["cosine_topk"](spark, sf).collect()} == want
+    v = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert search.vector_scores(v, v.limit(0).selectExpr("vec_id AS query_id", "embedding AS query_vec")).count() == 0
