@@ -352,7 +352,7 @@ bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 
 
 def _bm25(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 8), " ").alias("query"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.bm25(table(spark, sf_dir, "documents"), q).withColumn("score", F.round("score", 6))
 
 

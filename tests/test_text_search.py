@@ -104,3 +104,11 @@ def test_cosine_searches_from_every_hundredth_vector(spark, tmp_path, monkeypatc
     assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in QUERIES["cosine_topk"](spark, sf).collect()} == want
     v = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert search.vector_scores(v, v.limit(0).selectExpr("vec_id AS query_id", "embedding AS query_vec")).count() == 0
+
+
+def test_bm25_uses_whole_queries(spark, tmp_path):
+    from driftwell.plans.queries import QUERIES
+
+    write_table(spark, tmp_path, "benchmark", [(0, "a b c d e f g h late words")], "item_id long, text string")
+    sf = write_table(spark, tmp_path, "documents", [(1, "late words"), (2, "a"), (3, "none")], "doc_id long, text string")
+    assert [r.doc_id for r in QUERIES["bm25_topk"](spark, sf).orderBy("rank").collect()] == [1, 2]
