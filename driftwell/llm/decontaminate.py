@@ -1,16 +1,13 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH (operator 6).
+"""Benchmark decontamination by a lossless test of word runs and exact alignment (operator 6).
 
 A document leaks an item if some run of its words is within ``MAX_EDITS`` (20 %) word edits of the item's words, case of
 A-Z aside; items of fewer than ``MIN_WORDS`` words must be met exactly.
 
-The CGK random walk copies the current word to the output and moves on when a random bit of (step, word) says so; 3n steps
-turn edit distance into Hamming distance, and equal inputs into equal outputs. Items and item-sized windows of documents
-are embedded under ``REPEATS`` walks; in each, ``BANDS`` samples of ``BITS`` output places make bucket keys. A window that
-shares a bucket with an item is verified by exact edit distance, with the window's end left free.
-
-Only windows around a place where three of the document's words follow each other as in the item are embedded: an item of
+Only places where three of the document's words follow each other as in the item are looked at: an item of
 n words with at most n / 5 edits keeps such a run whole (the edits cut it into at most n / 5 + 1 parts), so this test loses
 nothing; since an edit breaks three of the item's n - 2 runs at most, n - 2 - 3 (n / 5) of them must be met. It looks words up in a table of fixed size before anything exact.
+Such a run fixes the start of the leak up to n / 5 words; all these starts are verified, by one alignment of the item with
+the stretch of text that they reach, so nothing depends on chance and no leak is missed.
 
 Items are a stated query set: they go to the executors in blocks of ``BLOCK`` items (a bounded size), each block against
 all documents.
@@ -34,9 +31,6 @@ from driftwell.llm.tokens import mix, sub_batches, words
 
 MAX_EDITS = 0.2
 MIN_WORDS = 8
-REPEATS = 6
-BANDS = 8
-BITS = 4
 BLOCK = 20_000
 RUN = 3
 _U = np.uint64
@@ -44,7 +38,7 @@ _TABLE_BITS = 20
 _ANSWER = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_word", T.LongType()), T.StructField("edits", T.IntegerType())]))
 
 
-#: One block of items ready for lookups: ids, seqs, table, runs, run_item, run_at, keys.
+#: One block of items ready for lookups: ids, seqs, table, runs, run_item, run_at.
 Items = SimpleNamespace
 
 
@@ -68,20 +62,6 @@ def embed(windows: np.ndarray, repeat: int, steps: int) -> np.ndarray:
     return out
 
 
-def bucket_keys(windows: np.ndarray) -> np.ndarray:
-    """(rows, REPEATS * BANDS) LSH keys: in each walk, BANDS random samples of BITS places of the embedding."""
-    steps, keys = 3 * windows.shape[1], []
-    for r in range(REPEATS):
-        e = embed(windows, r, steps)
-        rng = np.random.default_rng(1000 + r)
-        for band in range(BANDS):
-            h = np.full(len(windows), r * BANDS + band + 1, _U)
-            for place in rng.integers(0, 2 * windows.shape[1], BITS):
-                h = mix(h ^ e[:, place])
-            keys.append(h)
-    return np.stack(keys, 1)
-
-
 def edits_within(item: np.ndarray, text: np.ndarray, k: int) -> int:
     """Fewest word edits from the item to any beginning of ``text``, or k + 1 if more than k."""
     n = len(item)
@@ -96,6 +76,16 @@ def edits_within(item: np.ndarray, text: np.ndarray, k: int) -> int:
     return int(min(row.min(), k + 1))
 
 
+def edits_by_start(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For every start in ``text``, its end included, the fewest word edits from the item to any run of words from there."""
+    item, text = item[::-1], text[::-1]
+    row, at = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+    for i in range(1, len(item) + 1):
+        new = np.concatenate([[i], np.minimum(row[:-1] + (text != item[i - 1]), row[1:] + 1)])
+        row = np.minimum.accumulate(new - at) + at
+    return row[::-1]
+
+
 def prepare(ids: list, texts: list) -> Items:
     seqs = []
     for _, part in sub_batches(texts):
@@ -111,8 +101,7 @@ def prepare(ids: list, texts: list) -> Items:
     order = np.argsort(runs, kind="stable")
     runs, item, at = runs[order], item[order], at[order]
     table[(runs >> _U(64 - _TABLE_BITS)).astype(np.int64)] = True
-    keys = [set(bucket_keys(s[None, :])[0].tolist()) if len(s) else set() for s in seqs]
-    return Items(ids=ids, seqs=seqs, table=table, runs=runs, run_item=item, run_at=at, keys=keys)
+    return Items(ids=ids, seqs=seqs, table=table, runs=runs, run_item=item, run_at=at)
 
 
 def _short(s: np.ndarray) -> np.ndarray:
@@ -145,21 +134,11 @@ def leaks(h: np.ndarray, hit: tuple, items: Items) -> list[tuple]:
         starts = np.unique((mid[:, None] + np.arange(-few, few + 1)).ravel())
         starts = starts[(starts >= 0) & (starts <= max(0, len(h) - n + few))]
         best = None
-        for block in np.array_split(starts, max(1, len(starts) // 4096)):
-            cell = block[:, None] + np.arange(n)
-            win = np.where(cell < len(h), h[np.minimum(cell, len(h) - 1)], _U(0))
-            share = np.isin(bucket_keys(win), list(items.keys[k])).any(1) if len(block) else np.zeros(0, bool)
-            for st in block[share]:
-                e = edits_within(s, h[st : st + n + few], few)
-                if e <= few and (best is None or (e, st) < best):
-                    best = (e, int(st))
-                if best and best[0] == 0:
-                    break
-            if best and best[0] == 0:
-                break
-        if best and best[0]:  # a neighbouring start may align better
-            for st in range(max(0, best[1] - few), min(len(h), best[1] + few + 1)):
-                best = min(best, (edits_within(s, h[st : st + n + few], few), st))
+        for part in np.split(starts, np.flatnonzero(np.diff(starts) > n + few) + 1) if len(starts) else ():
+            e = edits_by_start(s, h[part[0] : part[-1] + n + few])[part - part[0]]
+            k_best = int(e.argmin())
+            if e[k_best] <= few and (best is None or e[k_best] < best[0]):
+                best = (int(e[k_best]), int(part[k_best]))
         if best:
             found.append((items.ids[k], best[1], best[0]))
     return sorted(found, key=lambda x: (x[0] is None, x[0]))

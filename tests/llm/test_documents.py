@@ -225,6 +225,28 @@ def test_edit_distance_and_embedding():
     assert (e[0] == e[1]).all() and set(e[0].tolist()) >= set(a.tolist())
 
 
+def test_no_leak_is_missed_at_the_full_edit_budget():
+    rng, v = random.Random(19), vocabulary(3000)
+    say = lambda n: [rng.choice(v) for _ in range(n)]
+    kinds = {"drop": lambda w: [], "add": lambda w: ["new", w], "put": lambda w: ["new"], "mix": lambda w: rng.choice([[], ["new", w], ["new"]])}
+    missed = Counter()
+    for n in (10, 20, 30, 40, 60, 100, 200):
+        for kind, change in kinds.items():
+            for _ in range(15):
+                item = say(n)
+                budget = decontaminate.allowed(n)
+                edited = set(rng.sample(range(n), budget))
+                copy = [x for k, w in enumerate(item) for x in (change(w) if k in edited else [w])]
+                items = decontaminate.prepare([7], [" ".join(item)])
+                (_, part), = decontaminate.sub_batches([" ".join(say(50) + copy + say(50))])
+                h = decontaminate.words(part).hashes
+                got = decontaminate.leaks(h, decontaminate._hits(h, items), items)
+                missed[n, kind] += not (len(got) == 1 and got[0][0] == 7 and got[0][2] <= budget and abs(got[0][1] - 50) <= budget)
+                if got:
+                    assert decontaminate.edits_within(items.seqs[0], h[got[0][1] :], budget) == got[0][2]
+    assert not +missed
+
+
 # 1: toxicity
 
 
