@@ -103,7 +103,7 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS n, b A
 g AS (SELECT d.*, least(d.row_id, coalesce((SELECT min(m) FROM r WHERE r.n = d.row_id), d.row_id)) AS group_id FROM d)
 SELECT group_id, arg_min(source, row_id) AS source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, arg_min(n_chars, row_id) AS n_chars, min(row_id) AS row_id FROM g GROUP BY group_id""")
 def dedupe_merge(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.concat_ws(":", "source", "n_chars").alias("ident"), F.substring("text", 1, 120).alias("title"), "source", F.array("lang").alias("langs"), "n_chars")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.concat_ws(":", "source", "n_chars").alias("ident"), F.sha2(F.nullif(K.norm_title(F.col("text")), F.lit("")), 256).alias("title"), "source", F.array("lang").alias("langs"), "n_chars")
     out = merge.dedupe_merge(d, ["row_id"], unions=("langs",))
     return out.select("group_id", "source", F.array_join("langs", ",").alias("langs"), "n_chars", "row_id")
 

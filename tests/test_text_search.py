@@ -112,3 +112,12 @@ def test_bm25_uses_whole_queries(spark, tmp_path):
     write_table(spark, tmp_path, "benchmark", [(0, "a b c d e f g h late words")], "item_id long, text string")
     sf = write_table(spark, tmp_path, "documents", [(1, "late words"), (2, "a"), (3, "none")], "doc_id long, text string")
     assert [r.doc_id for r in QUERIES["bm25_topk"](spark, sf).orderBy("rank").collect()] == [1, 2]
+
+
+def test_documents_merge_by_their_whole_text(spark, tmp_path):
+    from driftwell.plans.queries import QUERIES
+
+    opening = "licence " * 20
+    rows = [(1, opening + "one", "en"), (2, opening + "two", "de"), (3, opening.upper() + " One!", "fr"), (4, None, "en"), (5, "...", "en"), (6, "?", "en")]
+    sf = write_table(spark, tmp_path, "documents", [(i, t, c, "s", i) for i, t, c in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.group_id, r.langs) for r in QUERIES["dedupe_merge"](spark, sf).collect()} == {(1, "en,fr"), (2, "de"), (4, "en"), (5, "en"), (6, "en")}
