@@ -33,11 +33,14 @@ def conversations(turns: DataFrame) -> DataFrame:
 def pair_up(convs: DataFrame) -> DataFrame:
     """(pair_id, chosen_id, chosen, rejected_id, rejected): conversations in order of their first turn, two by two.
 
-    Conversations with the same first turn stand together, so they pair with each other as far as they go; the lower id
-    of a pair is the chosen one. Positions come from range partitions, not from one window over all.
+    Conversations with the same first turn pair with each other as far as they go; the last of an odd number stands after
+    all whole pairs, where such odd ones pair in order of their first turn and at most one stays alone. The lower id of a
+    pair is the chosen one. Positions come from range partitions, not from one window over all.
     """
     first = convs.select("conv_id", F.md5(F.element_at("turns", 1)["text"]).alias("key"))
-    placed = running_sums(first, ["key", "conv_id"], {"position": F.lit(1)}).select("conv_id", F.floor(F.col("position") / 2).alias("pair_id"))
+    odd = first.groupBy("key").agg(F.max("conv_id").alias("conv_id"), F.count("*").alias("n")).where("n % 2 = 1").select("conv_id", F.lit(True).alias("odd"))
+    first = first.join(odd, "conv_id", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    placed = running_sums(first, ["odd", "key", "conv_id"], {"position": F.lit(1)}).select("conv_id", F.floor(F.col("position") / 2).alias("pair_id"))
     ids = placed.groupBy("pair_id").agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id"))
     ids = ids.withColumn("rejected_id", F.when(F.col("rejected_id") != F.col("chosen_id"), F.col("rejected_id")))
     a = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"))

@@ -88,6 +88,22 @@ def test_preferences(spark):
     assert (same.n_prompt_turns, same.chosen, same.rejected) == (1, "", "")
 
 
+def test_an_odd_group_does_not_part_the_later_ones(spark):
+    import hashlib
+
+    names = sorted("abcdefg", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    sizes = dict(zip(names, (1, 2, 2, 3, 4, 2, 1), strict=True))
+    prompts = [t for t in names for _ in range(sizes[t])]
+    turns = [(i, 0, "user", t) for i, t in enumerate(prompts)] + [(i, 1, "assistant", f"answer {i}") for i in range(len(prompts))]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    rows = preferences.digest(d).collect()
+    assert sorted(x for r in rows for x in (r.chosen_id, r.rejected_id) if x is not None) == list(range(len(prompts)))
+    same = [prompts[r.chosen_id] for r in rows if r.rejected_id is not None and prompts[r.chosen_id] == prompts[r.rejected_id]]
+    assert {t: same.count(t) for t in names} == {t: n // 2 for t, n in sizes.items()}
+    assert all(r.n_prompt_turns == 1 for r in rows if r.rejected_id is not None and prompts[r.chosen_id] == prompts[r.rejected_id])
+    assert len({r.pair_id for r in rows}) == len(rows) == 8 and sum(r.rejected_id is None for r in rows) == 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = docs
