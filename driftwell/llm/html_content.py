@@ -11,7 +11,8 @@ at least one half are kept. Character references are decoded, white space in a b
 by two newlines; nothing is dropped or cut otherwise.
 
 Defined cases: null or empty html gives the empty text; unclosed and stray tags follow the usual recovery (a new block
-ends an open p, li, td and the like); pages of any length are read whole; repeated rows each give their text; an empty
+ends an open p, li, td and the like; body, text and any tag that cannot stand in a head
+end an open head, and html and body tags may be left out); pages of any length are read whole; repeated rows each give their text; an empty
 table gives no rows; other columns pass through.
 """
 
@@ -31,7 +32,11 @@ from pyspark.sql import types as T
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never read.
-SILENT = frozenset("script style noscript template head title svg math iframe object select option textarea button canvas audio video".split())
+SILENT = frozenset("script style noscript template head title svg iframe object select option textarea button canvas audio video".split())
+#: Tags of formulas: their text belongs to the element around the formula.
+MATH = frozenset("annotation annotation-xml maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+#: Start tags that may stand in a head; any other ends it and starts the body.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table div article section main body nav aside header footer form blockquote td th".split())
 BAD_WORDS = re.compile(r"nav|menu|header|masthead|footer|sidebar|aside|\bads?\b|advert|banner|sponsor|promo|comment|reply|respon|form|cookie|consent|notice|alert|popup|modal|share|social|related|recommend|subscribe|newsletter|breadcrumb|pagination|pager|toolbar|widget|copyright|login|search|tags?\b|skip", re.I)
@@ -51,6 +56,7 @@ class Tree(HTMLParser):
         self.texts: list[tuple[int, int, str]] = []  # element, number of the block, text
         self.serial = 0
         self.silent = 0
+        self.body = False
 
     def _push(self, tag: str, attrs: dict) -> None:
         self.parent.append(self.open[-1])
@@ -65,7 +71,30 @@ class Tree(HTMLParser):
             self.serial += self.tag[e] in BLOCK_TAGS
         del self.open[depth:]
 
+    def _end_head(self) -> None:
+        for d, e in enumerate(self.open):
+            if self.tag[e] == "head":
+                self._pop_to(d)
+                return
+
+    def _content(self) -> None:
+        """Before what cannot stand in a head: ends an open one, and opens the html and body that the page leaves out."""
+        if self.tag[self.open[-1]] == "head":
+            self._end_head()
+        if not self.body and not self.silent:
+            if "html" not in self.tag:
+                self._push("html", {})
+            self._push("body", {})
+            self.body = True
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self._end_head()
+            self.body = True
+        elif tag not in IN_HEAD:
+            self._content()
+        if tag in MATH or (tag in ("html", "body") and any(self.tag[e] == tag for e in self.open)):
+            return
         if tag in BLOCK_TAGS:
             self.serial += 1
             names = [self.tag[e] for e in self.open]
@@ -96,6 +125,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip("\ufeff \t\n\r\f"):
+            self._content()
         if not self.silent:
             self.texts.append((self.open[-1], self.serial, data))
 

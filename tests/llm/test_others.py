@@ -24,6 +24,16 @@ def test_html(spark):
     assert html_content.main_text(rows.limit(0), model=model).count() == 0
 
 
+def test_html_without_end_of_head_and_with_math():
+    model = html_content.train(html_content.labelled_pages())
+    story = "<h1>Fish</h1><p>The first paragraph of a long story about fish and more.<p>A second one of the story, with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> in it.</article>"
+    want = "Fish\n\nThe first paragraph of a long story about fish and more.\n\nA second one of the story, with x=2 in it."
+    head = "<title>T</title><meta charset=utf-8><noscript><img src=p><p>no</p></noscript><style>x</style><script>y</script>"
+    for start in ("<html><head>" + head + "</head><body>", "<html><head>" + head + "<body>", "<html><head>" + head, head, "<head>" + head + "</head>", ""):
+        assert html_content.extract(start + "<article class='content'>" + story, model) == want, start
+    assert [t for _, _, t in html_content.parse("<head><title>T</title>A line of plain text.").texts] == ["A line of plain text."]
+
+
 def test_sum_product_is_exact():
     rng = np.random.default_rng(3)
     parent, unary, pair = [-1, 0, 0, 1, 1, 2], rng.normal(size=6), rng.normal(size=(2, 2))
