@@ -143,14 +143,15 @@ def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with every found span replaced by [KIND]; of overlapping spans the first that starts wins."""
+    """The documents with every found span replaced by [KIND]; overlapping spans go as one, named by the first that starts."""
     found = find_spans(docs, text_col=text_col)
     t = F.col(text_col)
     shape = "struct<at:int,out:string>"
 
     def step(acc, x):
         put = F.concat(acc["out"], F.substr(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), put.alias("out")).cast(shape)).otherwise(acc)
+        longer = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")).cast(shape)
+        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), put.alias("out")).cast(shape)).otherwise(longer)
 
     done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(shape), step)
     clean = F.when(F.size("spans") == 0, t).otherwise(F.concat(done["out"], F.substr(t, done["at"] + 1)))

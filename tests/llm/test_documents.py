@@ -104,6 +104,13 @@ def test_pii(spark):
     assert pii.digest(d.limit(0)).count() == 0 and pii.find_spans(d).columns == [*d.columns, "spans"]
 
 
+def test_redaction_leaves_no_tail_of_overlapping_spans(spark):
+    texts = ["call +1 (555) 123-4567bob@x.com now", "from 10.0.0.0 4111 1111 1111 1111, a@b.co", "a@b.co +49 (30) 1234-5678"]
+    got = [r.text for r in pii.redact(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == "call [PHONE] now" and got[2] == "[EMAIL] [PHONE]"
+    assert "bob" not in got[0] and "1111" not in got[1] and got[1].endswith(", [EMAIL]")
+
+
 # 7: Jaccard join
 
 
