@@ -5,15 +5,17 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only where the setting is absent (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="driftwell-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="driftwell-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -37,6 +39,13 @@ def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, condition) -> tuple[DataFrame, int]:
+    """``df`` materialised as by ``cut``, and in how many of its rows ``condition`` holds, from the same job."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count_if(condition).alias("n")))
+    return done, int(seen.get.get("n") or 0)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node id reachable from node; only nodes with an edge appear.
 
@@ -48,26 +57,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges with a null end or equal ends are ignored; an empty input gives no rows.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
+    e, left = counted(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), F.lit(True))
+    labels = e.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0) if not left else None
     for _ in range(max_rounds):
+        if not left:
+            return labels
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("low")))
-        while True:  # jump along the pointers until each names its root
-            far = cut(low.join(low.select(F.col("node").alias("low"), F.col("low").alias("to")), "low").select("node", "low", "to"))
-            low = far.select("node", F.col("to").alias("low"))
-            if far.where("low <> to").isEmpty():
-                break
-        to = far.select("node", "to")
+        moving = 1
+        while moving:  # jump along the pointers, twice a job, until each names its root
+            step = low.select(F.col("node").alias("low"), F.col("low").alias("to"))
+            half = low.join(step, "low").select("node", F.col("to").alias("low"))
+            low, moving = counted(half.join(step, "low").select("node", "to", (F.col("low") != F.col("to")).alias("moved")), F.col("moved"))
+            low = low.select("node", F.col("to").alias("low"))
+        to = low.select("node", F.col("low").alias("to"))
         if labels is None:
             labels = to.withColumnRenamed("to", "component")
         else:
             known = labels.join(to.withColumnRenamed("node", "component"), "component", "left")
-            labels = known.select("node", F.coalesce("to", "component").alias("component"))
+            labels = cut(known.select("node", F.coalesce("to", "component").alias("component")))
         ends = e.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        e = cut(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if e.isEmpty():
-            return cut(labels)
+        e, left = counted(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), F.lit(True))
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
