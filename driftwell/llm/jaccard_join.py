@@ -3,26 +3,32 @@
 A pair with 100 * |x & y| >= 75 * |x | y| shares at least ceil(75 |x| / 100) shingles of x, so the T-occurrence problem
 "in at least T of x's inverted lists" has its lists split as DivideSkip does: the rare shingles of x, |x| - T + 1 of
 them, are its short lists and the rest its long ones. Every partner of x is in a short list of both. Short lists are
-merged in sorted order, which gives candidates; each candidate is then probed by binary search in the other's remaining
-shingles, and stops once the required overlap is reached or out of reach.
+merged in sorted order, which gives candidates; each candidate is then probed by binary search in the other's whole
+set, and the probe stops once the required overlap is reached or out of reach.
 
 How it spreads:
 
 1. Each document becomes (class, n): class is a 64-bit hash of the whole set and its size, so exact copies fall together
-   and each is sent once by a map task. Sets are written once as compressed sorted arrays.
+   and each is sent once by a map task. Sets are written once as compressed sorted arrays of 64-bit shingle hashes.
 2. How common a shingle is comes from a count over all documents, folded to a table of fixed size (2^24 slots of one
    byte, the largest log2 count in the slot). Any fixed order of shingles keeps the join exact; this one puts common
    shingles last, so shared passages are long lists and never merged.
-3. Short lists are dealt by shingle. Lists of up to ``SMALL_LIST`` classes give their pairs, which are counted, and those
-   with enough common lists are probed; a longer list pairs its classes with one of them only, in this round.
-4. Probed pairs become links and components. Long lists whose classes are still in different components form families,
-   whose members are compared block by block inside tasks: short inverted lists are merged, long ones probed, and only
-   pairs of different components count. Classes that are in one component already need no further link, so a group of
-   near copies costs one probe each, and no pair of a group becomes a row.
+3. Short lists are dealt by shingle, with each class's size and the shingle's place in its order. Two classes that meet
+   first at places i and j share min(|x| - i, |y| - j) shingles at most; pairs that this or their sizes rule out go.
+   Lists of up to ``SMALL_LIST`` classes give all other pairs, longer ones only those with one of their classes. Very
+   common shingles (2^``HOT_LEVEL`` documents or more) are dealt in as many parts as keep a part near that size.
+4. Candidates are probed on the 64-bit sets; those that reach the threshold are links, and links make components.
+   Of the longer lists only those whose classes are still in different components are met again: their pairs across
+   components, under the same bounds, in blocks of ``BLOCK`` classes. A group of near copies is one component by then and
+   costs one probe a class; no pair inside it becomes a row.
+
+Two different shingles share a 64-bit hash with probability 2^-64, and so do the sets of two classes; a false link needs
+that inside one candidate pair.
 
 Defined cases: null, empty or white-space texts have no shingles and link with nothing (component: their own id); fewer
 than five words make one shingle; a null doc_id takes no part in links and has a null component; rows that repeat a
-doc_id are linked by each of their texts; an empty table gives no rows; texts are read whole.
+doc_id are linked by each of their texts; an empty table gives no rows; texts are read whole; other columns, whatever
+their names, do not matter.
 """
 
 from __future__ import annotations
@@ -39,11 +45,11 @@ from driftwell.llm.tokens import mix, shingles, sub_batches, words
 from driftwell.operators.graph import connected_components, cut
 
 PERCENT = 75
-TOKEN_BITS = 40
+KEY_BITS = 40
 LEVEL_BITS = 24
 SMALL_LIST = 4
-BLOCK = 512
-LONG_LIST = 64
+HOT_LEVEL = 12
+BLOCK = 2048
 FLUSH = 3_000_000
 _U = np.uint64
 
@@ -58,6 +64,11 @@ def _class_of(s: np.ndarray) -> int:
     return int(mix(np.array([np.bitwise_xor.reduce(mix(s + place)) + _U(len(s))], _U)).view(np.int64)[0])
 
 
+def required(na, nb):
+    """The least overlap of sets of these sizes that reaches the threshold."""
+    return -(-PERCENT * (na + nb) // (100 + PERCENT))
+
+
 def shingle_sets(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class, n, shingles): the packed set only with the first document of a class in each task."""
 
@@ -72,7 +83,7 @@ def shingle_sets(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
                     c = _class_of(s) if len(s) and known[len(cls)] else None
                     cls.append(c)
                     sizes.append(len(s))
-                    packed.append(pack_sorted(s >> _U(64 - TOKEN_BITS)) if c is not None and c not in seen else None)
+                    packed.append(pack_sorted(s) if c is not None and c not in seen else None)
                     seen.add(c)
             yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "class", "n", "shingles"])
 
@@ -80,17 +91,30 @@ def shingle_sets(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "doc_id long, class long, n long, shingles binary")
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(bucket, its rows without the bucket) from rows sorted by bucket: one bucket is held at a time."""
+    key, rows = None, []
+    for b in batches:
+        for k, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != key:
+                if rows:
+                    yield key, rows
+                key, rows = k, []
+            rows.append(rest)
+    if rows:
+        yield key, rows
+
+
 def _levels(sets: DataFrame) -> np.ndarray:
     """The fixed-size table of how common shingles are: 2^LEVEL_BITS bytes, whatever the corpus."""
-    spark = sets.sparkSession
-    nb = _buckets(spark)
+    nb = _buckets(sets.sparkSession)
 
     def send(batches):
         held, size = [], 0
 
         def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            edges = bucket_edges(keys, nb, TOKEN_BITS)
+            keys, counts = np.unique(np.concatenate(held) >> _U(64 - KEY_BITS), return_counts=True)
+            edges = bucket_edges(keys, nb, KEY_BITS)
             full = [k for k in range(nb) if edges[k + 1] > edges[k]]
             cols = [pa.array(full, pa.int32()), pa.array([pack_sorted(keys[edges[k] : edges[k + 1]]) for k in full], pa.binary()), pa.array([pack_small(counts[edges[k] : edges[k + 1]]) for k in full], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["bucket", "keys", "counts"])
@@ -106,282 +130,257 @@ def _levels(sets: DataFrame) -> np.ndarray:
             yield flush()
 
     def count(batches):
-        by: dict[int, list] = {}
-        for b in batches:
-            for k, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(k, []).append((unpack_sorted(keys), unpack_small(counts)))
-        for k, parts in by.items():
-            keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        for _, parts in _by_bucket(batches):
+            keys, counts = np.concatenate([unpack_sorted(p[0]) for p in parts]), np.concatenate([unpack_small(p[1]) for p in parts])
             order = np.argsort(keys, kind="stable")
             keys, counts = keys[order], counts[order]
             starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
-            total = np.add.reduceat(counts, starts)
-            level = np.floor(np.log2(total)).astype(np.uint8)
+            level = np.floor(np.log2(np.add.reduceat(counts, starts))).astype(np.uint8)
             many = level >= 2
-            slot, level = (keys[starts][many] >> _U(TOKEN_BITS - LEVEL_BITS)).astype(np.int64), level[many]
+            slot, level = (keys[starts][many] >> _U(KEY_BITS - LEVEL_BITS)).astype(np.int64), level[many]
             order = np.lexsort((level, slot))
             slot, level = slot[order], level[order]
             last = np.flatnonzero(np.diff(slot, append=-1) != 0)
             yield pa.RecordBatch.from_arrays([pa.array([pack_sorted(slot[last].astype(_U))], pa.binary()), pa.array([pack_small(level[last])], pa.binary())], names=["slots", "levels"])
 
-    sent = sets.select("shingles").mapInArrow(send, "bucket int, keys binary, counts binary")
+    sent = sets.select("shingles").mapInArrow(send, "bucket int, keys binary, counts binary").repartition(nb, "bucket").sortWithinPartitions("bucket")
     table = np.zeros(1 << LEVEL_BITS, np.uint8)
-    for r in sent.repartition(nb, "bucket").mapInArrow(count, "slots binary, levels binary").toLocalIterator():
+    for r in sent.mapInArrow(count, "slots binary, levels binary").collect():  # at most one byte or two a slot, however large the corpus
         slot = unpack_sorted(r.slots).astype(np.int64)
         table[slot] = np.maximum(table[slot], unpack_small(r.levels).astype(np.uint8))
     return table
 
 
-def _short_lists(sets: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, members array of (class, n, last rank of its short lists)) for every shingle in the short lists of two classes or more."""
+def _fits(na, pa_, nb, pb):
+    """Whether sizes and the places of a shared shingle leave room for the required overlap, if it is the first shared one."""
+    return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (np.minimum(na - pa_, nb - pb) >= required(na, nb))
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh]
+
+
+def _pairs_of_lists(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs inside lists that start at ``starts`` and have few members."""
+    left, right = [], []
+    for m in range(2, SMALL_LIST + 1):
+        i, j = np.triu_indices(m, 1)
+        s = starts[lens == m]
+        left.append((s[:, None] + i).ravel())
+        right.append((s[:, None] + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _merged_lists(sets: DataFrame, levels: np.ndarray) -> DataFrame:
+    """What merging the short lists gives: candidate pairs (a, b), and for longer lists (token, members array of (class, n, place))."""
     spark = sets.sparkSession
     nb, table = _buckets(spark), spark.sparkContext.broadcast(levels)
 
     def send(batches):
-        tokens, owner, classes, sizes, lasts, held = [], [], [], [], [], 0
+        tokens, owner, places, salts, classes, sizes, held = [], [], [], [], [], [], 0
 
         def flush():
-            t, o = np.concatenate(tokens), np.concatenate(owner)
-            order = np.argsort(t, kind="stable")
-            t, o = t[order], o[order]
-            edges = bucket_edges(t, nb, TOKEN_BITS)
-            c, s, w = np.array(classes, np.int64), np.array(sizes, np.int64), np.array(lasts, np.int64)
+            t, o, p, g = np.concatenate(tokens), np.concatenate(owner), np.concatenate(places), np.concatenate(salts)
+            order = np.lexsort((t, g))
+            t, o, p, g = t[order], o[order], p[order], g[order]
+            c, s = np.array(classes, np.int64), np.array(sizes, np.int64)
             rows = []
-            for k in range(nb):
-                lo, hi = edges[k], edges[k + 1]
-                if hi > lo:
-                    mine, local = np.unique(o[lo:hi], return_inverse=True)
-                    rows.append((k, pack_sorted(t[lo:hi]), pack_small(local), c[mine].tobytes(), pack_small(s[mine]), w[mine].tobytes()))
+            for salt in np.unique(g).tolist():
+                first = int(np.searchsorted(g, salt))
+                edges = first + bucket_edges(t[first : np.searchsorted(g, salt, "right")], nb, KEY_BITS)
+                for k in range(nb):
+                    lo, hi = edges[k], edges[k + 1]
+                    if hi > lo:
+                        mine, local = np.unique(o[lo:hi], return_inverse=True)
+                        rows.append((salt * nb + k, pack_sorted(t[lo:hi]), pack_small(local), pack_small(p[lo:hi]), c[mine].tobytes(), pack_small(s[mine])))
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]], names=["bucket", "tokens", "owner", "classes", "sizes", "lasts"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]], names=["bucket", "tokens", "owner", "places", "classes", "sizes"])
 
         for b in batches:
             for cls, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = unpack_sorted(x)
                 short = len(s) - -(-PERCENT * len(s) // 100) + 1
-                rank = (table.value[(s >> _U(TOKEN_BITS - LEVEL_BITS)).astype(np.int64)].astype(_U) << _U(TOKEN_BITS)) | s
-                rank = np.sort(rank)[:short] if short < len(s) else rank
-                tokens.append(rank & _U((1 << TOKEN_BITS) - 1))
-                owner.append(np.full(len(tokens[-1]), len(classes)))
+                level = table.value[(s >> _U(64 - LEVEL_BITS)).astype(np.int64)]
+                rare = np.argsort(level, kind="stable")[:short]
+                tokens.append(s[rare] >> _U(64 - KEY_BITS))
+                level = level[rare].astype(np.int64)
+                salts.append(np.where(level < HOT_LEVEL, 0, 1 + (cls & 0xFFFFFF) % (1 << np.clip(level - HOT_LEVEL, 0, 20))))
+                owner.append(np.full(short, len(classes)))
+                places.append(np.arange(short))
                 classes.append(cls)
                 sizes.append(len(s))
-                lasts.append(int(rank.max()))
-                held += len(tokens[-1])
+                held += short
                 if held >= FLUSH:
                     yield flush()
-                    tokens, owner, classes, sizes, lasts, held = [], [], [], [], [], 0
+                    tokens, owner, places, salts, classes, sizes, held = [], [], [], [], [], [], 0
         if classes:
             yield flush()
 
     def merge(batches):
-        by: dict[int, list] = {}
-        for b in batches:
-            for k, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                local = unpack_small(rest[1])
-                by.setdefault(k, []).append((unpack_sorted(rest[0]), np.frombuffer(rest[2], np.int64)[local], unpack_small(rest[3])[local], np.frombuffer(rest[4], np.int64)[local]))
-        for parts in by.values():
-            t, c, s, w = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            order = np.lexsort((c, t))  # the merge of sorted lists: equal shingles stand together
-            t, c, s, w = t[order], c[order], s[order], w[order]
+        for bucket, parts in _by_bucket(batches):
+            t, c, n, p = [], [], [], []
+            for tokens, owner, places, classes, sizes in parts:
+                local = unpack_small(owner)
+                t.append(unpack_sorted(tokens))
+                c.append(np.frombuffer(classes, np.int64)[local])
+                n.append(unpack_small(sizes)[local])
+                p.append(unpack_small(places))
+            t, c, n, p = (np.concatenate(x) for x in (t, c, n, p))
+            order = np.lexsort((p, c, t))  # the merge of sorted lists: equal shingles stand together
+            t, c, n, p = t[order], c[order], n[order], p[order]
             fresh = np.ones(len(t), bool)
             fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c, s, w = t[fresh], c[fresh], s[fresh], w[fresh]
+            t, c, n, p = t[fresh], c[fresh], n[fresh], p[fresh]
             starts = np.flatnonzero(np.diff(t, prepend=~t[:1]) != 0)
-            ends = np.append(starts[1:], len(t))
-            keep = np.flatnonzero(ends - starts >= 2)
-            for block in np.array_split(keep, max(1, len(keep) // 20_000)):
+            lens = np.diff(np.append(starts, len(t)))
+            long = (lens > SMALL_LIST) | (bucket >= nb)  # a part of a very long list is long however few it holds
+            i, j = _pairs_of_lists(starts[~long], lens[~long])
+            # classes are in order inside a list, so the first is the same one in the many lists of a group of near copies
+            many = lens[long] - 1
+            first = np.repeat(starts[long], many)
+            other = first + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            i, j = np.concatenate([i, first]), np.concatenate([j, other])
+            good = _fits(n[i], p[i], n[j], p[j])
+            a, b = _distinct_pairs(c[i[good]], c[j[good]])
+            for lo in range(0, len(a), 50_000):
+                part = slice(lo, lo + 50_000)
+                m = len(a[part])
+                yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.nulls(m, pa.int64()), pa.nulls(m, kind)], names=names)
+            at, size = starts[long], lens[long]
+            for block in np.array_split(np.arange(len(at)), max(1, int(size.sum()) // 100_000)):
                 if len(block):
-                    lens = ends[block] - starts[block]
-                    take = np.repeat(starts[block], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-                    edges = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
-                    one = pa.StructArray.from_arrays([pa.array(c[take]), pa.array(s[take]), pa.array(w[take])], names=["class", "n", "last"])
-                    yield pa.RecordBatch.from_arrays([pa.array(t[starts[block]].astype(np.int64)), pa.ListArray.from_arrays(edges, one)], names=["token", "members"])
-
-    sent = sets.select("class", "shingles").mapInArrow(send, "bucket int, tokens binary, owner binary, classes binary, sizes binary, lasts binary")
-    return sent.repartition(nb, "bucket").mapInArrow(merge, "token long, members array<struct<class:long,n:long,last:long>>")
-
+                    s = size[block]
+                    take = np.repeat(at[block], s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
+                    one = pa.StructArray.from_arrays([pa.array(c[take]), pa.array(n[take]), pa.array(p[take])], names=["class", "n", "place"])
+                    members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s)]), pa.int32()), one)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(block), pa.int64()), pa.nulls(len(block), pa.int64()), pa.array(t[at[block]].astype(np.int64)), members], names=names)
 
-def _near_in_size(a: str, b: str) -> str:
-    """A pair whose sizes differ more than the threshold allows can't reach the overlap."""
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+    names, kind = ["a", "b", "token", "members"], pa.list_(pa.struct([("class", pa.int64()), ("n", pa.int64()), ("place", pa.int64())]))
+    sent = sets.select("class", "shingles").mapInArrow(send, "bucket int, tokens binary, owner binary, places binary, classes binary, sizes binary")
+    return sent.repartition(nb, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "a long, b long, token long, members array<struct<class:long,n:long,place:long>>")
 
 
-def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that reach the threshold, by binary probes of the smaller set in the larger."""
+def _wanted(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of the given classes, one row a class; a bitmap of fixed size (2^LEVEL_BITS bits) spares most others the join."""
+    named = cut(classes.distinct())
+    h = F.pmod("class", F.lit(1 << LEVEL_BITS)) + 1
+    parts = named.groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
+    bitmap = np.zeros((1 << LEVEL_BITS) // 8, np.uint8)
+    for r in parts:
+        bitmap[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    packed = sets.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(batches):
+    def may_be_named(batches):
         for b in batches:
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = unpack_sorted(x), unpack_sorted(y)
-                if len(x) > len(y):
-                    x, y = y, x
-                need = -(-PERCENT * (len(x) + len(y)) // (100 + PERCENT))
-                both, at = 0, 0
-                for part in np.array_split(x, max(1, len(x) // 256)):  # stops when the overlap is reached or out of reach
-                    spot = np.searchsorted(y, part)
-                    both += int((y[np.minimum(spot, len(y) - 1)] == part).sum())
-                    at += len(part)
-                    if both >= need or both + len(x) - at < need:
-                        break
-                good.append(both >= need)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            slot = (b.column(0).to_numpy(zero_copy_only=False).view(_U) & _U((1 << LEVEL_BITS) - 1)).astype(np.int64)
+            yield b.filter(pa.array((packed.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
 
+    few = sets.mapInArrow(may_be_named, sets.schema).join(named, "class", "left_semi")
+    return cut(few.groupBy("class").agg(F.first("shingles").alias("shingles")), fresh=True)
 
-def _promising(small: DataFrame, long: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes worth a probe.
 
-    From the merge of short lists: pairs whose common short lists are as many as the overlap asks for. Of the two classes,
-    the one whose short lists end at the lower rank shares nothing more before that rank, and n - short more after it at
-    most; a pair may also share lists that were too long to merge, as many as the fewer of the two are in. Classes of
-    longer lists are each paired with the class of middle size of its list.
-    """
-    x = small.select("members", F.explode("members").alias("l")).select("l", F.explode("members").alias("r")).where("l.class < r.class").where(_near_in_size("l.n", "r.n"))
-    x = x.groupBy(F.col("l.class").alias("a"), F.col("r.class").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"), F.col("l.last").alias("wa"), F.col("r.last").alias("wb")).agg(F.count("*").alias("shared"))
-    more = cut(long.select(F.explode("members.class").alias("class")).groupBy("class").agg(F.count("*").alias("k")))
-    x = x.join(more.select(F.col("class").alias("a"), F.col("k").alias("ka")), "a", "left").join(more.select(F.col("class").alias("b"), F.col("k").alias("kb")), "b", "left")
-    after = lambda n: f"((({PERCENT} * {n} + 99) div 100) - 1)"
-    rest = f"case when wa < wb then {after('na')} when wb < wa then {after('nb')} else greatest({after('na')}, {after('nb')}) end"
-    need = f"({PERCENT} * (na + nb) + {100 + PERCENT - 1}) div {100 + PERCENT}"
-    x = x.where(f"shared + least(coalesce(ka, 0), coalesce(kb, 0)) + {rest} >= {need}").select("a", "b")
-    by_size = long.withColumn("members", F.array_sort(F.transform("members", lambda m: F.struct(m["n"].alias("n"), m["class"].alias("class")))))
-    star = by_size.select(F.element_at("members", (F.size("members") / 2).cast("int")).alias("l"), F.explode("members").alias("r")).where("l.class <> r.class")
-    star = star.where(_near_in_size("l.n", "r.n")).select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
-    return x.unionByName(star).distinct()
+def reaches(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold, by binary probes of the smaller one in the larger."""
+    if len(x) > len(y):
+        x, y = y, x
+    need, both, at = required(len(x), len(y)), 0, 0
+    for part in np.array_split(x, max(1, len(x) // 256)):  # stops when the overlap is reached or out of reach
+        spot = np.searchsorted(y, part)
+        both += int((y[np.minimum(spot, len(y) - 1)] == part).sum())
+        at += len(part)
+        if both >= need or both + len(x) - at < need:
+            break
+    return both >= need
 
 
-def _wanted(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """The sets of the given classes, one row a class; a bitmap of fixed size spares most others the join."""
-    spark = sets.sparkSession
+def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that reach the threshold."""
 
-    def slots(batches):
+    def run(batches):
         for b in batches:
-            got = np.unique((b.column(0).to_numpy(zero_copy_only=False).view(_U) >> _U(64 - LEVEL_BITS)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([pack_sorted(got.astype(_U))], pa.binary())], names=["slots"])
+            good = [reaches(unpack_sorted(x), unpack_sorted(y)) for x, y in zip(b.column(2), b.column(3), strict=True) for x, y in [(x.as_py(), y.as_py())]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    named = cut(classes.distinct())
-    bits = np.zeros(1 << LEVEL_BITS, bool)
-    for r in named.coalesce(_buckets(spark)).mapInArrow(slots, "slots binary").toLocalIterator():
-        bits[unpack_sorted(r.slots).astype(np.int64)] = True
-    packed = spark.sparkContext.broadcast(np.packbits(bits))
+    found = _wanted(sets, pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    left = found.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
+    right = found.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    def may_be_named(batches):
-        bits = np.unpackbits(packed.value).astype(bool)
-        for b in batches:
-            yield b.filter(pa.array(bits[(b.column(0).to_numpy(zero_copy_only=False).view(_U) >> _U(64 - LEVEL_BITS)).astype(np.int64)]))
 
-    few = sets.mapInArrow(may_be_named, sets.schema).join(named, "class", "left_semi")
-    return few.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-
-
-def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """|x[i] & y[j]| for all i and j, each set sorted: short inverted lists are merged, long ones probed as rows of bits."""
-    tx, ty = np.concatenate(x), np.concatenate(y)
-    ox, oy = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
-    tokens = np.intersect1d(tx, ty)
-    out = np.zeros((len(x), len(y)), np.int64)
-    if not len(tokens):
-        return out
-    parts = []
-    for t, o in ((tx, ox), (ty, oy)):
-        at = np.searchsorted(tokens, t)
-        hit = tokens[np.minimum(at, len(tokens) - 1)] == t
-        at, o = at[hit], o[hit]
-        order = np.argsort(at, kind="stable")
-        parts.append((at[order], o[order], np.bincount(at, minlength=len(tokens))))
-    (ax, px, nx), (ay, py, ny) = parts
-    long = nx * ny > LONG_LIST
-    fx, fy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
-    short = np.flatnonzero(~long)
-    many = nx[short] * ny[short]
-    token = np.repeat(short, many)
-    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    np.add.at(out, (px[fx[token] + inner // ny[token]], py[fy[token] + inner % ny[token]]), 1)
-    place = np.cumsum(long) - 1
-    for lo in range(0, int(long.sum()), 4096):
-        mx, my = (np.zeros((len(s), 4096), np.float32) for s in (x, y))
-        for a, p, m in ((ax, px, mx), (ay, py, my)):
-            mine = long[a] & (place[a] >= lo) & (place[a] < lo + 4096)
-            m[p[mine], place[a[mine]] - lo] = 1
-        out += np.rint(mx @ my.T).astype(np.int64)
-    return out
-
-
-def _across(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of different components among the (token, class, component) of ``member``.
-
-    Classes that share lists, directly or through others, form a family; a family is cut into blocks of about ``BLOCK``
-    classes, and every pair of blocks is one unit of work. Of the links between two components one for each unit stays.
-    """
+def _across(member: DataFrame) -> DataFrame:
+    """Pairs (a, b) worth a probe from classes of one list in different components; ``member``: token, n_list, class, n, place, component."""
     nb = _buckets(member.sparkSession)
-    least = member.groupBy("token").agg(F.min("class").alias("least"))
-    # a class is tied to the least of all its lists, and the leasts of its lists to that one: few edges, same components
-    tied = cut(member.join(least, "token").select("class", "least").distinct())
-    low = tied.groupBy("class").agg(F.min("least").alias("low"))
-    ties = low.select("class", "low").unionByName(tied.join(low, "class").select(F.col("least").alias("class"), "low")).distinct()
-    family = connected_components(ties, "class", "low")
-    own = family.select(F.col("node").alias("class"), F.col("component").alias("family"))
-    sizes = own.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = member.select("class", "component").distinct().join(own, "class").join(sizes, "family").join(sets, "class")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "class", "component", "shingles")
-
-    def work(key, group):
-        lo, hi = key[1:]
-        sides = []
-        for want in (lo, hi):
-            part = [g for g in group if g[0] == want]
-            sides.append((np.array([g[1] for g in part], np.int64), np.array([g[2] for g in part], np.int64), [unpack_sorted(g[3]) for g in part]))
-        (ca, ka, xa), (cb, kb, xb) = sides
-        if not len(ca) or not len(cb) or len(np.unique(np.concatenate([ka, kb]))) < 2:
-            return None
-        both = overlaps(xa, xb)
-        total = np.array([len(s) for s in xa])[:, None] + np.array([len(s) for s in xb])[None, :]
-        i, j = np.nonzero((100 * both >= PERCENT * (total - both)) & (ka[:, None] != kb[None, :]))
-        _, one = np.unique(np.stack([np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])]), axis=1, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(ca[i[one]]), pa.array(cb[j[one]])], names=["a", "b"])
+    blocks = F.ceil(F.col("n_list") / BLOCK).cast("int")
+    rows = member.withColumn("mine", F.pmod(F.xxhash64("class"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "class", "n", "place", "component")
+
+    def work(lo, hi, group):
+        mine, cls, n, place, comp = (np.array(x, np.int64) for x in zip(*group, strict=True))
+        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+        out = []
+        for part in np.array_split(left, max(1, len(left) * len(right) // 2_000_000)):
+            i, j = part[:, None], right[None, :]
+            x, y = np.nonzero(_fits(n[i], place[i], n[j], place[j]) & (comp[i] != comp[j]))
+            out.append((cls[part[x]], cls[right[y]]))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     def run(batches):
-        key, group = None, []
-        for b in batches:
-            for *k, mine, cls, component, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        key, group, a, b = None, [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def give():
+            x, y = _distinct_pairs(np.concatenate(a), np.concatenate(b))
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        for batch in batches:
+            for *k, mine, cls, n, place, comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
-                    out = work(key, group) if group else None
-                    if out is not None:
-                        yield out
+                    if group:
+                        x, y = work(*key[1:], group)
+                        a.append(x)
+                        b.append(y)
+                    if sum(map(len, a)) > FLUSH // 4:
+                        yield give()
+                        a, b = [], []
+                        a.append(np.zeros(0, np.int64))
+                        b.append(np.zeros(0, np.int64))
                     key, group = k, []
-                group.append((mine, cls, component, x))
-        out = work(key, group) if group else None
-        if out is not None:
-            yield out
+                group.append((mine, cls, n, place, comp))
+        if group:
+            x, y = work(*key[1:], group)
+            a.append(x)
+            b.append(y)
+        yield give()
 
-    dealt = rows.repartition(nb, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(nb, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def class_links(docs: DataFrame, n: int = 5, **cols) -> tuple[DataFrame, DataFrame]:
     """(documents as doc_id, class, n; components of linked classes as class, component)."""
     rows = cut(shingle_sets(docs, n, **cols))
-    sets = rows.where("shingles is not null").select("class", "n", "shingles")
-    lists = cut(_short_lists(sets, _levels(sets)), fresh=True)
-    long = lists.where(F.size("members") > SMALL_LIST)
-    pairs = cut(_promising(lists.where(F.size("members") <= SMALL_LIST), long), fresh=True)
-    links = cut(probe(pairs, cut(_wanted(sets, pairs.select(F.explode(F.array("a", "b")).alias("class"))), fresh=True)), fresh=True)
-    parts = connected_components(links, "a", "b")
+    sets = rows.where("shingles is not null").select("class", "shingles")
+    lists = cut(_merged_lists(sets, _levels(sets)), fresh=True)
+    pairs = cut(lists.where("a is not null").select("a", "b").distinct())
+    parts = connected_components(probe(pairs, sets), "a", "b").select(F.col("node").alias("class"), "component")
     # what is left: classes of one long list in different components
-    member = long.select("token", F.explode("members.class").alias("class")).join(parts.withColumnRenamed("node", "class"), "class", "left")
-    member = member.withColumn("component", F.coalesce("component", "class"))
-    mixed = member.groupBy("token").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("token")
-    member = cut(member.join(mixed, "token", "left_semi"))
-    if not member.isEmpty():
-        links = cut(links.unionByName(_across(member, cut(_wanted(sets, member.select("class")), fresh=True))), fresh=True)
-        parts = connected_components(links, "a", "b")
-    return rows.select("doc_id", "class", "n"), parts.withColumnRenamed("node", "class")
+    member = lists.where("token is not null").select("token", F.explode("members").alias("m")).select("token", "m.*")
+    member = member.join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = member.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_list")).where("lo < hi").select("token", "n_list")
+    more = cut(_across(member.join(mixed, "token")).join(pairs, ["a", "b"], "left_anti"), fresh=True)
+    if not more.isEmpty():
+        ends = probe(more, sets)
+        for k in ("a", "b"):
+            ends = ends.join(parts.select(F.col("class").alias(k), F.col("component").alias("to")), k, "left").withColumn(k, F.coalesce("to", k)).drop("to")
+        merged = connected_components(ends, "a", "b")
+        # a component that merges takes its new name, and so does a class that had no link before
+        parts = parts.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("class", F.coalesce("to", "component").alias("component"))
+        parts = cut(parts.unionByName(merged.select(F.col("node").alias("class"), "component").join(parts.select("class"), "class", "left_anti")))
+    return rows.select("doc_id", "class", "n"), parts
 
 
 def components(docs: DataFrame, n: int = 5, **cols) -> DataFrame:
@@ -394,9 +393,9 @@ def components(docs: DataFrame, n: int = 5, **cols) -> DataFrame:
     named = cut(classes.join(smallest, "component").select("class", "component_id"))
     # rows that repeat a doc_id tie the components of their texts together
     many = known.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id")
-    tied = known.join(many, "doc_id", "left_semi").join(named, "class")
-    if not tied.isEmpty():
-        ties = tied.groupBy("doc_id").agg(F.min("component_id").alias("low")).join(tied.select("doc_id", "component_id"), "doc_id")
+    ties = cut(known.join(many, "doc_id", "left_semi").join(named, "class").select("doc_id", "component_id"))
+    if not ties.isEmpty():
+        ties = ties.groupBy("doc_id").agg(F.min("component_id").alias("low")).join(ties, "doc_id")
         merged = connected_components(ties, "low", "component_id").select(F.col("node").alias("component_id"), F.col("component").alias("to"))
         named = named.join(merged, "component_id", "left").select("class", F.coalesce("to", "component_id").alias("component_id"))
     out = rows.join(named, "class", "left")

@@ -158,13 +158,34 @@ def test_jaccard_components(spark):
     assert jaccard_join.components(null_id).first().component_id is None
 
 
-def test_overlaps():
+def test_jaccard_probe():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    x, y = ([np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.uint64) for _ in range(60)] for _ in range(2))
-    want = [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
-    assert jaccard_join.overlaps(x, y).tolist() == want
+    for _ in range(2000):
+        whole = np.unique(rng.integers(0, 2**40, rng.integers(1, 700))).astype(np.uint64)
+        x, y = (np.sort(whole[rng.random(len(whole)) < rng.uniform(0.6, 1)]) for _ in range(2))
+        if len(x) and len(y):
+            both = len(np.intersect1d(x, y))
+            assert jaccard_join.reaches(x, y) == (100 * both >= 75 * (len(x) + len(y) - both))
+
+
+def test_jaccard_long_lists(spark):
+    """Texts around one long shared passage: some link, some do not, and a chain links only through its middle."""
+    rng, v = random.Random(23), vocabulary(3000, 5)
+    passage = [rng.choice(v) for _ in range(90)]
+    texts = [" ".join(passage + [rng.choice(v) for _ in range(rng.randint(0, 40))]) for _ in range(150)]
+    texts += [" ".join(passage[k : k + 60]) for k in range(0, 31, 2)]
+    ids = rng.sample(range(10_000), len(texts))
+    d = frame(spark, texts, ids=ids).withColumn("class", F.lit("x")).withColumn("shingles", F.lit(1)).withColumn("token", F.lit(2)).withColumn("n", F.lit(3))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(d).collect())
+    assert got == brute_components(ids, texts)
+    assert jaccard_join.keep_one_of_each(d).columns == d.columns
+
+
+def test_jaccard_keeps_shingles_of_equal_leading_bits_apart(spark):
+    d = frame(spark, ["a b c d 1430860", "a b c d 3284479", "a b c d 3284479"], ids=[1, 2, 3])
+    assert {r.doc_id: r.component_id for r in jaccard_join.components(d).collect()} == {1: 1, 2: 2, 3: 2}
 
 
 # 8: repeated byte strings
