@@ -31,12 +31,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage; ``fresh`` releases earlier phases first."""
-    checkpoint_dir(df.sparkSession)
+def cut(df: DataFrame, fresh: bool = False, placed: bool = False) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage; ``fresh`` releases earlier phases first.
+
+    ``placed`` keeps what Spark knows of how the rows are dealt (it does only without adaptive execution), so that a later
+    join or aggregation on the same key moves the other side alone.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     if fresh:
-        release(df.sparkSession)
-    return df.checkpoint(eager=True)
+        release(spark)
+    if not placed:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def counted(df: DataFrame, condition) -> tuple[DataFrame, int]:
