@@ -6,7 +6,10 @@ keys sorted, cut to ``bits`` leading bits, stored as byte planes of their differ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 
@@ -60,3 +63,17 @@ def bucket_edges(sorted_keys: np.ndarray, buckets: int, bits: int) -> np.ndarray
     """Positions at which sorted keys of ``bits`` bits pass from one equal range of key space to the next."""
     marks = [(b << bits) // buckets for b in range(1, buckets)]
     return np.concatenate([[0], np.searchsorted(sorted_keys, np.array(marks, np.uint64)), [len(sorted_keys)]])
+
+
+def rows_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(key, the rest of its rows) from batches sorted by their first column; one key's rows are held at a time."""
+    key, rows = None, []
+    for b in batches:
+        for k, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != key:
+                if rows:
+                    yield key, rows
+                key, rows = k, []
+            rows.append(rest)
+    if rows:
+        yield key, rows

@@ -15,7 +15,7 @@ How it spreads:
    shingles last, so shared passages are long lists and never merged.
 3. Short lists are dealt by shingle, with each class's size and the shingle's place in its order. Two classes that meet
    first at places i and j share min(|x| - i, |y| - j) shingles at most; pairs that this or their sizes rule out go.
-   Lists of up to ``SMALL_LIST`` classes give all other pairs, longer ones only those with one of their classes. Very
+   Lists of up to ``SMALL_LIST`` classes give all other pairs, longer ones only those with their middle class. Very
    common shingles (2^``HOT_LEVEL`` documents or more) are dealt in as many parts as keep a part near that size.
 4. Candidates are probed on the 64-bit sets; those that reach the threshold are links, and links make components.
    Of the longer lists only those whose classes are still in different components are met again: their pairs across
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.blobs import bucket_edges, pack_small, pack_sorted, unpack_small, unpack_sorted
+from driftwell.llm.blobs import bucket_edges, pack_small, pack_sorted, rows_by_key, unpack_small, unpack_sorted
 from driftwell.llm.tokens import mix, shingles, sub_batches, words
 from driftwell.operators.graph import connected_components, cut
 
@@ -91,20 +91,6 @@ def shingle_sets(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "doc_id long, class long, n long, shingles binary")
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
-    """(bucket, its rows without the bucket) from rows sorted by bucket: one bucket is held at a time."""
-    key, rows = None, []
-    for b in batches:
-        for k, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if k != key:
-                if rows:
-                    yield key, rows
-                key, rows = k, []
-            rows.append(rest)
-    if rows:
-        yield key, rows
-
-
 def _levels(sets: DataFrame) -> np.ndarray:
     """The fixed-size table of how common shingles are: 2^LEVEL_BITS bytes, whatever the corpus."""
     nb = _buckets(sets.sparkSession)
@@ -130,7 +116,7 @@ def _levels(sets: DataFrame) -> np.ndarray:
             yield flush()
 
     def count(batches):
-        for _, parts in _by_bucket(batches):
+        for _, parts in rows_by_key(batches):
             keys, counts = np.concatenate([unpack_sorted(p[0]) for p in parts]), np.concatenate([unpack_small(p[1]) for p in parts])
             order = np.argsort(keys, kind="stable")
             keys, counts = keys[order], counts[order]
@@ -222,7 +208,7 @@ def _merged_lists(sets: DataFrame, levels: np.ndarray) -> DataFrame:
             yield flush()
 
     def merge(batches):
-        for bucket, parts in _by_bucket(batches):
+        for bucket, parts in rows_by_key(batches):
             t, c, n, p = [], [], [], []
             for tokens, owner, places, classes, sizes in parts:
                 local = unpack_small(owner)
@@ -236,11 +222,13 @@ def _merged_lists(sets: DataFrame, levels: np.ndarray) -> DataFrame:
             fresh = np.ones(len(t), bool)
             fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             t, c, n, p = t[fresh], c[fresh], n[fresh], p[fresh]
+            order = np.lexsort((c, p, t))
+            t, c, n, p = t[order], c[order], n[order], p[order]
             starts = np.flatnonzero(np.diff(t, prepend=~t[:1]) != 0)
             lens = np.diff(np.append(starts, len(t)))
             long = (lens > SMALL_LIST) | (bucket >= nb)  # a part of a very long list is long however few it holds
             i, j = _pairs_of_lists(starts[~long], lens[~long])
-            # classes are in order inside a list, so the first is the same one in the many lists of a group of near copies
+            # the class with the fewest rarer shingles comes first: of a group of near copies the one in the middle, in all their lists
             many = lens[long] - 1
             first = np.repeat(starts[long], many)
             other = first + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -281,7 +269,7 @@ def _wanted(sets: DataFrame, classes: DataFrame) -> DataFrame:
             yield b.filter(pa.array((packed.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
 
     few = sets.mapInArrow(may_be_named, sets.schema).join(named, "class", "left_semi")
-    return cut(few.groupBy("class").agg(F.first("shingles").alias("shingles")), fresh=True)
+    return cut(few.groupBy("class").agg(F.first("shingles").alias("shingles")), fresh=True, placed=True)
 
 
 def reaches(x: np.ndarray, y: np.ndarray) -> bool:
@@ -309,7 +297,8 @@ def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     found = _wanted(sets, pairs.select(F.explode(F.array("a", "b")).alias("class")))
     left = found.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = found.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # the sets lie dealt by class: only the pairs move, and then with the set of one end
+    return right.join(pairs.hint("shuffle_hash"), "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _across(member: DataFrame) -> DataFrame:
@@ -365,7 +354,7 @@ def class_links(docs: DataFrame, n: int = 5, **cols) -> tuple[DataFrame, DataFra
     rows = cut(shingle_sets(docs, n, **cols))
     sets = rows.where("shingles is not null").select("class", "shingles")
     lists = cut(_merged_lists(sets, _levels(sets)), fresh=True)
-    pairs = cut(lists.where("a is not null").select("a", "b").distinct())
+    pairs = cut(lists.where("a is not null").select("a", "b").distinct(), fresh=True)
     parts = connected_components(probe(pairs, sets), "a", "b").select(F.col("node").alias("class"), "component")
     # what is left: classes of one long list in different components
     member = lists.where("token is not null").select("token", F.explode("members").alias("m")).select("token", "m.*")
