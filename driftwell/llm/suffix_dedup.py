@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.blobs import bucket_edges, pack_small, pack_sorted, squeeze, unpack_small, unpack_sorted, unsqueeze
+from driftwell.llm.blobs import bucket_edges, pack_small, pack_sorted, rows_by_key, squeeze, unpack_small, unpack_sorted, unsqueeze
 from driftwell.llm.tokens import mix
 from driftwell.operators.graph import cut, release
 
@@ -131,11 +131,7 @@ def _mark(chunks: DataFrame, keys_of, columns: list[str], bits: int) -> DataFram
                     yield pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "keys", "counts"])
 
     def compare(batches):
-        by: dict[int, list] = {}
-        for b in batches:
-            for k, chunk, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(k, []).append((chunk, keys, counts))
-        for k, parts in by.items():
+        for k, parts in rows_by_key(batches):
             owners = [p[0] for p in parts]
             keys = [unpack_sorted(p[1]) for p in parts]
             sizes = [len(x) for x in keys]
@@ -154,7 +150,7 @@ def _mark(chunks: DataFrame, keys_of, columns: list[str], bits: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(owners[lo:hi], pa.int64()), pa.array([k] * (hi - lo), pa.int32()), pa.array(out[lo:hi], pa.binary())], names=["chunk", "bucket", "bits"])
 
     sent = chunks.select("chunk", *columns).mapInArrow(send, "bucket int, chunk long, keys binary, counts binary")
-    back = sent.repartition(nb, "bucket").mapInArrow(compare, "chunk long, bucket int, bits binary")
+    back = sent.repartition(nb, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "chunk long, bucket int, bits binary")
     return back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
 
 
@@ -174,7 +170,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     nb, residues = int(spark.conf.get("spark.sql.shuffle.partitions")), COVER
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = cut(_chunks(texts), fresh=True)
+    # dealt by chunk and written once; from here on only keys and answers move
+    chunks = cut(_chunks(texts).repartition(nb, "chunk"), fresh=True, placed=True)
 
     def opened(row):
         return np.frombuffer(unsqueeze(row["data"]), np.uint8), np.array(row["lengths"], np.int64)
@@ -187,10 +184,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at, keys = _sample_keys(data, lengths, residues)
         return _remaining_keys(data, lengths, at, _flags(keys, row["answers"], nb, SAMPLE_BITS))
 
-    # each phase's chunks take the place of the last one's, so no two phases lie on disk together
     first = cut(_mark(chunks, sampled, ["lengths", "data"], SAMPLE_BITS), fresh=True)
-    chunks = cut(chunks.join(first, "chunk", "left"), fresh=True)
-    del first
+    chunks = chunks.join(first.hint("shuffle_hash"), "chunk", "left")
     second = cut(_mark(chunks, remaining, ["lengths", "data", "answers"], 64), fresh=True).withColumnRenamed("answers", "final")
     release(spark)
 
@@ -214,5 +209,5 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = chunks.join(second, "chunk", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = chunks.join(second.hint("shuffle_hash"), "chunk", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.drop("kept") if digest_only else done
