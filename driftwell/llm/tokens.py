@@ -20,6 +20,14 @@ _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256).astype(np.uint64
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def unused(df, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all columns of ``df``, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
