@@ -6,7 +6,8 @@ its id falls below the fraction.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0 get the
 copies of their source but take no words; an empty table gives no rows; repeated rows decide alike and each counts; a
-source of size 0 has rate 0. Extra columns pass through ``mix_documents`` untouched.
+source of size 0 has rate 0. Extra columns, whatever their names, pass through ``mix_documents`` untouched; a null id
+decides by its text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.llm.tokens import unused
 from driftwell.operators.graph import cut, running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,27 +61,45 @@ def copies(rate: Column, key: Column, seed: str) -> Column:
     return (F.floor(rate) + F.when(unit_hash(key, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
+def row_key(id_col: str, text_col: str = "text") -> Column:
+    """What decides for a row: its id, or its text where the id is null."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text_col, F.lit("")))))
+
+
+def _planned(docs: DataFrame, name: str, seed: str, id_col: str, targets: dict) -> DataFrame:
+    """Adds the struct ``name`` with size, source_size, target and copies of every row."""
+    side = f"{name}_source"
+    sized = docs.withColumn(name, F.struct(word_count(F.col("text")).alias("size"), row_key(id_col).alias("key")))
+    t = source_targets(sized.select("source", F.col(name)["size"].alias("size")), **targets)
+    t = t.select(F.col("source").alias(side), F.struct("source_size", "target").alias(f"{name}_of"))
+    of, size = F.col(f"{name}_of"), F.col(name)["size"]
+    rate = F.when(of["source_size"] > 0, of["target"] / of["source_size"]).otherwise(0.0)
+    joined = sized.join(t, F.col("source").eqNullSafe(F.col(side)), "left")
+    plan = F.struct(size.alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), copies(rate, F.col(name)["key"], seed).alias("copies"))
+    return joined.withColumn(name, plan).select(*docs.columns, name)
+
+
 def plan_mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", **targets) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every document."""
-    sized = docs.select(id_col, "source", word_count(F.col("text")).alias("size"))
-    t = source_targets(sized, **targets).withColumnRenamed("source", "_s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = sized.join(t, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("copies", copies(rate, F.col(id_col), seed))
-    return out.select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    out = _planned(docs.select(id_col, "source", "text"), unused(docs, "plan"), seed, id_col, targets)
+    plan = F.col(out.columns[-1])
+    return out.select(id_col, plan["size"].alias("size"), plan["source_size"].alias("source_size"), plan["target"].alias("target"), (plan["copies"] * plan["size"]).alias("taken"), plan["copies"].alias("copies"))
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", **targets) -> DataFrame:
-    """The mixed corpus itself: every row of ``docs`` repeated as its copies say, with ``_copy`` from 1."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    t = source_targets(sized, size="_size", **targets).withColumnRenamed("source", "_s").withColumnRenamed("source_size", "_ss").withColumnRenamed("target", "_t")
-    rate = F.when(F.col("_ss") > 0, F.col("_t") / F.col("_ss")).otherwise(0.0)
-    out = sized.join(t, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_n", copies(rate, F.col(id_col), seed))
-    each = F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return out.withColumn("_copy", F.explode(each)).select(*docs.columns, "_copy")
+    """The mixed corpus itself: every row of ``docs`` repeated as its copies say, with their number from 1 in ``_copy``.
+
+    If ``docs`` has a column of that name already, the number's column gets as many more underscores as it takes.
+    """
+    name = unused(docs, "plan")
+    out = _planned(docs, name, seed, id_col, targets)
+    n = F.col(name)["copies"].cast("int")
+    each = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return out.select(*docs.columns, F.explode(each).alias(unused(docs, "_copy")))
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * source_size AS cap FROM s),
 c AS (SELECT *, coalesce(sum(cap) OVER o, 0)::DOUBLE AS capped, coalesce(sum(w) OVER o, 0)::DOUBLE AS weighed FROM r
@@ -87,9 +107,9 @@ c AS (SELECT *, coalesce(sum(cap) OVER o, 0)::DOUBLE AS capped, coalesce(sum(w)
 l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE - capped) / ((SELECT sum(w) FROM r)::DOUBLE - weighed) AS level FROM c),
 f AS (SELECT arg_min(level, weighed) AS level FROM l WHERE level * w <= cap),
 t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM f) * w, cap::DOUBLE)) AS target FROM r),
-x AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+x AS (SELECT doc_id, key, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       ((floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
+       ((floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
          < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM x
 """

@@ -16,19 +16,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.llm.tokens import unused
+
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
-SSN = r"[0-9]++(?:-[0-9]++)++"
+SSN = r"(?<![0-9])[0-9]++(?:-[0-9]++)++"
+SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
 #: Words within ``CONTEXT_CHARS`` before or after a span that make the kind likelier, and those that make it less likely.
-CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|payment", "phone": "phone|call|tel|mobile", "iban": "iban|bank|account", "ssn": "ssn|social|security"}
+CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|payment", "phone": "phone|call|tel|mobile", "iban": "iban|bank|account", "ssn": "ssn|social|security", "secret": "token|secret|key|password|passwd|bearer|credential"}
 AGAINST = "version|example|sample|test|isbn|order"
 CONTEXT_CHARS = 40
-START_SCORE = {"email": 0.8, "ip": 0.7, "card": 0.9, "phone": 0.6, "iban": 0.95, "ssn": 0.4}
+START_SCORE = {"email": 0.8, "ip": 0.7, "card": 0.9, "phone": 0.6, "iban": 0.95, "ssn": 0.4, "secret": 0.4}
 
 
 def _digits(c: Column) -> Column:
@@ -72,31 +75,28 @@ def _valid(kind: str, m: Column) -> Column:
         return mod97(m)
     if kind == "ssn":
         return m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
 def _proposed(text: Column, kind: str, pattern: str) -> Column:
     """Array of (start, end, text) for the matches of the pattern that their checks confirm."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    shape = "struct<at:int,spans:array<struct<start:int,end:int,text:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("spans"))
-
-    def step(acc, x):
-        s = acc["at"] + F.length(x["piece"])
-        e = s + F.length(x["match"])
-        return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(F.struct(s.alias("start"), e.alias("end"), x["match"].alias("text")))).alias("spans")).cast(shape)
+    lengths = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+    # only numbers are carried along: the ends of the matches, as one running sum
+    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+    spans = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
+    return F.filter(spans, lambda x: _valid(kind, x["text"]))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.filter(F.aggregate(pairs, start.cast(shape), step)["spans"], lambda x: _valid(kind, x["text"]))
 
-
-def _scorer(order: int, kind: str):
+def _scorer(order: int, kind: str, text: Column):
     """A function that gives a proposed span its kind and its score from the words around it."""
     word = lambda names: rf"(?:^|[^a-z0-9])(?:{names})(?:[^a-z0-9]|$)"
 
     def scored(x):
         lo = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.concat(F.substr(F.col("_t"), lo + 1, x["start"] - lo), F.lit(" "), F.substr(F.col("_t"), x["end"] + 1, F.lit(CONTEXT_CHARS))))
+        near = F.lower(F.concat(F.substr(text, lo + 1, x["start"] - lo), F.lit(" "), F.substr(text, x["end"] + 1, F.lit(CONTEXT_CHARS))))
         score = F.lit(START_SCORE[kind]) + F.when(near.rlike(word(CONTEXT[kind])), 0.2).otherwise(0.0) - F.when(near.rlike(word(AGAINST)), 0.2).otherwise(0.0)
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
         return F.struct(x["start"].alias("start"), F.lit(order).alias("kind_order"), F.lit(kind).alias("kind"), x["end"].alias("end"), score.alias("score"), x["text"].alias("text"))
@@ -107,27 +107,30 @@ def _scorer(order: int, kind: str):
 #: A cheap test that every text with a match passes; texts that fail it skip the scan for places.
 GATES = {
     "email": lambda t: t.contains("@"), "phone": lambda t: t.contains("+"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
-    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]"), "ssn": lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"),
+    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]"), "ssn": lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), "secret": lambda t: t.rlike(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20}"),
 }
-PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
+PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "secret": SECRET}
 
 
-def find_spans(docs: DataFrame, kinds: tuple = BASE + ADDED, text_col: str = "text", keep_score: float = 0.5) -> DataFrame:
-    """Adds ``spans``: array of (kind, start, end, score, text) by start, then kind in the order of ``kinds``.
+def find_spans(docs: DataFrame, kinds: tuple = BASE + ADDED, text_col: str = "text", keep_score: float = 0.5, name: str = "spans") -> DataFrame:
+    """Adds ``name``: array of (kind, start, end, score, text) by start, then kind in the order of ``kinds``.
 
     A span's score starts at its kind's value and moves by 0.2 for a context word of its kind nearby and by -0.2 for a
-    word that speaks against it. Base kinds stay whatever their score; added kinds need ``keep_score``.
+    word that speaks against it. Base kinds stay whatever their score; added kinds need ``keep_score``. A column that has
+    this name already is replaced; all others pass through.
     """
     spans = "array<struct<start:int,kind_order:int,kind:string,end:int,score:double,text:string>>"
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    raw = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    for k in kinds:
-        raw = raw.withColumn(f"_{k}", F.when(GATES[k](F.col("_t")), _proposed(F.col("_t"), k, PATTERNS[k])).otherwise(none))
+    work = unused(docs, "work")
+    text = F.col(work)["text"]
+    raw = docs.withColumn(work, F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    proposed = [F.when(GATES[k](text), _proposed(text, k, PATTERNS[k])).otherwise(none).alias(k) for k in kinds]
+    raw = raw.withColumn(work, F.struct(text.alias("text"), *proposed))
     parts = []
     for i, k in enumerate(kinds):
-        part = F.transform(F.col(f"_{k}"), _scorer(i, k))
+        part = F.transform(F.col(work)[k], _scorer(i, k, text))
         parts.append((part if k in BASE else F.filter(part, lambda x: x["score"] >= keep_score)).cast(spans))
-    return raw.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_t", *[f"_{k}" for k in kinds])
+    return raw.withColumn(name, F.array_sort(F.concat(*parts))).drop(work)
 
 
 def _joined(spans: Column) -> Column:
@@ -144,7 +147,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every found span replaced by [KIND]; overlapping spans go as one, named by the first that starts."""
-    found = find_spans(docs, text_col=text_col)
+    name = unused(docs, "spans")
+    found = find_spans(docs, text_col=text_col, name=name)
     t = F.col(text_col)
     shape = "struct<at:int,out:string>"
 
@@ -153,13 +157,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         longer = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")).cast(shape)
         return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), put.alias("out")).cast(shape)).otherwise(longer)
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(shape), step)
-    clean = F.when(F.size("spans") == 0, t).otherwise(F.concat(done["out"], F.substr(t, done["at"] + 1)))
+    done = F.aggregate(name, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(shape), step)
+    clean = F.when(F.size(name) == 0, t).otherwise(F.concat(done["out"], F.substr(t, done["at"] + 1)))
     return found.withColumn(text_col, clean).select(*docs.columns)
 
 
-
-
 def _sql_spans(order: int, kind: str, pattern: str, valid: str) -> str:
     return rf"""
   SELECT k, {order} AS ord, '{kind}' AS kind, s, s + length(m) AS e, t FROM (
@@ -171,10 +173,17 @@ def _sql_spans(order: int, kind: str, pattern: str, valid: str) -> str:
 
 _LUHN = "length(g) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(r, i, 1)::INT WHEN substr(r, i, 1)::INT > 4 THEN substr(r, i, 1)::INT * 2 - 9 ELSE substr(r, i, 1)::INT * 2 END)) % 10 = 0"
 _MOD97 = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)), lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1"
-_SSN = (
-    "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND regexp_matches(n, '(?:^|[^a-z0-9])(?:ssn|social|security)(?:[^a-z0-9]|$)') "
-    "AND NOT regexp_matches(n, '(?:^|[^a-z0-9])(?:version|example|sample|test|isbn|order)(?:[^a-z0-9]|$)')"
-).replace("(n,", "(lower(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(t, s + length(m) + 1, 40)),")
+_NEAR = "(lower(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(t, s + length(m) + 1, 40)),"
+
+
+def _sql_context(kind: str) -> str:
+    """For a kind whose start score is under the threshold: a word for it nearby, and none against it."""
+    word = lambda names: f"'(?:^|[^a-z0-9])(?:{names})(?:[^a-z0-9]|$)')"
+    return f"regexp_matches{_NEAR} {word(CONTEXT[kind])} AND NOT regexp_matches{_NEAR} {word(AGAINST)}"
+
+
+_SSN = "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND " + _sql_context("ssn")
+_SECRET = "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND " + _sql_context("secret")
 ORACLE = (
     "WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), f AS ("
     + " UNION ALL ".join([
@@ -184,6 +193,7 @@ ORACLE = (
         _sql_spans(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(g) BETWEEN 10 AND 15"),
         _sql_spans(4, "iban", IBAN, _MOD97),
         _sql_spans(5, "ssn", r"[0-9]+(?:-[0-9]+)+", _SSN),
+        _sql_spans(6, "secret", r"[A-Za-z0-9_+/=-]{20,}", _SECRET),
     ])
     + r""")
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.operators.graph import running_sums
+from driftwell.operators.graph import cut, running_sums
 
 START, SEP, END = "<|", "|>\n", "\n<|end|>\n"
 TRAINED_ROLE = "assistant"
@@ -37,6 +37,7 @@ def pair_up(convs: DataFrame) -> DataFrame:
     all whole pairs, where such odd ones pair in order of their first turn and at most one stays alone. The lower id of a
     pair is the chosen one. Positions come from range partitions, not from one window over all.
     """
+    convs = cut(convs)  # read once for the pairing and twice for the pairs
     first = convs.select("conv_id", F.md5(F.element_at("turns", 1)["text"]).alias("key"))
     odd = first.groupBy("key").agg(F.max("conv_id").alias("conv_id"), F.count("*").alias("n")).where("n % 2 = 1").select("conv_id", F.lit(True).alias("odd"))
     first = first.join(odd, "conv_id", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
@@ -100,7 +101,9 @@ _SQL_MASK = (
 )
 ORACLE = f"""
 WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
-o AS (SELECT *, (row_number() OVER (ORDER BY md5(turns[1].text), conv_id) - 1) // 2 AS pair_id FROM c),
+g AS (SELECT *, md5(turns[1].text) AS key FROM c),
+h AS (SELECT *, count(*) OVER (PARTITION BY key) % 2 = 1 AND conv_id = max(conv_id) OVER (PARTITION BY key) AS odd FROM g),
+o AS (SELECT *, (row_number() OVER (ORDER BY odd, key, conv_id) - 1) // 2 AS pair_id FROM h),
 i AS (SELECT pair_id, min(conv_id) AS a, nullif(max(conv_id), min(conv_id)) AS b FROM o GROUP BY pair_id),
 p AS (SELECT i.pair_id, i.a, i.b, x.turns AS x, y.turns AS y FROM i JOIN c x ON x.conv_id = i.a LEFT JOIN c y ON y.conv_id = i.b),
 n AS (SELECT *, CASE WHEN y IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda k: k > len(x) OR k > len(y) OR x[k].role <> y[k].role OR x[k].text <> y[k].text)) - 1, len(x)) END::INT AS k FROM p),

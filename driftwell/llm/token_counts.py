@@ -35,7 +35,8 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
 
 
 def token_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds ``n_tokens``."""
+    """Adds ``n_tokens``; a column of that name is replaced."""
+    docs = docs.drop("n_tokens")
     ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     names = docs.columns
 

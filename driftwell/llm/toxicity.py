@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwell.llm.tokens import mix, sub_batches, words
+from driftwell.llm.tokens import mix, sub_batches, unused, words
 
 SLOTS = 1 << 18
 DIM = 8
@@ -159,10 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, **kw) -> tuple[np.ndarray, float]:
     return train(rows.text.tolist(), rows.toxic.tolist(), **kw)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1) for every whole text."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", name: str = "score") -> DataFrame:
+    """Adds ``name`` (0 to 1) for every whole text; no column of ``docs`` may have that name."""
     cast = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, bias = cast.value
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
             texts = b.column(names.index(text_col)).to_pylist()
             logit = [window_logits(r, slots, bias) for _, r in sub_batches(texts)]
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(logit) if logit else np.zeros(0), -50, 50)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, name])
 
     names = docs.columns
     return docs.mapInArrow(run, schema)
@@ -192,4 +192,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score under THRESHOLD, columns as they were."""
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
-    return score(docs.select(*docs.columns), model).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    name = unused(docs, "score")
+    return score(docs, model, name=name).where(F.col(name) < THRESHOLD).select(*docs.columns)

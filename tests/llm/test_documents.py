@@ -66,6 +66,17 @@ def test_mixing(spark):
     assert mixing.plan_mix(d.limit(0)).count() == 0 and mixing.plan_mix(frame(spark, [None, ""])).count() == 2
 
 
+def test_mixing_keeps_clashing_columns_and_null_ids(spark):
+    d = frame(spark, [f"w{k} x" for k in range(60)] + ["y"]).withColumn("doc_id", F.when(F.col("doc_id") < 20, F.col("doc_id")))
+    for c in ("_copy", "_s", "_ss", "_t", "_n", "_size", "plan", "plan_source", "size", "target"):
+        d = d.withColumn(c, F.lit(c))
+    mixed = mixing.mix_documents(d)
+    assert mixed.columns == [*d.columns, "__copy"] and mixed.select("plan", "_copy").distinct().collect() == [("plan", "_copy")]
+    by_text = {r.text: r.n for r in mixed.groupBy("text").agg(F.count("*").alias("n")).collect()}
+    assert len(set(by_text.values())) == 2  # rows without an id do not all decide alike
+    assert mixing.plan_mix(d).columns == ["doc_id", "size", "source_size", "target", "taken", "copies"]
+
+
 # 10: personal data
 
 
@@ -104,6 +115,18 @@ def test_pii(spark):
     assert pii.digest(d.limit(0)).count() == 0 and pii.find_spans(d).columns == [*d.columns, "spans"]
 
 
+def test_pii_secrets_and_long_runs(spark):
+    one = lambda t: pii.digest(frame(spark, [t])).first().spans
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert one(f'token = "{key}" x') == "secret:9:49" and one(f"see {key}") == "" and one("token = " + "a" * 40) == ""
+    long = ["7" * 1_000_000 + " ssn 123-45-6789", "10.0.0.1 " * 4000, "1-" * 200_000, "a1" * 400_000 + " token"]
+    got = {r.doc_id: r for r in pii.digest(frame(spark, long)).collect()}
+    assert got[0].spans == "ssn:1000005:1000016" and got[1].n_ip == 4000 and got[1].spans.endswith(":35991:35999") and got[3].spans == "secret:0:800000"
+    d = frame(spark, ["mail a@b.co", None]).withColumn("spans", F.lit(1)).withColumn("work", F.lit(2)).withColumn("_t", F.lit(3))
+    out = pii.redact(d)
+    assert out.columns == d.columns and [tuple(r) for r in out.orderBy("doc_id").select("text", "spans", "work", "_t").collect()] == [("mail [EMAIL]", 1, 2, 3), (None, 1, 2, 3)]
+
+
 def test_redaction_leaves_no_tail_of_overlapping_spans(spark):
     texts = ["call +1 (555) 123-4567bob@x.com now", "from 10.0.0.0 4111 1111 1111 1111, a@b.co", "a@b.co +49 (30) 1234-5678"]
     got = [r.text for r in pii.redact(frame(spark, texts)).orderBy("doc_id").collect()]
@@ -337,11 +360,35 @@ def test_toxicity(spark):
     held = [(r.predicted, i % 4 == 0) for i, r in got.items() if r.held_out and i < 240]
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
     assert got[242].predicted == 1 and got[243].predicted == 0 and got[240].score == got[241].score
+    named = d.withColumn("score", F.lit("s")).withColumn("_score", F.lit(1))
+    kept = toxicity.drop_toxic(named, lab)
+    assert kept.columns == named.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+    other = d.withColumn("source", F.col("text")).withColumn("lang", F.col("text"))
+    flipped = lab.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {r.doc_id: r.score for r in toxicity.score_documents(other, flipped).collect()} == {i: r.score for i, r in got.items()}
     one = toxicity.score_documents(d, lab.where("toxic = 0"))
     assert one.agg(F.max("predicted")).first()[0] == 0
     assert toxicity.score_documents(d.limit(0), lab).count() == 0
 
 
+def test_toxicity_window_logit_against_counting():
+    """A document's logit is the best mean of slot values over the words of a window and their 3- to 6-grams with both ends marked."""
+    import numpy as np
+
+    text = "one  Three\tfifteen x abcdefgh y"
+    values = np.random.default_rng(3).normal(size=toxicity.SLOTS)
+    (_, run), = toxicity.sub_batches([text])
+    slot_of = {}
+    for w in text.lower().split():
+        (_, part), = toxicity.sub_batches([w])
+        slots, at, _ = toxicity.features(part)
+        assert (at == 0).all() and len(slots) == 1 + sum(max(0, len(w) + 2 - n + 1) for n in toxicity.NGRAMS)
+        slot_of[w] = slots
+    w = text.lower().split()
+    want = max(np.concatenate([values[slot_of[x]] for x in w[k : k + toxicity.WINDOW]]).mean() for k in range(0, len(w), toxicity.WINDOW)) + 0.5
+    assert abs(toxicity.window_logits(run, values, 0.5)[0] - want) < 1e-9
+
+
 # 5: token counts
 
 
