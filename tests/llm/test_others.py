@@ -124,3 +124,50 @@ def test_pipeline(spark):
         seen = out
     assert seen.columns == [*docs.columns, "_copy"]
     assert corpus_pipeline.run(spark, SF).count() == seen.count()
+
+
+def true_text(page):
+    """What the marks of a labelled page say its text is."""
+    tree = html_content.parse(page)
+    y = [False] * len(tree.tag)
+    for k in range(1, len(y)):
+        y[k] = y[tree.parent[k]] if tree.marked[k] is None else tree.marked[k] == "1"
+    blocks = {}
+    for e, serial, t in tree.texts:
+        blocks.setdefault(serial, [y[tree.block[e]], ""])[1] += t
+    return "\n\n".join(x for x in (" ".join(t.split()) for keep, t in blocks.values() if keep) if x)
+
+
+def test_html_on_unseen_layouts():
+    from collections import Counter
+
+    model, both, got, want = html_content.default_model(), 0, 0, 0
+    for page in html_content.labelled_pages(300, seed=7):
+        a, b = Counter(true_text(page).split()), Counter(html_content.extract(page, model).split())
+        both, got, want = both + sum((a & b).values()), got + sum(b.values()), want + sum(a.values())
+    assert both / got > 0.97 and both / want > 0.94
+
+
+def test_html_plain_pages():
+    model = html_content.default_model()
+    story = "<p>A full paragraph of the article, which goes on for a while. It has sentences.</p>"
+    want = "A full paragraph of the article, which goes on for a while. It has sentences."
+    assert html_content.extract(f"<html><body><article>{story}</article></body></html>", model) == want
+    assert html_content.extract(f"<article><h1>Title</h1><p class='comment-free'>{want}</p><p>And more of it here.</p></article>", model) == f"Title\n\n{want}\n\nAnd more of it here."
+    box = "<div><h3>Comments</h3><div><b>Bob</b><p>I like this a lot. Thanks for it.</p></div></div><footer>Filed under news.</footer>"
+    assert html_content.extract(f"<body><article><h1>Title</h1>{story * 3}{box}</article><div><h3>Subscribe</h3><p>Get our letter each week.</p></div></body>", model) == "\n\n".join(["Title", *[want] * 3])
+
+
+def test_html_never_fails_and_takes_linear_time():
+    import random
+    import time
+
+    model, rng = html_content.default_model(), random.Random(1)
+    assert html_content.parse("<![foo[bar]]>x").texts[0][2] == "x"
+    for _ in range(2000):
+        page = "".join(rng.choice("<>/!-[]=\"' abpdivtableCDATA&#x;\n") for _ in range(rng.randint(0, 60))) + rng.choice(["<![", "<!", "</", "<a", "<!--", "<?x", "<![CDATA[", ""])
+        assert isinstance(html_content.extract(page, model), str)
+    for unit in ("<div>", "<b>", "<b><div>", "<li>", "</x><div>", "<p><b>", "<td><i>", "<div>x"):
+        began = time.process_time()
+        html_content.extract(unit * 30_000 + "x", model)
+        assert time.process_time() - began < 20, unit
