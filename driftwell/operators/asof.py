@@ -25,8 +25,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     pair of rows is formed. Ties in time go to the larger ``tie``; left rows without a match keep a null.
     """
     side = 0 if strict else 2  # a left row stands above (strict) or below equal right times
-    r = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"), F.col(tie).cast("string").alias("_tie"), value.alias("_v"), F.lit(True).alias("_has"))
-    l = left.withColumn("_ts", F.col(left_ts)).withColumn("_side", F.lit(side)).withColumn("_tie", F.lit(None).cast("string"))
+    r = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), value.alias("_v"), F.lit(True).alias("_has"))
+    l = left.withColumn("_ts", F.col(left_ts)).withColumn("_side", F.lit(side)).withColumn("_tie", F.lit(None).cast(right.schema[tie].dataType))
     both = l.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     got = both.withColumn(name, F.last(F.when(F.col("_has"), F.struct(F.col("_v"))), ignorenulls=True).over(w)["_v"])

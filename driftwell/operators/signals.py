@@ -69,12 +69,14 @@ def hit_ratios(judged: DataFrame, group: str) -> DataFrame:
 
 def precision_at_k(ranked: DataFrame, labels: DataFrame, k: int, key: str = "doc_id", by: str = "profile_id", label: str = "relevant") -> DataFrame:
     """Precision@k, recall, noise and judged share; what nobody judged is in no denominator."""
-    j = ranked.join(labels.select(key, F.col(label).alias("_y")), key, "left")
-    top = F.col("rank_pos") <= k
+    y = labels.select(key, F.col(label).alias("_y"))
     good, judged = F.col("_y") == 1, F.col("_y").isNotNull()
-    return j.groupBy(by).agg(
-        F.try_divide(F.count_if(top & good), F.count_if(top & judged)).alias("precision_at_k"), F.try_divide(F.count_if(top & good), F.count_if(good)).alias("recall"),
-        F.try_divide(F.count_if(top & (F.col("_y") == 0)), F.count_if(top & judged)).alias("noise"), F.try_divide(F.count_if(top & judged), F.count_if(top)).alias("judged"),
+    # only the first k of each group are ranked; recall's denominator needs no rank
+    top = ranked.where(F.col("rank_pos") <= k).select(key, by).join(y, key, "left")
+    top = top.groupBy(by).agg(F.count_if(good).alias("_good"), F.count_if(F.col("_y") == 0).alias("_bad"), F.count_if(judged).alias("_judged"), F.count("*").alias("_n"))
+    all_good = ranked.select(key, by).join(y.where(good), key, "left").groupBy(by).agg(F.count("_y").alias("_all"))
+    return top.join(all_good, by).select(
+        by, F.try_divide("_good", "_judged").alias("precision_at_k"), F.try_divide("_good", "_all").alias("recall"), F.try_divide("_bad", "_judged").alias("noise"), F.try_divide("_judged", "_n").alias("judged"),
     )
 
 

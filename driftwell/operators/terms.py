@@ -79,20 +79,22 @@ def reject_reason(words: Column) -> Column:
     )
 
 
-def ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=(2, 3)) -> DataFrame:
-    """(doc, words, term): word runs within one sentence, words of three letters or more, before hygiene."""
-    seg = docs.select(id_col, F.explode(F.split(F.lower(text_col), r"[.;:!?\n]+")).alias("s"))
-    w = seg.select(id_col, F.filter(F.regexp_extract_all("s", F.lit(r"[a-z][a-z0-9\-]+"), F.lit(0)), lambda x: F.length(x) > 2).alias("w"))
-    grams = None
-    for n in sizes:
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        part = w.select(id_col, F.explode(_slices(at, n)).alias("words"))
-        grams = part if grams is None else grams.unionByName(part)
-    return grams.withColumn("term", F.array_join("words", " "))
+def _grams(text: Column, sizes) -> Column:
+    """All word runs of a text within one sentence, as one array of terms; words of three letters or more, before hygiene."""
+    said = F.filter(F.split(F.lower(text), r"[.;:!?\n]+"), lambda s: F.length(s) > 0)
+    words = F.transform(said, lambda s: F.filter(F.regexp_extract_all(s, F.lit(r"[a-z][a-z0-9\-]+"), F.lit(0)), lambda x: F.length(x) > 2))
+
+    def runs(w: Column, n: int) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
 
+    return F.flatten(F.transform(words, lambda w: F.concat(*[runs(w, n) for n in sizes])))
 
-def _slices(at: Column, n: int) -> Column:
-    return F.transform(at, lambda i: F.slice(F.col("w"), i, F.lit(n)))
+
+def ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=(2, 3)) -> DataFrame:
+    """(doc, words, term): word runs within one sentence, words of three letters or more, before hygiene."""
+    grams = docs.select(id_col, F.explode(_grams(F.col(text_col), sizes)).alias("term"))
+    return grams.select(id_col, F.split("term", " ").alias("words"), "term")
 
 
 def term_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=(2, 3)) -> DataFrame:
@@ -100,9 +102,10 @@ def term_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return hygienic(raw_term_documents(docs, id_col, text_col, sizes))
 
 
-def raw_term_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=(2, 3)) -> DataFrame:
-    """Distinct (doc, term) before hygiene: rules look at the term alone, so they may wait until terms are counted."""
-    return ngrams(docs, id_col, text_col, sizes).select(id_col, "term").distinct()
+def raw_term_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=(2, 3), keep: tuple = ()) -> DataFrame:
+    """(doc, term, and the columns of ``keep``), once a document, before hygiene: rules look at the term alone, so they may
+    wait until terms are counted. ``docs`` has one row a document; terms are made distinct inside it and nothing moves."""
+    return docs.select(id_col, *keep, F.explode(F.array_distinct(_grams(F.col(text_col), sizes))).alias("term"))
 
 
 def hygienic(rows: DataFrame, after: Column | None = None) -> DataFrame:
@@ -144,9 +147,9 @@ def emerging_terms(docs: DataFrame, current: Column, previous: Column, known: Da
     return drop_subsumed(n).orderBy(F.desc("n_now"), F.asc("n_before"), "term").limit(top)
 
 
-def discover(term_docs: DataFrame, docs: DataFrame, id_col: str, seed: str, day: str, domain: str, least: int = 3) -> DataFrame:
-    """Support, domain documents, different seeds and newest day of each term."""
-    j = term_docs.join(docs.select(id_col, seed, day, domain), id_col)
+def discover(term_docs: DataFrame, docs: DataFrame | None, id_col: str, seed: str, day: str, domain: str, least: int = 3) -> DataFrame:
+    """Support, domain documents, different seeds and newest day of each term; without ``docs``, ``term_docs`` has the columns."""
+    j = term_docs if docs is None else term_docs.join(docs.select(id_col, seed, day, domain), id_col)
     n = j.groupBy("term").agg(F.count("*").alias("support"), F.count_if(domain).alias("domain_docs"), F.size(F.collect_set(seed)).alias("breadth"), F.max(day).alias("newest"))
     return hygienic(n, F.col("support") >= least)
 

@@ -19,17 +19,20 @@ PROFILE_ROWS = [
 ]
 _q = lambda s: "NULL" if s is None else "'" + str(s).replace("'", "''") + "'"
 _KW = ", ".join(
-    f"({_q(p)}, {_q(k)}, {_q(kind)}, {w if w is not None else 'NULL'}, {i})" for i, (p, k, kind, w, g) in enumerate(PROFILE_ROWS)
+    f"({_q(p)}, {_q(k)}, {_q(kind)}, {w if w is not None else 'NULL'}, {i}, {_q(match.keyword_pattern(k))})" for i, (p, k, kind, w, g) in enumerate(PROFILE_ROWS)
 )
 _HITS = " UNION ALL ".join(
     f"SELECT doc_id, {_q(p)} AS profile_id, {_q(k)} AS keyword, {_q(kind)} AS kind, {w if w is not None else 'NULL'}::DOUBLE AS weight, {i} AS position FROM documents WHERE regexp_matches(text, {_q(match.keyword_pattern(k))})"
     + (f" AND regexp_matches(text, {_q(g)})" if g else "")
     for i, (p, k, kind, w, g) in enumerate(PROFILE_ROWS)
 )
-SQL_HITS = f"kw(profile_id, keyword, kind, weight, position) AS (VALUES {_KW}), hits AS ({_HITS})"
+SQL_HITS = f"kw(profile_id, keyword, kind, weight, position, pattern) AS (VALUES {_KW}), hits AS ({_HITS})"
 SQL_JUDGED = SQL_HITS + """,
+sub AS (SELECT a.profile_id, a.keyword, b.keyword AS longer FROM kw a JOIN kw b USING (profile_id) WHERE a.kind = 'core' AND b.kind = 'core' AND a.keyword <> b.keyword AND regexp_matches(b.keyword, a.pattern)),
+gone AS (SELECT DISTINCT h.doc_id, h.profile_id, h.keyword FROM hits h JOIN sub USING (profile_id, keyword) JOIN hits b ON b.doc_id = h.doc_id AND b.profile_id = h.profile_id AND b.keyword = sub.longer WHERE h.kind = 'core'),
+kept AS (SELECT h.* FROM hits h LEFT JOIN gone g USING (doc_id, profile_id, keyword) WHERE g.keyword IS NULL OR h.kind <> 'core'),
 judged AS (SELECT profile_id, doc_id, list(keyword ORDER BY position) FILTER (kind = 'core') AS core, list(keyword ORDER BY position) FILTER (kind = 'target') AS domain, count(*) FILTER (kind = 'exclude') AS n_ex,
-  max(coalesce(weight, 1.0)) FILTER (kind = 'core') AS weight_max, sum(coalesce(weight, 1.0)) FILTER (kind = 'core') AS weight_sum FROM hits GROUP BY profile_id, doc_id),
+  max(coalesce(weight, 1.0)) FILTER (kind = 'core') AS weight_max, sum(coalesce(weight, 1.0)) FILTER (kind = 'core') AS weight_sum FROM kept GROUP BY profile_id, doc_id),
 reasoned AS (SELECT *, CASE WHEN n_ex > 0 THEN 'excluded' WHEN core IS NULL THEN 'no_core_hit' END AS filter_reason FROM judged)"""
 SQL_RANKED = SQL_JUDGED + """,
 e AS (SELECT *, round(floor(weight_max / 0.1 + 1e-6) * 0.1, 6) AS bb, DATE '2024-01-01' + (doc_id % 30)::INT AS day, least(coalesce(len(domain), 0), 2) AS domain_n, least(len(core), 2) AS breadth FROM reasoned WHERE filter_reason IS NULL),
@@ -139,7 +142,7 @@ def latest_per_key(spark, sf_dir):
 
 
 def _asof_sql(op):
-    return f"""SELECT p.event_id, p.user_id, (SELECT c.event_id FROM events c WHERE c.user_id = p.user_id AND c.event_type IN ('click', 'view') AND c.ts {op} p.ts ORDER BY c.ts DESC, c.event_id::VARCHAR DESC LIMIT 1) AS before_id FROM events p WHERE p.event_type = 'purchase'"""
+    return f"""SELECT p.event_id, p.user_id, (SELECT c.event_id FROM events c WHERE c.user_id = p.user_id AND c.event_type IN ('click', 'view') AND c.ts {op} p.ts ORDER BY c.ts DESC, c.event_id DESC LIMIT 1) AS before_id FROM events p WHERE p.event_type = 'purchase'"""
 
 
 def _asof(spark, sf_dir, strict):
@@ -269,7 +272,7 @@ def emerging_terms(spark, sf_dir):
 @query(f"WITH {SQL_TERMS} SELECT term, count(*) AS support, count(*) FILTER (d.lang = 'en') AS domain_docs, count(DISTINCT d.source) AS breadth, max(d.doc_id % 30) AS newest FROM td JOIN documents d USING (doc_id) GROUP BY term HAVING count(*) >= 5")
 def term_discovery(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("day", F.col("doc_id") % 30).withColumn("is_en", F.col("lang") == "en")
-    return terms.discover(terms.raw_term_documents(d), d, "doc_id", "source", "day", "is_en", least=5)
+    return terms.discover(terms.raw_term_documents(d, keep=("source", "day", "is_en")), None, "doc_id", "source", "day", "is_en", least=5)
 
 
 @query("""WITH r AS (SELECT user_id AS paper_key, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS sign, ts, unnest(['t' || (user_id % 5), 'k' || (event_id % 7)]) AS keyword FROM events WHERE event_type IN ('purchase', 'error')),

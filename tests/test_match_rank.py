@@ -24,8 +24,8 @@ def test_keyword_match(spark, keyword, text, hit):
 
 
 def test_guard_and_exclusion(spark):
-    docs = spark.createDataFrame([(1, "An agent for medical diagnosis"), (2, "an agent"), (3, "an agent that plans"), (4, None), (5, "")], "doc_id long, text string")
-    kw = match.keyword_table(spark, [("p", "agent", "core", 1.0, "(?i)plan|medical"), ("p", "medical", "exclude", None, None)])
+    docs = spark.createDataFrame([(1, "A planner for medical diagnosis"), (2, "a planner"), (3, "a planner that plans"), (4, None), (5, "")], "doc_id long, text string")
+    kw = match.keyword_table(spark, [("p", "planner", "core", 1.0, "(?i)plans|medical"), ("p", "medical", "exclude", None, None)])
     j = {r.doc_id: r for r in match.judge(docs, match.match_keywords(docs, kw), profiles=kw).collect()}
     assert (j[1].filter_reason, j[1].exclude_hits) == ("excluded", ["medical"])
     assert {k: j[k].filter_reason for k in (2, 3, 4, 5)} == {2: "no_core_hit", 3: None, 4: "no_core_hit", 5: "no_core_hit"}
@@ -82,5 +82,5 @@ def test_scalar_rules(spark):
 
 
 def test_subsumed(spark):
-    r = spark.range(1).select(match.drop_subsumed(F.array(*map(F.lit, ("language model", "large language model", "agent")))).alias("x")).first().x
-    assert r == ["large language model", "agent"]
+    r = spark.range(1).select(match.drop_subsumed(F.array(*map(F.lit, ("language model", "large language model", "planner")))).alias("x")).first().x
+    assert r == ["large language model", "planner"]
