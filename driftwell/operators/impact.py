@@ -98,13 +98,23 @@ def shared_references(refs: DataFrame, paper: str = "paper_id", ref: str = "ref_
 
 
 def reference_similarity(refs: DataFrame, paper: str, ref: str, least: float = 0.15) -> DataFrame:
-    """Pairs of papers whose reference sets' Jaccard is at least ``least``, by an inverted-index self-join."""
-    r = refs.select(paper, ref).distinct()
-    n = r.groupBy(paper).agg(F.count("*").alias("n"))
-    l, q = r.alias("l"), r.alias("q")
-    both = l.join(q, F.expr(f"l.{ref} = q.{ref} and l.{paper} < q.{paper}")).groupBy(F.col(f"l.{paper}").alias("a"), F.col(f"q.{paper}").alias("b")).agg(F.count("*").alias("both"))
-    j = both.join(n.select(F.col(paper).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(paper).alias("b"), F.col("n").alias("nb")), "b")
-    return j.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least)
+    """Pairs of papers whose reference sets' Jaccard is at least ``least``.
+
+    A pair shares ``least`` of either set at least, so it shares one of the rarest n - ceil(least n) + 1 references of both:
+    only these meet, and frequent references pair nobody unless a set holds little else. Pairs of fitting sizes are then
+    compared on their whole sets.
+    """
+    r = refs.select(paper, ref).where(F.col(paper).isNotNull() & F.col(ref).isNotNull()).distinct()
+    rare = r.groupBy(ref).agg(F.count("*").alias("_df"))
+    sets = r.join(rare, ref).groupBy(paper).agg(F.array_sort(F.collect_list(F.struct("_df", ref))).alias("_s"))
+    sets = sets.select(paper, F.transform("_s", lambda x: x[ref]).alias("_s"), F.size("_s").alias("_n"))
+    most = F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1
+    p = sets.select(paper, "_n", F.explode(F.slice("_s", F.lit(1), most.cast("int"))).alias("_r"))
+    x, y = p.select(F.col(paper).alias("a"), F.col("_n").alias("_na"), "_r"), p.select(F.col(paper).alias("b"), F.col("_n").alias("_nb"), "_r")
+    met = x.join(y, "_r").where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9)).select("a", "b").distinct()
+    j = met.join(sets.select(F.col(paper).alias("a"), F.col("_s").alias("_sa")), "a").join(sets.select(F.col(paper).alias("b"), F.col("_s").alias("_sb")), "b")
+    both = F.size(F.array_intersect("_sa", "_sb"))
+    return j.select("a", "b", (both / (F.size("_sa") + F.size("_sb") - both)).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def frontier(cites: DataFrame, seeds: DataFrame, since_year: int, top: int = 10) -> DataFrame:

@@ -10,6 +10,8 @@ from driftwell.operators import asof, cells, feedback, graph, history, impact, l
 from driftwell.sources import readers
 from driftwell.streaming import streams
 
+#: How deep the rankings reach that are fused; what lies below adds 1 / (60 + 1,000) at most.
+DEPTH = 1000
 QUERIES: dict = {}
 ORACLES: dict = {}
 PROFILE_ROWS = [
@@ -100,7 +102,7 @@ def precision_at_k(spark, sf_dir):
     return signals.precision_at_k(_ranked(spark, sf_dir), table(spark, sf_dir, "labels"), 20, label="quality")
 
 
-@query(r"""WITH RECURSIVE d AS (SELECT doc_id AS row_id, nullif(trim(source || ':' || n_chars), '') AS i, nullif(trim(regexp_replace(lower(substr(text, 1, 120)), '[^a-z0-9]+', ' ', 'g')), '') AS t, source, lang, n_chars FROM documents),
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id AS row_id, nullif(trim(source || ':' || n_chars), '') AS i, nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '') AS t, source, lang, n_chars FROM documents),
 e AS (SELECT DISTINCT m AS a, row_id AS b FROM (SELECT row_id, min(row_id) OVER (PARTITION BY i) AS m FROM d WHERE i IS NOT NULL UNION ALL SELECT row_id, min(row_id) OVER (PARTITION BY t) FROM d WHERE t IS NOT NULL) WHERE m <> row_id),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS n, b AS m FROM u UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a),
 g AS (SELECT d.*, least(d.row_id, coalesce((SELECT min(m) FROM r WHERE r.n = d.row_id), d.row_id)) AS group_id FROM d)
@@ -348,7 +350,7 @@ def scan_health(spark, sf_dir):
     return impact.scan_metrics(j, "source", F.array(F.lit("that"), F.lit("de la")), F.col("weight_max") >= 1)
 
 
-SQL_BM25 = """qs AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+')[1:8]) AS term FROM benchmark), q AS (SELECT query_id, term, count(*) AS qtf FROM qs GROUP BY ALL),
+SQL_BM25 = """qs AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+')) AS term FROM benchmark), q AS (SELECT query_id, term, count(*) AS qtf FROM qs GROUP BY ALL),
 tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tk),
 p AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM tk) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean)) * qtf), 6) AS score FROM p JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL)"""
@@ -364,7 +366,7 @@ def bm25_topk(spark, sf_dir):
     return search.top_k(_bm25(spark, sf_dir), "query_id", 10, "doc_id")
 
 
-SQL_COS = """cs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 10)"""
+SQL_COS = """cs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"""
 
 
 def _cosine(spark, sf_dir, k=None):
@@ -379,10 +381,10 @@ def cosine_topk(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_BM25}, {SQL_COS}, a AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm), b AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs),
-f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5""")
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT * FROM a WHERE rank <= 1000 UNION ALL SELECT * FROM b WHERE rank <= 1000) GROUP BY ALL) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5""")
 def hybrid_rrf(spark, sf_dir):
-    a = search.top_k(_bm25(spark, sf_dir), "query_id", 10**9, "doc_id").withColumnRenamed("doc_id", "id")
-    b = search.top_k(_cosine(spark, sf_dir), "query_id", 10**9, "vec_id").withColumnRenamed("vec_id", "id")
+    a = search.top_k(_bm25(spark, sf_dir), "query_id", DEPTH, "doc_id").withColumnRenamed("doc_id", "id")
+    b = search.top_k(_cosine(spark, sf_dir, DEPTH), "query_id", DEPTH, "vec_id").withColumnRenamed("vec_id", "id")
     return search.top_k(search.fuse([a, b], "query_id", "id").withColumn("score", F.round("score", 8)), "query_id", 5, "id")
 
 
