@@ -46,7 +46,7 @@ LEAST_ROWS = 2000
 ONE_BUCKET = 256
 #: What hashing one probe costs, in scores of one row.
 PROBE_COST = 4
-QUERIES_AT_ONCE = 256
+SCORES_AT_ONCE = 8_000_000
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -134,40 +134,49 @@ class Shard:
         self.fitted = fitted if len(ids) > ONE_BUCKET else None
         if self.fitted:
             own = own_buckets(projections(self.x, norm, False, *fitted[:2]))
-            flat = np.argsort(own, axis=None, kind="stable")
-            self.buckets, start = np.unique(own.ravel()[flat], return_index=True)
-            self.start, self.rows = np.append(start, len(flat)), flat // TABLES
-
-    def candidates(self, q: np.ndarray) -> np.ndarray:
-        """(queries, rows) whether the query visits a bucket of the row, in any table."""
-        if not self.fitted:
-            return np.ones((len(q), len(self.ids)), bool)
-        want = probes(projections(q, self.norm, True, *self.fitted[:2]), self.fitted[2])
-        at = np.minimum(np.searchsorted(self.buckets, want), len(self.buckets) - 1)
-        seen = np.zeros((len(q), len(self.ids)), bool)
-        for i in range(len(q)):
-            visited = at[i][self.buckets[at[i]] == want[i]]
-            for lo, hi in zip(self.start[visited], self.start[visited + 1], strict=True):
-                seen[i, self.rows[lo:hi]] = True
-        return seen
+            self.buckets, inverse = np.unique(own, return_inverse=True)
+            self.bucket_of = inverse.reshape(own.shape)
+            self.rows = np.argsort(self.bucket_of, axis=None, kind="stable") // TABLES
+            self.sizes = np.bincount(self.bucket_of.ravel())
+            self.start = np.cumsum(self.sizes) - self.sizes
+        self.at_once = int(max(8, min(256, SCORES_AT_ONCE // len(self.ids))))
 
     def nearest(self, qid: np.ndarray, q: np.ndarray):
         """(query_id, ids, scores) of each query's k best candidates, equal scores by id."""
-        seen = self.candidates(q) & (self.ids[None, :] != qid[:, None])
-        some = np.flatnonzero(seen.any(0))
-        dense = seen.sum() * 8 > len(q) * len(some)  # then one product of all is cheaper than gathering each query's rows
-        scores = np.where(seen[:, some], q @ self.x[some].T, -np.inf) if dense else None
+        for lo in range(0, len(qid), self.at_once):
+            yield from self._nearest(qid[lo : lo + self.at_once], q[lo : lo + self.at_once])
+
+    def _nearest(self, qid: np.ndarray, q: np.ndarray):
+        every = np.arange(len(self.ids))
+        seen = np.ones((len(q), len(every)), bool)
+        if self.fitted:
+            want = probes(projections(q, self.norm, True, *self.fitted[:2]), self.fitted[2])
+            at = np.minimum(np.searchsorted(self.buckets, want), len(self.buckets) - 1)
+            met = self.buckets[at] == want
+            # where queries visit much of a shard, one product of all is cheaper than gathering each query's rows
+            if (self.sizes[at] * met).sum() * 8 > seen.size:
+                visited = np.zeros((len(q), len(self.buckets)), bool)
+                visited[np.nonzero(met)[0], at[met]] = True
+                seen = np.logical_or.reduce([visited[:, self.bucket_of[:, t]] for t in range(TABLES)])
+            else:
+                for i in range(len(q)):
+                    parts = [self.rows[lo : lo + n] for lo, n in zip(self.start[at[i][met[i]]], self.sizes[at[i][met[i]]], strict=True)]
+                    rows = np.unique(np.concatenate(parts)) if parts else every[:0]
+                    yield from self._best(qid[i], q[i], rows, self.x[rows] @ q[i])
+                return
+        scores = q @ self.x.T
         for i in range(len(q)):
-            rows = some if dense else np.flatnonzero(seen[i])
-            s = scores[i] if dense else self.x[rows] @ q[i]
-            if not len(rows):
-                continue
+            yield from self._best(qid[i], q[i], every[seen[i]], scores[i][seen[i]])
+
+    def _best(self, qid: int, q: np.ndarray, rows: np.ndarray, s: np.ndarray):
+        other = self.ids[rows] != qid
+        rows, s = rows[other], s[other]
+        if len(rows):
             least = np.partition(s, -self.k)[-self.k] if len(s) > self.k else s.min()
-            near = rows[(s >= least - 1e-9 * (1 + abs(least))) & (s > -np.inf)] if least > -np.inf else rows[s > -np.inf]
-            exact = (self.x[near] * q[i]).sum(1)
+            near = rows[s >= least - 1e-9 * (1 + abs(least))]
+            exact = (self.x[near] * q).sum(1)
             order = np.lexsort((self.ids[near], -exact))[: self.k]
-            if len(order):
-                yield int(qid[i]), self.ids[near[order]], exact[order]
+            yield int(qid), self.ids[near[order]], exact[order]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -199,7 +208,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 shard, held = Shard(*(np.concatenate(c) for c in zip(*held, strict=True)), norm, k, fitted), []
             if shard is not None:
                 ids, x = ids[side == 1], x[side == 1].astype(float)
-                rows = [r for lo in range(0, len(ids), QUERIES_AT_ONCE) for r in shard.nearest(ids[lo : lo + QUERIES_AT_ONCE], x[lo : lo + QUERIES_AT_ONCE])]
+                rows = list(shard.nearest(ids, x))
                 cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["query_id", "ids", "scores"])
 
