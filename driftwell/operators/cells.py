@@ -50,10 +50,31 @@ def compare_excluding_self(results: DataFrame, entity: str, keys: list[str]) ->
     return j.select(*keys, entity, F.col("mine"), F.col("others"), status.alias("status"))
 
 
-def peers(results: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
-    """The best models of each group that are not its own, best first."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(_signed(F.col("value"), F.col("direction"))), "model")
-    return results.where("not own").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+VARIANT = r"(?i)\bours\b|\bproposed\b|\bw/|\bwithout\b"
+
+
+def peers(results: DataFrame, mains: DataFrame, scope: list[str], top: int = 3) -> DataFrame:
+    """The ``top`` peers of each main result, best first: rows of other methods in its ``scope`` (document, table, column,
+    benchmark, metric, block).
+
+    ``mains`` has the scope, ``locator`` and ``method``. A model is no peer if it is the paper's own, is named as a variant,
+    or its name starts with the method's (of two characters or more). Without a direction, table order (``row_no``) counts.
+    """
+    key = lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z]", "")
+    others = results.where(~F.col("own") & ~F.col("model").rlike(VARIANT)).select(*scope, "model", "value", "direction", "row_no")
+    own = key(F.coalesce("method", F.lit("")))
+    j = mains.select(*scope, F.col("locator").alias("main"), own.alias("_own")).join(others, scope).where((F.length("_own") < 2) | ~F.startswith(key(F.col("model")), F.col("_own")))
+    order = [F.when(F.col("direction") == "lower", F.col("value")).when(F.col("direction") == "higher", -F.col("value")).asc_nulls_last(), "row_no", "model", "value"]
+    w = Window.partitionBy(*scope, "main").orderBy(*order)
+    return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).drop("_own")
+
+
+def own_siblings(results: DataFrame, mains: DataFrame, scope: list[str]) -> DataFrame:
+    """The paper's other own rows in the scope of each main result, and whether each is better than it."""
+    m = mains.select(*scope, F.col("locator").alias("main"), F.col("value").alias("_v"))
+    j = m.join(results.where("own"), scope).where(F.col("locator") != F.col("main"))
+    better = F.when(F.col("direction") == "higher", F.col("value") > F.col("_v")).when(F.col("direction") == "lower", F.col("value") < F.col("_v"))
+    return j.withColumn("better", F.coalesce(better, F.lit(False))).drop("_v")
 
 
 def on_one_scale(a: Column, b: Column, metric: Column) -> Column:

@@ -43,6 +43,43 @@ def scan_metrics(judged: DataFrame, scan: str, anchors: Column, top: Column) ->
     )
 
 
+def seed_noise(judged: DataFrame, seeds: str = "seeds") -> DataFrame:
+    """Per seed of an arm: rows returned, eligible, and noise (excluded or without a core hit)."""
+    e = judged.select(F.explode(F.array_distinct(seeds)).alias("seed"), "eligible", "filter_reason")
+    return e.groupBy("seed").agg(F.count("*").alias("returned"), F.count_if("eligible").alias("n_eligible"), F.count_if(F.col("filter_reason").isin("excluded", "no_core_hit")).alias("noise"))
+
+
+def scan_measures(rows: DataFrame, scan: str, anchors: Column, k: int, before: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """What a scan's rows (core_hits, exclude_hits, eligible, rank_pos, tier, day, scan_day) say of its profile's health.
+
+    Core hits outside ``anchors`` were added by the machine. A share of nothing is null. ``retention`` is the share of the
+    first k that ``before`` (scan, key, rank_pos under the profile before) ranks among its first k, null without it.
+    """
+    e, top = F.col("eligible"), F.coalesce(F.col("rank_pos") <= k, F.lit(False))
+    anchored, auto = F.arrays_overlap("core_hits", anchors), F.size(F.array_except("core_hits", anchors)) > 0
+    newest = rows.where(e).groupBy(scan).agg(F.max("day").alias("_newest"))
+    j = rows.join(newest, scan, "left")
+    kept = F.lit(None).cast("boolean")
+    if before is not None:
+        j = j.join(before.where(F.col("rank_pos") <= k).select(scan, key).distinct().withColumn("_kept", F.lit(True)), [scan, key], "left")
+        kept = F.coalesce("_kept", F.lit(False))
+    share = lambda what, of: F.try_divide(F.count_if(what & of), F.count_if(of))
+    delay = F.datediff("scan_day", "day")
+    return j.groupBy(scan).agg(
+        F.count("*").alias("rows"), F.count_if(e).alias("n_eligible"), F.count_if(top).alias("n_top"), share(anchored, top).alias("anchor_share_top"), share(anchored, e).alias("anchor_share_eligible"),
+        share(F.size("exclude_hits") > 0, auto).alias("exclude_collision_auto"), share(F.col("tier") == 0, top).alias("top_tier_share"), F.count_if(e & auto & ~anchored).alias("new_from_auto"),
+        share(F.coalesce(F.col("day") == F.col("_newest"), F.lit(False)), top & F.col("_newest").isNotNull()).alias("freshness"), F.avg(F.when(top, delay)).alias("mean_delay_days"),
+        (share(kept, top) if before is not None else F.lit(None).cast("double")).alias("retention"),
+    )
+
+
+def keyword_hits(rows: DataFrame, scan: str, keywords: DataFrame) -> DataFrame:
+    """Rows of each scan that a core keyword hits, zeros included: keywords whose zeros go on may be dropped."""
+    n = rows.select(scan, F.explode(F.array_distinct("core_hits")).alias("keyword")).groupBy(scan, "keyword").agg(F.count("*").alias("n"))
+    every = rows.select(scan).distinct().crossJoin(F.broadcast(keywords.select("keyword").distinct()))  # a profile's stated keywords
+    return every.join(n, [scan, "keyword"], "left").na.fill(0, ["n"])
+
+
 def health_verdict(series: DataFrame, period: str, metric: str, least: int = 3, drop: float = 0.1) -> DataFrame:
     """Median of a metric per period against the period before: insufficient, worse, better or steady."""
     m = series.groupBy(period).agg(F.median(metric).alias("value"), F.count(metric).alias("n"))

@@ -55,7 +55,7 @@ def dedupe_merge(rows: DataFrame, order: list[str], key: str = "row_id", **kw) -
     return merge_group(rows.join(groups, key), "group_id", order, **kw)
 
 
-def seeds_of(rows: DataFrame, key: str, seed: str, status: DataFrame | None = None) -> DataFrame:
+def seeds_of(rows: DataFrame, key: str, seed: str) -> DataFrame:
     """Results of many queries as one row a key with the sorted set of queries that returned it."""
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(seed)).alias("seeds"))
 
@@ -115,6 +115,25 @@ def delivered_only(feedback: DataFrame, delivered: DataFrame, key: str = "paper_
     return feedback.join(delivered.select(key).distinct(), key, "left_semi")
 
 
+def feedback_load(feedback: DataFrame, delivered: DataFrame, usefulness: list[str], support: list[str], keys: tuple[str, ...] = ("profile_id", "paper_key")) -> DataFrame:
+    """Feedback rows with the ``reason`` they are rejected for, null if they load.
+
+    Usefulness and support must be known values, a judged support needs a claim, and the entity must have been delivered
+    to the profile. ``unassessed`` is the support that judges nothing.
+    """
+    known = F.col("usefulness").isin(usefulness) & F.col("support").isin([*support, "unassessed"])
+    unclaimed = (F.col("support") != "unassessed") & (F.trim(F.coalesce("claim", F.lit(""))) == "")
+    j = feedback.join(delivered.select(*keys).distinct().withColumn("_d", F.lit(True)), list(keys), "left")
+    reason = F.when(~F.coalesce(known, F.lit(False)), "unknown_value").when(unclaimed, "claim_missing").when(F.col("_d").isNull(), "not_delivered")
+    return j.withColumn("reason", reason).drop("_d")
+
+
+def recent(rows: DataFrame, day: str, before: Column, days: int, limit: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the ``days`` days before a day, that day left out, newest first, then by ``then``."""
+    out = rows.where((F.col(day) >= F.date_sub(before, days)) & (F.col(day) < before)).orderBy(F.desc(day), *then)
+    return out if limit is None else out.limit(limit)
+
+
 def not_delivered(papers: DataFrame, delivered: DataFrame, key: str = "paper_key") -> DataFrame:
     return papers.join(delivered.select(key).distinct(), key, "left_anti")
 

@@ -33,10 +33,15 @@ def seed_attempts(runs: DataFrame, json_col: str = "seed_attempts") -> DataFrame
     return a.groupBy("keyword").agg(*counts, F.sum("returned").alias("returned"))
 
 
-def scan_health(scans: DataFrame) -> DataFrame:
+def scan_health(scans: DataFrame, deferred: str = "deferred:") -> DataFrame:
+    """Per profile: scans, those whose observations were kept, failed, left incomplete, and put off to a later attempt.
+
+    A scan that was put off holds an error that starts with ``deferred``; it is no failure. An empty error is none.
+    """
+    error = F.coalesce(F.col("observation_error"), F.lit(""))
     return scans.groupBy("profile_id").agg(
-        F.count("*").alias("scans"), F.sum("observations").alias("observed"), F.count_if(F.col("observation_error").isNotNull()).alias("failed"),
-        F.count_if(F.col("status") == "partial").alias("incomplete"), F.count_if(F.col("observations").isNull()).alias("unmeasured"),
+        F.count("*").alias("scans"), F.count("observations").alias("observed"), F.count_if((error != "") & ~error.startswith(deferred)).alias("failed"),
+        F.count_if(F.col("observations").isNull() & (error == "")).alias("incomplete"), F.count_if(error.startswith(deferred)).alias("deferred"),
     )
 
 
@@ -152,12 +157,33 @@ def hit_alone(obs: DataFrame, key: str, hits: str, least: int = 3) -> DataFrame:
     return r.groupBy("keyword").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_k") <= 3, F.col(key)))).alias("samples")).where(F.col("n") >= least)
 
 
-def next_cursor(runs: DataFrame, now: Column, lateness_days: int = 5) -> DataFrame:
+def next_cursor(runs: DataFrame, now: Column, lateness_days: int = 5, signatures: DataFrame | None = None, lookback_days: int = 7) -> DataFrame:
     """Where the next scan of each profile and source begins: the end of a finished run, the start of another, never
-    later than ``lateness_days`` ago."""
+    later than ``lateness_days`` ago.
+
+    With ``signatures`` (profile_id, signature) a profile whose topics have changed since its last run, or that never ran
+    (source null), starts ``lookback_days`` ago; a run or a profile without a signature says nothing of a change.
+    """
+    back = lambda days: now - F.make_dt_interval(days=F.lit(days))
     last = runs.groupBy("profile_id", "source").agg(F.max_by(F.struct("status", "window_from", "window_to", "topic_signature"), "started_at").alias("r"))
-    since = F.when(F.col("r.status") == "done", F.col("r.window_to")).otherwise(F.col("r.window_from"))
-    return last.select("profile_id", "source", F.least(since, now - F.make_dt_interval(days=F.lit(lateness_days))).alias("since"), F.col("r.topic_signature").alias("topic_signature"))
+    since = F.least(F.when(F.col("r.status") == "done", F.col("r.window_to")).otherwise(F.col("r.window_from")), back(lateness_days))
+    if signatures is not None:
+        last = last.join(signatures, "profile_id", "full_outer")
+        changed = (F.col("signature") != "") & (F.col("r.topic_signature") != "") & (F.col("signature") != F.col("r.topic_signature"))
+        since = F.when(F.coalesce(changed, F.lit(False)) | F.col("r").isNull(), back(lookback_days)).otherwise(since)
+    return last.select("profile_id", "source", since.alias("since"), F.col("r.topic_signature").alias("topic_signature"))
+
+
+def seed_states(wanted: DataFrame, attempts: DataFrame, found: DataFrame, seed: str = "seed") -> DataFrame:
+    """Per wanted seed: done, partial, failed or not_attempted over its attempts (status), and the rows it returned.
+
+    One attempt that is not done among others makes a seed partial; only failures make it failed.
+    """
+    done, failed = F.count_if(F.col("status") == "done"), F.count_if(F.col("status") == "failed")
+    a = attempts.groupBy(seed).agg(F.when(done == F.count("*"), "done").when(failed == F.count("*"), "failed").otherwise("partial").alias("status"))
+    n = found.groupBy(seed).agg(F.count("*").alias("returned"))
+    j = wanted.select(seed).distinct().join(a, seed, "left").join(n, seed, "left")
+    return j.select(seed, F.coalesce("status", F.lit("not_attempted")).alias("status"), F.coalesce("returned", F.lit(0)).alias("returned"))
 
 
 def topic_signature(keywords: Column) -> Column:

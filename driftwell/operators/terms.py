@@ -154,17 +154,35 @@ def discover(term_docs: DataFrame, docs: DataFrame | None, id_col: str, seed: st
     return hygienic(n, F.col("support") >= least)
 
 
-def lanes(found: DataFrame, per_lane: int = 4) -> DataFrame:
-    """Terms picked in turn from three rankings (domain, breadth, newest); a term keeps its best place."""
-    orders = [["domain_docs", "support"], ["breadth", "support"], ["newest", "support"]]
-    picks = None
-    for k, cols in enumerate(orders):
-        ranked = found.orderBy(*[F.desc(c) for c in cols], "term").limit(per_lane)
-        w = Window.orderBy(*[F.desc(c) for c in cols], "term")  # over per_lane rows
-        part = ranked.withColumn("place", F.row_number().over(w)).withColumn("lane", F.lit(k))
-        picks = part if picks is None else picks.unionByName(part)
-    best = picks.groupBy("term").agg(F.min(F.struct("place", "lane")).alias("p"))
-    return found.join(best, "term").select(*found.columns, "p.lane", "p.place")
+def lanes(found: DataFrame, top: int = 12, least_breadth: int = 2) -> DataFrame:
+    """(term, lane, place): up to ``top`` terms picked in turn from three rankings (support, domain share, seed breadth).
+
+    A term is picked once: a lane gives its first term that is still free, and where it has none the first ranking gives
+    one in its place. A lane never needs more than its first ``top`` terms, so only these are brought together.
+    """
+    share = F.col("domain_docs") / F.col("support")
+    rankings = [
+        (found, [F.desc("support"), F.desc(share), F.asc("term")]),
+        (found.where("domain_docs > 0"), [F.desc(share), F.desc("support"), F.asc("term")]),
+        (found.where(F.col("breadth") >= least_breadth), [F.desc("breadth"), F.desc("newest"), F.desc("support"), F.asc("term")]),
+    ]
+    parts = None
+    for k, (rows, order) in enumerate(rankings):
+        first = rows.orderBy(*order).limit(top).select("term", F.row_number().over(Window.orderBy(*order)).alias("place"), F.lit(k).alias("lane"))
+        parts = first if parts is None else parts.unionByName(first)
+    in_order = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("lane") == k, F.struct("place", "term")))), lambda x: x["term"])
+    one = parts.agg(F.array(*[in_order(k) for k in range(len(rankings))]).alias("lanes"))
+    kind = "struct<term:string,lane:int>"
+
+    def turn(picked, i):
+        free = lambda lane: F.array_except(lane, F.transform(picked, lambda x: x["term"]))
+        mine, fallback = free(F.element_at("lanes", (i % 3 + 1).cast("int"))), free(F.element_at("lanes", 1))
+        pick = F.when(F.size(mine) > 0, F.struct(F.try_element_at(mine, F.lit(1)).alias("term"), (i % 3).cast("int").alias("lane")).cast(kind))
+        pick = pick.when(F.size(fallback) > 0, F.struct(F.try_element_at(fallback, F.lit(1)).alias("term"), F.lit(0).alias("lane")).cast(kind))
+        return F.concat(picked, F.array_compact(F.array(pick)))
+
+    picked = F.aggregate(F.sequence(F.lit(0), F.lit(top - 1)), F.array().cast(f"array<{kind}>"), turn)
+    return one.select(F.posexplode(picked).alias("p", "x")).select("x.term", "x.lane", (F.col("p") + 1).alias("place"))
 
 
 def evidence_docs(term_docs: DataFrame, docs: DataFrame, id_col: str, order: list, n: int = 3) -> DataFrame:

@@ -467,7 +467,17 @@ def link_extract(spark, sf_dir):
     return links.hrefs(table(spark, sf_dir, "pages"))
 
 
-@query()
+_SQL_BARE = "regexp_replace(html, '(?is)" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "nav", "header", "footer", "aside", "noscript")) + "|<!--.*?-->', ' ', 'g')"
+
+
+def _sql_text() -> str:
+    t = f"regexp_replace({_SQL_BARE}, '(?s)<[^>]*>', ' ', 'g')"
+    for k, v in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        t = f"replace({t}, '{k}', '{v}')"
+    return f"SELECT page_id, trim(regexp_replace({t}, '\\s+', ' ', 'g')) AS text FROM pages"
+
+
+@query(_sql_text())
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", readers.html_text(F.col("html")).alias("text"))
 

@@ -95,6 +95,10 @@ class _Tables(HTMLParser):
         if self.into is not None:
             self.into[0] += data
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section, whatever its name, is a comment up to the next >."""
+        return self.parse_bogus_comment(i, report)
+
 
 def table_cells(html: str | None) -> list[tuple]:
     """(table, caption, row, col, text, is header) with spans written out into every cell they cover."""
@@ -108,11 +112,11 @@ def table_cells(html: str | None) -> list[tuple]:
             for text, down, across, head in row:
                 while (r, c) in held:
                     c += 1
-                for i in range(down):
+                for i in range(min(down, len(t["rows"]) - r)):
                     for j in range(across):
                         held[r + i, c + j] = (" ".join(text.split()), head)
                 c += across
-        out += [(k, " ".join(t["caption"][0].split()), r, c, *v) for (r, c), v in sorted(held.items()) if r < len(t["rows"])]
+        out += [(k, " ".join(t["caption"][0].split()), r, c, *v) for (r, c), v in sorted(held.items())]
     return out
 
 
