@@ -45,15 +45,23 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str = "1 hour", lateness
 
 
 def matched(stream: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """New documents against the current keyword table (a stream-static join); one row a document and keyword.
+    """New documents against the current keyword table; one row a document and keyword, as ``match_keywords`` finds them.
 
-    Stateless: a document's words are exploded, joined to the keywords on their first word and checked by the regex.
+    Stateless: the keywords, a profile's short list, travel with each document as one array; the beginning of a keyword's
+    first word is looked for before its regex, and what is found is exploded. No shuffle and no state.
     """
-    words = stream.withColumn("_w", F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+")))
-    heads = keywords.withColumn("head", F.element_at(F.filter(F.split("first", r"[^\p{L}\p{N}]+"), lambda x: x != ""), 1))
-    w = words.select(id_col, text_col, F.explode("_w").alias("word"))
-    hit = F.expr(f"(word = head or (n_words = 1 and startswith(word, substring(head, 1, greatest(length(head) - 1, 1))))) and regexp_like({text_col}, pattern)")
-    return w.join(F.broadcast(heads), hit).select(id_col, "profile_id", "keyword", "kind", "weight")  # a keyword table is a profile's short list
+    fields = ["profile_id", "keyword", "kind", "weight", "pattern", "guard"]
+    start = F.element_at(F.filter(F.split(F.lower("keyword"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), 1)
+    short = F.substr(start, F.lit(1), F.greatest(F.length(start) - 1, F.lit(1)))  # plurals may change the last letter
+    lists = keywords.select(F.struct(*fields, short.alias("start")).alias("k")).agg(F.collect_set("k").alias("_keywords"))
+    text = F.col(text_col)
+
+    def hit(k):
+        ok = F.contains(F.lower(text), k["start"]) & F.regexp_like(text, k["pattern"])
+        return ok & (k["guard"].isNull() | F.regexp_like(text, k["guard"]))
+
+    rows = stream.select(id_col, text_col).crossJoin(F.broadcast(lists))  # one row
+    return rows.select(id_col, F.explode(F.filter("_keywords", hit)).alias("k")).select(id_col, *[f"k.{c}" for c in fields[:4]])
 
 
 def upsert_sink(path: str, keys: list[str], at: str, **policy):

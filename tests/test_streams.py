@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from driftwell.operators import feedback
+from driftwell.operators import feedback, match
 from driftwell.streaming import streams
 from tests.conftest import SF
 
@@ -36,3 +36,14 @@ def test_reaction_stream_equals_batch(spark, tmp_path):
     s = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
     got = streams.run_to_table(streams.reaction_stream(s, tokens), "update")
     assert {r.event_id: r.status for r in got.collect()} == {r.event_id: r.status for r in feedback.reaction_states(e, tokens).collect()}
+
+
+def test_matched_stream_gives_a_keyword_once(spark, tmp_path):
+    k = match.keyword_table(spark, [("p", "robot", "core", 1.0, None), ("p", "policy gradient", "core", 2.0, None), ("p", "battery", "exclude", None, None)])
+    rows = [(1, "robot robots robotics robotic"), (2, "Policy-gradients for batteries"), (3, "nothing"), (4, None), (5, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = streams.run_to_table(streams.matched(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), k), "append")
+    want = match.match_keywords(d, k)
+    pairs = lambda t: sorted((r.doc_id, r.keyword) for r in t.collect())
+    assert pairs(got) == pairs(want) == [(1, "robot"), (2, "battery"), (2, "policy gradient")]
