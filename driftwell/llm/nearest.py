@@ -9,7 +9,8 @@ precision.
 
 The number of projections, the width and the number of probes are fitted on a bounded sample of ``SAMPLE`` vectors (those
 with the smallest id hashes): of ``SETTINGS``, each with the first number of probes that reaches ``TARGET`` recall against
-brute force there, the one with the least work a query is taken. If none reaches it, every bucket is visited.
+brute force there, the one with the least work a query is taken. If none reaches it, every bucket is visited, as it is for
+a query whose probes meet no more than k rows of a shard, so that each query gets its k.
 
 Every row is indexed. Rows are dealt to shards of at most about ``SHARD_ROWS`` by the hash of their id, one task a shard,
 so no bucket, however many vectors share it, makes a task larger; a vector moves once and a query once a shard. A shard
@@ -162,8 +163,10 @@ class Shard:
                 for i in range(len(q)):
                     parts = [self.rows[lo : lo + n] for lo, n in zip(self.start[at[i][met[i]]], self.sizes[at[i][met[i]]], strict=True)]
                     rows = np.unique(np.concatenate(parts)) if parts else every[:0]
+                    rows = rows if len(rows) > self.k else every
                     yield from self._best(qid[i], q[i], rows, self.x[rows] @ q[i])
                 return
+        seen[seen.sum(1) <= self.k] = True
         scores = q @ self.x.T
         for i in range(len(q)):
             yield from self._best(qid[i], q[i], every[seen[i]], scores[i][seen[i]])

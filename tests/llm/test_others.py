@@ -84,6 +84,39 @@ def test_nearest(spark):
     assert nearest.nearest(few).count() == 6 and nearest.nearest(d.limit(0)).count() == 0 and nearest.nearest(d.where("vec_id = 2000")).count() == 0
 
 
+def test_nearest_shard_against_brute_force():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 16))).astype(np.float32)
+    x[:1000] = x[0]  # a third is one vector
+    ids, y = np.arange(3000) * 7 - 50, x.astype(float)
+    norm, k = float(np.linalg.norm(y, axis=1).max()), 5
+    asked = np.arange(0, 3000, 50)
+    for least, fitted in ((1, None), (0.9, (4, 3.0, 324)), (0, (4, 0.5, 30)), (0, (6, 0.75, 40)), (0.9, nearest.fit(y[::2], y[asked], norm, k, 3000))):
+        shard = nearest.Shard(ids, x, norm, k, fitted)
+        assert len(shard.ids) <= 2000 + k + 1
+        got, hit = {q: (i, s) for q, i, s in shard.nearest(ids[asked], y[asked])}, 0
+        for n in asked:
+            s = (y * y[n]).sum(1)
+            want = [j for j in np.lexsort((ids, -s)) if j != n][:k]
+            i, score = got[ids[n]]
+            assert ids[n] not in i and len(set(i)) == k == len(i) and all(abs(s[(j + 50) // 7] - v) < 1e-12 for j, v in zip(i, score, strict=True))
+            assert sorted(zip(-score, i, strict=True)) == list(zip(-score, i, strict=True))
+            hit += len(set(ids[want]) & set(i))
+        assert hit >= least * k * len(asked), fitted
+
+
+def test_nearest_with_other_columns(spark):
+    rows = [(n, [float(n % 7 + 1), float(n % 5), 1.0], "x", [0], 3, 4) for n in range(40)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, v array<int>, shard int, side int")
+    got = sorted(map(tuple, nearest.nearest(d, k=3).collect()))
+    want = []
+    for q in (0, 20):
+        s = {n: sum(a * b for a, b in zip(rows[n][1], rows[q][1], strict=True)) for n in range(40) if n != q}
+        want += [(q, r + 1, n, s[n]) for r, n in enumerate(sorted(s, key=lambda n: (-s[n], n))[:3])]
+    assert got == want
+
+
 def test_preferences(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (2, 0, "user", "hi"), (2, 1, "assistant", "bad"), (2, 1, "assistant", "bad"), (2, 2, "user", "why"), (3, 0, None, None), (None, 0, "user", "x")]
     d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(9))
