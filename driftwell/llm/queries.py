@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import decontaminate, html_content, jaccard_join, mixing, nearest, pii, preferences, suffix_dedup, token_counts, toxicity
+from driftwell.llm import decontaminate, filter_audit, html_content, jaccard_join, manifest, mixing, nearest, pii, preferences, sharding, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,17 @@ def op10_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_nearest": op3_nearest, "op4_mix": op4_mix, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_jaccard": op7_jaccard, "op8_suffix": op8_suffix, "op9_preferences": op9_preferences, "op10_pii": op10_pii}
-ORACLES = {"op4_mix": mixing.ORACLE, "op7_jaccard": jaccard_join.ORACLE, "op9_preferences": preferences.ORACLE, "op10_pii": pii.ORACLE}
+def op11_manifest(spark, sf_dir):
+    return manifest.drill(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_nearest": op3_nearest, "op4_mix": op4_mix, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_jaccard": op7_jaccard, "op8_suffix": op8_suffix, "op9_preferences": op9_preferences, "op10_pii": op10_pii, "op11_manifest": op11_manifest, "op12_filter_audit": op12_filter_audit, "op13_sharding": op13_sharding}
+ORACLES = {"op4_mix": mixing.ORACLE, "op7_jaccard": jaccard_join.ORACLE, "op9_preferences": preferences.ORACLE, "op10_pii": pii.ORACLE, "op11_manifest": manifest.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_sharding": sharding.ORACLE}
