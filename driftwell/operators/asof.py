@@ -71,11 +71,30 @@ def attach_dates(rows: DataFrame, seen: DataFrame, summarised: DataFrame, key: s
     return rows.join(seen.groupBy(key).agg(F.min("seen_at").alias("first_seen")), key, "left").join(summarised.groupBy(key).agg(F.min("at").alias("summarised_at")), key, "left")
 
 
-def changed_since_sent(now: DataFrame, sent: DataFrame, keys: list[str], axes: list[str], limit: int = 10, order: str = "paper_key") -> DataFrame:
-    """Entities whose state differs from the last one sent to a reader, with the axes that changed."""
-    s = sent.select(*keys, *[F.col(a).alias(f"_{a}") for a in axes])
-    j = now.join(s, keys)
-    diff = F.array_compact(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(f"_{a}")), F.lit(a)) for a in axes]))
-    w = Window.partitionBy([k for k in keys if k != order]).orderBy(order)
-    out = j.withColumn("changed", diff).where(F.size("changed") > 0).withColumn("_rn", F.row_number().over(w))
-    return out.where(F.col("_rn") <= limit).drop("_rn", *[f"_{a}" for a in axes])
+def changed_since_sent(now: DataFrame, sent: DataFrame, keys: list[str], axes: list[str], limit: int = 10, order: str = "paper_key", urgent: Column | None = None) -> DataFrame:
+    """Entities whose state differs from the last one sent to a reader, with the axes that changed and their place.
+
+    An entity that was never sent has changed in all axes. Of a reader's changes the ``urgent`` ones come first, then those
+    of entities sent before, then by ``order``; the first ``limit`` are kept.
+    """
+    s = sent.select(*keys, *[F.col(a).alias(f"_{a}") for a in axes], F.lit(True).alias("_sent"))
+    j = now.join(s, keys, "left")
+    new = F.col("_sent").isNull()
+    diff = F.array_compact(F.array(*[F.when(new | ~F.col(a).eqNullSafe(F.col(f"_{a}")), F.lit(a)) for a in axes]))
+    by = [] if urgent is None else [F.coalesce(urgent, F.lit(False)).desc()]
+    w = Window.partitionBy([k for k in keys if k != order]).orderBy(*by, new.asc(), F.col(order).asc())
+    out = j.withColumn("changed", diff).where(F.size("changed") > 0).withColumn("place", F.row_number().over(w))
+    return out.where(F.col("place") <= limit).drop("_sent", *[f"_{a}" for a in axes])
+
+
+def pending_changes(rows: DataFrame, keys: list[str], axes: list[str], at: str = "at") -> DataFrame:
+    """(keys, changed, first) from rows of kind ``state`` and ``sent`` with a map of axes: what each reader has not seen yet.
+
+    Of each kind the newest row counts, of two at one time the one whose sorted values are larger; see ``change_notices``.
+    """
+    order = F.struct(F.col(at), F.transform(F.array_sort(F.map_entries(F.coalesce("axes", F.create_map().cast("map<string,string>")))), lambda e: F.struct(e["key"], F.coalesce(F.concat(F.lit("'"), e["value"]), F.lit("")))))
+    newest = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("axes")), F.when(F.col("kind") == kind, order))
+    g = rows.groupBy(*keys).agg(newest("state").alias("_now"), newest("sent").alias("_sent"), F.count_if(F.col("kind") == "state").alias("_n"), F.count_if(F.col("kind") == "sent").alias("_m"))
+    first = F.col("_m") == 0
+    diff = F.array_compact(F.array(*[F.when(first | ~F.col("_now")[a].eqNullSafe(F.col("_sent")[a]), F.lit(a)) for a in axes]))
+    return g.where("_n > 0").select(*keys, diff.alias("changed"), first.alias("first")).where(F.size("changed") > 0)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,65 +107,17 @@ def once_a_day_sink(path: str, keys: list[str]):
     return write
 
 
-STATE = "event_id array<string>, action array<string>, at array<timestamp>"
+def run_to_table(stream: DataFrame, mode: str = "complete", at: str | None = None) -> DataFrame:
+    """Runs a stream over what is there (availableNow) and returns the table it leaves in the shared folder.
 
-
-def reaction_stream(events: DataFrame, tokens: DataFrame, lateness: str = "5 minutes") -> DataFrame:
-    """(event_id, tid, status) with corrections: state per token holds its events; a later event may restate earlier ones.
-
-    The states are those of ``reaction_states``; the sink keeps the last status of an event id.
+    In ``update`` mode the rows carry the batch that wrote them in ``_epoch``, so that the newest of a key can be told.
+    ``at`` names the stream's folder, where a later call goes on from its checkpoint; without it each call begins anew.
     """
-    e = events.withWatermark("received_at", lateness).join(F.broadcast(tokens.select("tid", "delivered_at", "expires_at")), "tid", "left")
-
-    def run(key, frames, state):
-        held = dict(zip(*[list(x) for x in state.get[:2]], strict=True)) if state.exists else {}
-        times = dict(zip(state.get[0], state.get[2], strict=True)) if state.exists else {}
-        row = None
-        for f in frames:
-            for r in f.itertuples():
-                row = r
-                held.setdefault(r.event_id, r.action)
-                times.setdefault(r.event_id, r.received_at)
-        ids = sorted(held, key=lambda i: (times[i], i))
-        state.update((ids, [held[i] for i in ids], [times[i] for i in ids]))
-        out = _states([(i, held[i], pd.Timestamp(times[i])) for i in ids], row.delivered_at, row.expires_at)
-        yield pd.DataFrame({"event_id": [i for i, _ in out], "tid": key[0], "status": [s for _, s in out]})
-
-    return e.groupBy("tid").applyInPandasWithState(run, "event_id string, tid string, status string", STATE, "update", "NoTimeout")
-
-
-def _states(events: list[tuple], delivered, expires) -> list[tuple]:
-    seen, first = set(), []
-    for i, a, t in events:
-        if (a, t) in seen:
-            s = "duplicate"
-        elif pd.isna(expires):
-            s = "unknown"
-        elif t > expires:
-            s = "expired"
-        elif a == "undo":
-            s = "undo"
-        else:
-            s = "prefetch" if not pd.isna(delivered) and 0 <= (t - delivered).total_seconds() < 120 else "valid"
-        seen.add((a, t))
-        first.append([i, a, t, s])
-    out = {}
-    for _, _, t, s in first:
-        if s == "valid":
-            near = [f for f in first if f[3] in ("valid", "prefetch") and 0 <= (t - f[2]).total_seconds() <= 30]
-            if len({f[1] for f in near}) >= 3:
-                out.update({f[0]: "burst" for f in near})
-    undone = max((t for _, _, t, s in first if s == "undo"), default=None)
-    return [(i, out.get(i) or ("cancelled" if s == "valid" and undone is not None and undone >= t else s)) for i, _, t, s in first]
-
-
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there (availableNow) and returns the table it leaves in the shared folder."""
     spark = stream.sparkSession
-    at = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = at or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/table/{epoch}")
+        (batch.withColumn("_epoch", F.lit(epoch)) if mode == "update" else batch).write.mode("overwrite").parquet(f"{at}/table/{epoch}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()

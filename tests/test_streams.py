@@ -1,10 +1,8 @@
 """Streams give what their batch forms give."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
-from driftwell.operators import feedback, match
+from driftwell.operators import match
 from driftwell.streaming import streams
 from tests.conftest import SF
 
@@ -26,18 +24,6 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     assert [tuple(r) for r in streams.latest_version(spark, str(tmp_path / "t")).collect()] == [(1, "b", 2)]
 
 
-def test_reaction_stream_equals_batch(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    at = lambda s: t0 + dt.timedelta(seconds=s)
-    tokens = spark.createDataFrame([(t, at(-1000), at(5000)) for t in "ab"], "tid string, delivered_at timestamp, expires_at timestamp")
-    rows = [("1", "a", "more", at(0)), ("2", "a", "useful", at(10)), ("3", "a", "out", at(20)), ("4", "b", "more", at(0)), ("5", "b", "undo", at(60)), ("6", "b", "out", at(90))]
-    e = spark.createDataFrame(rows, "event_id string, tid string, action string, received_at timestamp")
-    e.coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    got = streams.run_to_table(streams.reaction_stream(s, tokens), "update")
-    assert {r.event_id: r.status for r in got.collect()} == {r.event_id: r.status for r in feedback.reaction_states(e, tokens).collect()}
-
-
 def test_matched_stream_gives_a_keyword_once(spark, tmp_path):
     k = match.keyword_table(spark, [("p", "robot", "core", 1.0, None), ("p", "policy gradient", "core", 2.0, None), ("p", "battery", "exclude", None, None)])
     rows = [(1, "robot robots robotics robotic"), (2, "Policy-gradients for batteries"), (3, "nothing"), (4, None), (5, "")]
