@@ -8,8 +8,8 @@ intervals and takes them away behind their ends; sums over the ranks give every
 Failures of the query: A under 50 words; B fewer than 65 % distinct words; C more than 5 % of A-Z; D one of #$%&*|; E the
 text of a smaller doc_id.
 
-Defined cases: null text is empty; a null part is the empty string, one part with it; a row without id is neither a
-copy nor an original of others; rows that repeat an id and its text count each and fail E alike; of several labels of an
+Defined cases: null text is empty; a null part is the empty string, one part with it; a row without id has no label
+and is neither a copy nor an original of others; rows that repeat an id and its text count each and fail E alike; of several labels of an
 id the largest counts; a label of no document counts nowhere; an empty table gives no rows. Only the columns named are
 read, so other columns of any name do no harm.
 """

@@ -143,20 +143,21 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", di
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, law: str = "rows", dims=DIMENSIONS, bits: int = BITS, files: int | None = None) -> None:
-    """Writes ``docs`` as Parquet in folders ``_shard=k``, rows in curve order, in about ``files`` files.
+    """Writes ``docs`` as Parquet in folders ``_shard=k`` (more underscores if ``docs`` has that column), rows in curve order, in about ``files`` files.
 
     Each file covers a short run of the curve, so its footer prunes on every one of ``dims``. Columns of any name pass
     through, those that bear the names used here included.
     """
-    spark, packed = docs.sparkSession, unused(docs, "row")
+    spark, packed = docs.sparkSession, "_packed"
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     rows = docs.select(*[F.col(c).alias(f"_d{k}") for k, c in enumerate(dims)], F.col("doc_id").alias("_id"), size.alias("_size"), F.struct(*docs.columns).alias(packed))
     keys = {f"_d{k}" if not c.endswith("_id") else f"_d{k}_id": F.col(f"_d{k}") for k, c in enumerate(dims)}
     rows = rows.select("_id", "_size", packed, *[c.alias(k) for k, c in keys.items()])
     placed = assign(along_curve(rows, tuple(keys), bits, "_curve"), [F.col("_curve").asc(), F.col("_id").asc_nulls_first(), F.col("_size").asc()], shards, law, "_size")
     n = files or max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = placed.select(F.col("shard").alias("_shard"), "slot", f"{packed}.*").repartitionByRange(n, "_shard", "slot").sortWithinPartitions("_shard", "slot")
-    out.drop("slot").write.partitionBy("_shard").parquet(path)
+    out = placed.select("shard", "slot", packed).repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
+    folder = unused(docs, "_shard")
+    out.select(F.col("shard").alias(folder), f"{packed}.*").write.partitionBy(folder).parquet(path)
 
 
 def _sql_curve(cells: list[str], bits: int = BITS) -> str:

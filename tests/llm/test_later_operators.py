@@ -103,7 +103,7 @@ def fails(text):
 
 def audit_rows(docs, labels):
     marks = {}
-    for i, quality, toxic in labels:
+    for i, quality, toxic in [x for x in labels if x[0] is not None]:
         a = marks.setdefault(i, [0, 0])
         a[0], a[1] = a[0] or int(quality == 1), a[1] or int(toxic == 1)
     least = {}
