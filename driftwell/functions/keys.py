@@ -118,10 +118,14 @@ def secret_free(c: Column) -> Column:
 
 
 def cell_number(c: Column) -> Column:
-    """The first finite number of a cell; fractions give null, a unicode minus is a minus."""
+    """The first finite number of a cell; fractions give null, a unicode minus is a minus; commas may part thousands.
+
+    A number inside a name (``ResNet50``, ``12M``) is none.
+    """
     t = F.regexp_replace(c, "[−–]", "-")
-    n = F.regexp_extract(F.regexp_replace(t, r"(?<=\d),(?=\d{3})", ""), r"(?<![\w.])([-+]?\d+(?:\.\d+)?)", 1)
-    return F.when(~t.rlike(r"\d\s*/\s*\d"), n.try_cast("double"))
+    n = F.regexp_extract(F.regexp_replace(t, r"(?<=\d),(?=\d{3})", ""), r"(?<![\w.])([-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?)(?![\w.])", 1)
+    v = n.try_cast("double")
+    return F.when(~t.rlike(r"\d\s*/\s*\d") & (F.abs(v) < float("inf")), v)
 
 
 LOWER_IS_BETTER = r"(?i)\b(?:error|loss|rmse|mae|mse|fid|latency|time|perplexity|wer|cer|collision)\b"

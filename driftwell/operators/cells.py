@@ -5,26 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell.functions.keys import HIGHER_IS_BETTER, comparable, direction, metric_key, norm_title
-
-
-def table_results(cells: DataFrame, id_col: str, own_pattern: str = r"(?i)\b(?:ours|proposed)\b") -> DataFrame:
-    """Cells as results: model from the first text cell of the row, metric from the header cells above, caption as benchmark.
-
-    A (model, benchmark, metric) that a table gives twice with different values is ambiguous and dropped.
-    """
-    heads = cells.where("is_header").groupBy(id_col, "table_id", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), " ").alias("metric"))
-    label = cells.where("value is null and not is_header and trim(text) <> ''").groupBy(id_col, "table_id", "row").agg(F.min_by("text", "col").alias("model"))
-    r = cells.where("value is not null and not is_header").join(heads, [id_col, "table_id", "col"]).join(label, [id_col, "table_id", "row"])
-    r = r.select(id_col, F.format_string("t%d.r%d.c%d", "table_id", "row", "col").alias("locator"), F.regexp_replace(norm_title(F.col("caption")), " ", "").alias("bench_key"), metric_key(F.col("metric")).alias("metric_key"), direction(F.col("metric")).alias("direction"), "value", "model", F.col("model").rlike(own_pattern).alias("own"))
-    w = Window.partitionBy(id_col, "bench_key", "metric_key", "model")
-    return r.withColumn("_lo", F.min("value").over(w)).withColumn("_hi", F.max("value").over(w)).where("_lo = _hi").drop("_lo", "_hi")
-
-
-def row_blocks(rows: DataFrame, keys: list[str], order: str, header: Column) -> DataFrame:
-    """The last group header row labels the rows beneath it."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("block", F.last(header, ignorenulls=True).over(w))
+from driftwell.functions.keys import HIGHER_IS_BETTER, comparable, norm_title
 
 
 def _signed(value: Column, way: Column) -> Column:
@@ -92,14 +73,6 @@ def verify_cell(claims: DataFrame, cells: DataFrame, id_col: str, tolerance: flo
     return j.withColumn("status", F.when(F.col("n_rows").isNull(), "row_missing").when(F.col("n_rows") > 1, "ambiguous_row").when(hit, "verified").otherwise("value_differs")).drop("found", "n_rows", "row_key")
 
 
-def gains(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Signed second numbers (``gain``) that equal the value less exactly one peer's, within rounding."""
-    own = results.where("gain is not null").select(*keys, "locator", "value", "gain")
-    peer = results.where("gain is null").select(*keys, F.col("value").alias("peer"), F.col("model").alias("peer_model"))
-    j = own.join(peer, keys).where(F.abs(F.col("value") - F.col("peer") - F.col("gain")) <= 0.0501)
-    return j.groupBy(*keys, "locator").agg(F.countDistinct("peer_model").alias("n"), F.first("peer_model").alias("peer_model")).where("n = 1").drop("n")
-
-
 def most_cited(results: DataFrame, citations: DataFrame, keys: list[str]) -> DataFrame:
     """The peer with the most known citations, ties by table order, and how many peers were known."""
     j = results.join(citations, "model", "left")

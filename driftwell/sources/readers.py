@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.keys import cell_number, clean_id, collapse
+from driftwell.functions.numbers import END_MATH, MATH, math_text
+from driftwell.operators.tables import bands
 
 
 def atom_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -58,41 +60,64 @@ def markdown_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 class _Tables(HTMLParser):
-    """Tables of a page as lists of rows of (text, rowspan, colspan, is header), and their captions."""
+    """Tables of a page: rows of cells with their spans, and captions. A table that can't be read as a grid is marked broken."""
 
     def __init__(self) -> None:
         super().__init__()
         self.tables: list[dict] = []
-        self.stack: list[dict] = []
+        self.open: list[dict] = []
         self.into: list | None = None
+        self.formula = False
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+        a, t = dict(attrs), self.open[-1] if self.open else None
+        if self.formula:
+            return
         if tag == "table":
-            t = {"rows": [], "caption": [""]}
+            if t:
+                t["broken"] |= self.into is not None and self.into is not t["caption"]  # numbers of an inner table belong to no cell
+            t = {"rows": [], "caption": ["", 1, 1, False], "part": ("", 0), "broken": False}
             self.tables.append(t)
-            self.stack.append(t)
-        elif self.stack and tag == "tr":
-            self.stack[-1]["rows"].append([])
-        elif self.stack and tag in ("td", "th"):
-            t = self.stack[-1]
+            self.open.append(t)
+            self.into = None
+        elif t is None:
+            return
+        elif tag in ("thead", "tbody", "tfoot"):
+            t["part"] = (tag, t["part"][1] + 1)
+        elif tag == "tr":
+            t["rows"].append((*t["part"], []))
+        elif tag in ("td", "th"):
             if not t["rows"]:
-                t["rows"].append([])
-            num = lambda k: max(1, min(1000, int(a.get(k) or 1))) if (a.get(k) or "1").isdigit() else 1
-            cell = ["", num("rowspan"), num("colspan"), tag == "th"]
-            t["rows"][-1].append(cell)
-            self.into = cell
-        elif self.stack and tag == "caption":
-            self.into = self.stack[-1]["caption"]
+                t["rows"].append((*t["part"], []))
+            kinds = (a.get("class") or "").split()
+            column = a.get("scope") in ("col", "colgroup") or "ltx_th_column" in kinds
+            heading = column or tag == "th" and a.get("scope") != "row" and "ltx_th_row" not in kinds
+            spans = [(a.get(k) or "1").strip() for k in ("rowspan", "colspan")]
+            t["broken"] |= not all(x.isascii() and x.isdigit() and len(x) < 5 for x in spans) or spans[1] == "0"
+            self.into = ["", *(int(x) if x.isascii() and x.isdigit() else 1 for x in spans), heading]
+            t["rows"][-1][2].append(self.into)
+        elif tag == "caption":
+            self.into = t["caption"]
+        elif tag == "math" and self.into is not None and a.get("alttext"):
+            self.into[0] += MATH + a["alttext"] + END_MATH
+            self.formula = True
+        elif tag in ("br", "p", "div") and self.into is not None:
+            self.into[0] += " "
 
     def handle_endtag(self, tag):
-        if tag == "table" and self.stack:
-            self.stack.pop()
+        if tag == "math":
+            self.formula = False
+        if self.formula:
+            return
+        if tag == "table" and self.open:
+            self.open.pop()
+        if tag in ("thead", "tbody", "tfoot") and self.open:
+            self.open[-1]["part"] = ("", self.open[-1]["part"][1] + 1)
         if tag in ("td", "th", "caption", "tr", "table"):
             self.into = None
 
     def handle_data(self, data):
-        if self.into is not None:
+        if self.into is not None and not self.formula:
             self.into[0] += data
 
     def parse_marked_section(self, i, report=1):
@@ -100,38 +125,68 @@ class _Tables(HTMLParser):
         return self.parse_bogus_comment(i, report)
 
 
-def table_cells(html: str | None) -> list[tuple]:
-    """(table, caption, row, col, text, is header) with spans written out into every cell they cover."""
+MAX_GRID = 1_000_000
+
+
+def grids(html: str | None) -> list[tuple]:
+    """(table, caption, row, cells, own, spans, heading) of a page's tables, with spans written out into every cell they cover.
+
+    ``own`` and ``spans`` are the row's own cells and their widths; ``heading`` rows are the table's head or hold only column
+    headings. Tables that spans make larger than MAX_GRID cells, that overlap or that are broken give nothing.
+    """
     p, out = _Tables(), []
     p.feed(html or "")
     p.close()
+    clean = lambda x: " ".join(x.split())
     for k, t in enumerate(p.tables):
-        held: dict[tuple[int, int], tuple] = {}
-        for r, row in enumerate(t["rows"]):
-            c = 0
-            for text, down, across, head in row:
+        held: dict[tuple[int, int], str] = {}
+        width, rows, broken = 0, t["rows"], t["broken"] or t in p.open
+        for r, (_, part, cells) in enumerate(rows):
+            c, end = 0, r + 1
+            while end < len(rows) and rows[end][1] == part:
+                end += 1
+            for cell in cells:
                 while (r, c) in held:
                     c += 1
-                for i in range(min(down, len(t["rows"]) - r)):
-                    for j in range(across):
-                        held[r + i, c + j] = (" ".join(text.split()), head)
-                c += across
-        out += [(k, " ".join(t["caption"][0].split()), r, c, *v) for (r, c), v in sorted(held.items())]
+                down = min(cell[1] or end - r, end - r)
+                width = max(width, c + cell[2])
+                if broken or len(rows) * width > MAX_GRID:
+                    broken = True
+                    break
+                for i in range(r, r + down):
+                    for j in range(c, c + cell[2]):
+                        broken |= (i, j) in held
+                        held[i, j] = clean(cell[0])
+                c += cell[2]
+        if broken or not width:
+            continue
+        for r, (section, _, cells) in enumerate(rows):
+            heading = section == "thead" or bool(cells) and all(x[3] for x in cells)
+            out.append((k, clean(t["caption"][0]), r, [held.get((r, c), "") for c in range(width)], [clean(x[0]) for x in cells], [x[2] for x in cells], heading))
     return out
 
 
-def html_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Long-form cells of the tables of each page."""
+def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """The rows of the tables of each page, as ``grids`` gives them; ``tables.bands`` tells headers from bodies."""
+    fields = [("id", pa.int64()), ("table_id", pa.int32()), ("caption", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("own", pa.list_(pa.string())), ("spans", pa.list_(pa.int32())), ("heading", pa.bool_())]
 
     def run(batches):
         for b in batches:
-            rows = [(i, *c) for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in table_cells(h)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "table_id", "caption", "row", "col", "text", "is_header"])
+            for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # a page at a time bounds the memory
+                rows = [(i, *g) for g in grids(h)]
+                cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+    kind = "id long, table_id int, caption string, row int, cells array<string>, own array<string>, spans array<int>, heading boolean"
+    rows = pages.select(F.col(id_col).cast("long"), html_col).mapInArrow(run, kind)
+    return rows.withColumn("caption", math_text(F.col("caption"))).withColumnRenamed("id", id_col)
 
-    cells = pages.select(F.col(id_col).cast("long"), html_col).mapInArrow(run, "id long, table_id int, caption string, row int, col int, text string, is_header boolean")
-    return cells.withColumnRenamed("id", id_col).withColumn("value", cell_number(F.col("text")))
+
+def html_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Long-form cells of the tables of each page: text, whether they lie in the header band or in a group row, and their number."""
+    rows = bands(table_rows(pages, id_col, html_col), id_col)
+    cells = rows.select(id_col, "table_id", "caption", "row", F.posexplode("cells").alias("col", "text"), "is_header", "is_group")
+    return cells.withColumn("value", cell_number(F.col("text")))
 
 
 def html_text(html: Column) -> Column:

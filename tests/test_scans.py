@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from driftwell.operators import cells, merge, signals, terms, text
-from driftwell.sources.readers import table_cells
+from driftwell.sources.readers import grids
 
 
 def test_cursor_starts_anew_on_changed_topics(spark):
@@ -64,7 +64,8 @@ def test_loads_seeds_and_context(spark):
 
 
 def test_table_spans_end_with_the_table():
-    wide = "<table><tr><td rowspan=1000 colspan=1000>a<td>b</table>"
-    assert len(table_cells(wide)) == 1001 and {c[2] for c in table_cells(wide)} == {0}
-    two = [c[2:5] for c in table_cells("<![odd[x]><table><tr><th rowspan=9>h<td>1<tr><td>2</table>")]
-    assert two == [(0, 0, "h"), (0, 1, "1"), (1, 0, "h"), (1, 1, "2")]
+    wide = grids("<table><tr><td rowspan=1000 colspan=1000>a<td>b</table>")
+    assert [(len(g[3]), g[2]) for g in wide] == [(1001, 0)]
+    two = grids("<![odd[x]><table><tr><th rowspan=9>h<td>1<tr><td>2</table>")
+    assert [g[3] for g in two] == [["h", "1"], ["h", "2"]]
+    assert grids("<table><tr><td colspan=9999 rowspan=2>a<tr><td>b</table>")[0][3][9998] == "a" and grids("<table><tr><td colspan=99999>a</table>") == []
