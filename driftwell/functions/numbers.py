@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftwell.functions.keys import collapse
+from driftwell.functions.keys import cell_number, collapse  # noqa: F401  cells are numbers too
 
 NUMBER = r"[+\-−]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+\-−]?[0-9]+)?"
 MISSING = ("n/a", "na", "-", "–", "—", "−")

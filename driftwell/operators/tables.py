@@ -93,7 +93,7 @@ def column_paths(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, table_id, paths): for each column its headers from top to bottom, repeats of a merged one left out."""
     heads = rows.where("is_header").groupBy(id_col, "table_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("h"))
     none = F.array().cast("array<string>")
-    step = lambda c: lambda acc, h: F.when((h["cells"][c] != "") & ((F.size(acc) == 0) | (F.element_at(acc, -1) != h["cells"][c])), F.concat(acc, F.array(h["cells"][c]))).otherwise(acc)
+    step = lambda c: lambda acc, h: F.when((h["cells"][c] != "") & ((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) != h["cells"][c])), F.concat(acc, F.array(h["cells"][c]))).otherwise(acc)
     at = F.sequence(F.lit(0), F.size(F.col("h")[0]["cells"]) - 1)
     return heads.select(id_col, "table_id", F.transform(at, lambda c: F.aggregate("h", none, step(c))).alias("paths"))
 
@@ -104,7 +104,7 @@ def row_labels(body: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     def step(s, c):
         stop = s["done"] | N.is_numeric(c) | N.is_missing(c)
-        new = (c != "") & ((F.size(s["full"]) == 0) | (F.element_at(s["full"], -1) != c) | c.isin(*MARKS))
+        new = (c != "") & ((F.size(s["full"]) == 0) | (F.try_element_at(s["full"], F.lit(-1)) != c) | c.isin(*MARKS))
         return F.struct(stop.alias("done"), F.when(~stop & new, F.concat(s["full"], F.array(c))).otherwise(s["full"]).alias("full")).cast(kind)
 
     full = F.aggregate("cells", F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("full")).cast(kind), step)["full"]
@@ -169,7 +169,7 @@ def _transposed(t: DataFrame, id_col: str) -> DataFrame:
     t = t.where("_turned and col > 0 and size(path) > 0").withColumn("_b", benches).withColumn("_m", N.only_metric(F.col("caption"))).where("size(_b) = 1 and _m is not null")
     metric = F.concat_ws(" / ", "_m", "label")
     model = N.clean_label(F.array_join("path", " / "))
-    own = model.rlike(OURS) | F.coalesce((F.col("method") != "") & _is_name(F.element_at("path", -1), F.col("method")), F.lit(False))
+    own = model.rlike(OURS) | F.coalesce((F.col("method") != "") & _is_name(F.try_element_at(F.col("path"), F.lit(-1)), F.col("method")), F.lit(False))
     return t.select(
         id_col, "table_id", "row", "col", F.col("_b")[0].alias("benchmark"), metric.alias("metric"), N.metric_direction(F.col("_m")).alias("direction"), "value", "text", model.alias("model"), own.alias("own"),
         F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("block"), "path", "caption", F.lit(None).cast("int").alias("base_row"), F.lit("transposed").alias("orientation"), F.lit(False).alias("told"),
@@ -209,7 +209,7 @@ def table_results(rows: DataFrame, papers: DataFrame, sents: DataFrame | None =
     else:
         cell = cell.withColumn("told", F.lit(None).cast("string"))
     has_metric = lambda c: c.rlike(N.METRIC_ABBR) | c.rlike(N.METRIC_PHRASE)
-    last = F.element_at("path", -1)
+    last = F.try_element_at(F.col("path"), F.lit(-1))
     spare = F.trim(F.regexp_replace(last, r"\.$", "")).rlike("^(?:" + MEAN + ")$") | F.forall("path", lambda p: _is_name(p, F.col("bench")))
     lend = F.when(~has_metric(F.array_join("path", " / ")), F.coalesce("told", F.when(spare, N.only_metric(F.col("caption")))))
     cell = cell.withColumn("path", F.concat(F.array_compact(F.array(lend)), F.col("path"))).where(has_metric(F.array_join("path", " / ")))

@@ -482,13 +482,6 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", readers.html_text(F.col("html")).alias("text"))
 
 
-@query()
-def html_cells(spark, sf_dir):
-    """Pages hold no tables of their own, so each page's menu and paragraphs are laid out as one before they are read."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<table><caption>page</caption>"), F.regexp_replace(F.regexp_replace("html", r"(?i)<(?:p|li|h1)\b[^>]*>", "<tr><th>block<td>"), r"(?i)</(?:p|li|h1)>", "</tr>"), F.lit("</table>")).alias("html"))
-    return readers.html_cells(p).select("page_id", "table_id", "row", "col", "text", "is_header", "value")
-
-
 @query("SELECT c_custkey, c_nationkey, turn FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS turn FROM customer) ORDER BY turn, c_nationkey LIMIT 60")
 def fair_round_robin(spark, sf_dir):
     return rank.fair_round_robin(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", [F.desc("c_acctbal"), F.asc("c_custkey")], 60).select("c_custkey", "c_nationkey", "turn")
