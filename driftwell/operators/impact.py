@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.functions.keys import norm_title
+from driftwell.operators.graph import cut
+
 
 def compare_runs(before: DataFrame, after: DataFrame, key: str, k: int) -> DataFrame:
     """(key, change, rank_before, rank_after, entered, left) of two judged and ranked versions of the same documents."""
@@ -109,17 +112,81 @@ def _starts(status: str):
     return lambda r: r.startswith(f"{status}:")
 
 
-def gap_stage(items: DataFrame, obs: DataFrame, delivered: DataFrame, first_scan: DataFrame) -> DataFrame:
-    """Why an item found elsewhere was missed: captured, not_delivered, ranked_out, excluded, no_core_hit, not_retrieved,
-    before_monitoring."""
-    last = obs.groupBy("profile_id", "paper_key").agg(F.max_by(F.struct("outcome", "filter_reason"), "observed_at").alias("o"))
-    j = items.join(last, ["profile_id", "paper_key"], "left").join(delivered.select("profile_id", "paper_key").distinct().withColumn("_d", F.lit(True)), ["profile_id", "paper_key"], "left")
-    j = j.join(first_scan, "profile_id", "left")
+def gap_stage(items: DataFrame, scans: DataFrame, obs: DataFrame, delivered: DataFrame, runs: DataFrame) -> DataFrame:
+    """Adds ``gap_stage``: how far an item that was found elsewhere had come here by the time of its discovery.
+
+    ``items`` has item_id, profile_id, discovered_at, published (text, of any precision), title and ``keys``, all keys that
+    the item may bear. ``scans`` (profile_id, started_at), ``obs`` (profile_id, paper_key, title, outcome, filter_reason,
+    observed_at), ``delivered`` (profile_id, paper_key, sent_at) and ``runs`` (profile_id, started_at, window_from) are read
+    up to that time only. Without a scan, or published after the last one, an item is not_yet_evaluable. Delivered ones
+    are captured. The last observation decides, by key, else by an equal normalised title: not_delivered, ranked_out,
+    excluded, no_core_hit. Without one, what is older than the earliest window is before_monitoring, what has no exact day
+    not_yet_evaluable, the rest not_retrieved.
+    """
+    at = F.col("discovered_at")
+    i = items.select("item_id", "profile_id", "discovered_at", "published", "title", "keys")
+    scan = i.join(scans.select("profile_id", F.col("started_at").alias("_s")), "profile_id").where(F.col("_s") <= at).groupBy("item_id").agg(F.max("_s").alias("_scan"))
+    start = i.join(runs.select("profile_id", F.col("started_at").alias("_r"), "window_from"), "profile_id").where(F.col("_r") <= at).groupBy("item_id").agg(F.min("window_from").alias("_from"))
+    keyed = i.select("item_id", "profile_id", "discovered_at", F.explode(F.array_distinct("keys")).alias("paper_key"))
+    sent = keyed.join(delivered.select("profile_id", "paper_key", "sent_at"), ["profile_id", "paper_key"]).where(F.col("sent_at") <= at).select("item_id").distinct().withColumn("_sent", F.lit(True))
+    last = lambda d: d.where(F.col("observed_at") <= at).groupBy("item_id").agg(F.max_by(F.struct("outcome", "filter_reason"), F.struct("observed_at", "outcome", "filter_reason")).alias("o"))
+    by_key = last(keyed.join(obs.select("profile_id", "paper_key", "outcome", "filter_reason", "observed_at"), ["profile_id", "paper_key"])).withColumnRenamed("o", "_key")
+    named = i.select("item_id", "profile_id", "discovered_at", norm_title(F.col("title")).alias("_t")).where(F.col("_t").rlike("[a-z0-9]{5}"))
+    by_title = last(named.join(obs.select("profile_id", norm_title(F.col("title")).alias("_t"), "outcome", "filter_reason", "observed_at"), ["profile_id", "_t"])).withColumnRenamed("o", "_title")
+    j = items
+    for side in (scan, start, sent, by_key, by_title):
+        j = j.join(side, "item_id", "left")
+    pub, o = F.substring(F.coalesce("published", F.lit("")), 1, 10), F.coalesce("_key", "_title")
+    day, month = F.length(pub) == 10, F.length(pub) == 7
+    iso = lambda c, f: F.date_format(c, f)
     stage = (
-        F.when(F.col("_d"), "captured").when(F.col("o").isNull() & (F.col("published_at") < F.col("monitoring_from")), "before_monitoring").when(F.col("o").isNull(), "not_retrieved")
-        .when(F.col("o.filter_reason") == "excluded", "excluded").when(F.col("o.filter_reason") == "no_core_hit", "no_core_hit").when(F.col("o.outcome") == "content", "not_delivered").otherwise("ranked_out")
+        F.when(F.col("_scan").isNull() | (day & (pub > iso("_scan", "yyyy-MM-dd"))), "not_yet_evaluable").when(F.col("_sent"), "captured")
+        .when(o.isNull() & ((day & (pub < iso("_from", "yyyy-MM-dd"))) | (month & (pub < iso("_from", "yyyy-MM")))), "before_monitoring").when(o.isNull() & (F.col("_from").isNull() | ~day), "not_yet_evaluable").when(o.isNull(), "not_retrieved")
+        .when(o["outcome"].isin("content", "title_only") | ((o["outcome"] == "filtered") & (o["filter_reason"] == "already_shown")), "not_delivered")
+        .when((o["outcome"] == "reserve") | ((o["outcome"] == "dropped") & o["filter_reason"].isNull()), "ranked_out").when(o["filter_reason"] == "exclude_hit", "excluded").otherwise("no_core_hit")
     )
-    return j.withColumn("gap_stage", stage).drop("o", "_d", "monitoring_from")
+    return j.withColumn("gap_stage", stage).drop("_scan", "_from", "_sent", "_key", "_title")
+
+
+def profile_impact(before: DataFrame, after: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """Everything that moves between two score runs of the same documents, one row a fact: (part, name, value, n).
+
+    Runs have the key, source, precision (of the publication day), core_hits, exclude_hits, eligible, rank_pos, tier and
+    top_weight. Parts: ``count`` (eligible before and after, gained, entered, left), ``lost`` by reason, ``rank_move`` and
+    ``weight_move`` of documents, ``exclude_risk`` (newly hit documents that an exclusion takes; null where none is newly
+    hit), ``added_term`` (documents that a new core term hits, none hidden in the total), ``admitted_by`` (gained documents
+    by the term that let them in: the heaviest of their hits, first in order on ties) and ``source_precision`` (entered, left
+    and stayed of the first k by source and precision). ``value`` is null for plain counts.
+    """
+    cols = ["source", "precision", "core_hits", "exclude_hits", "eligible", "rank_pos", "tier", "top_weight"]
+    side = lambda d, n: d.select(key, *[F.col(c).alias(f"{c}_{n}") for c in cols])
+    j = side(before, "a").join(side(after, "b"), key, "full_outer").na.fill(False, ["eligible_a", "eligible_b"])
+    top = lambda n: F.coalesce(F.col(f"eligible_{n}") & (F.col(f"rank_pos_{n}") <= k), F.lit(False))
+    hit = lambda n: F.coalesce(F.size(f"core_hits_{n}") > 0, F.lit(False))
+    j = cut(j.withColumn("_in_a", top("a")).withColumn("_in_b", top("b")).withColumn("_new", hit("b") & ~hit("a")).withColumn("_gained", F.col("eligible_b") & ~F.col("eligible_a")))
+    no = F.lit(None).cast("double")
+    fact = lambda d, part, name, value, n: d.select(F.lit(part).alias("part"), name.cast("string").alias("name"), value.cast("double").alias("value"), n.cast("long").alias("n"))
+    named = {"eligible_before": F.col("eligible_a"), "eligible_after": F.col("eligible_b"), "gained": F.col("_gained"), "entered": F.col("_in_b") & ~F.col("_in_a"), "left": F.col("_in_a") & ~F.col("_in_b"), "newly_hit": F.col("_new")}
+    total = j.agg(*[F.count_if(c).alias(n) for n, c in named.items()], F.count_if(F.col("_new") & F.coalesce(F.size("exclude_hits_b") > 0, F.lit(False))).alias("_risky"))
+    stacked = total.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in named])).alias("x")).select("x.name", "x.n")
+    lost = j.where("eligible_a and not eligible_b").groupBy(F.when(F.coalesce(F.size("exclude_hits_b") > 0, F.lit(False)), "exclude_hit").otherwise("no_core_hit").alias("name")).agg(F.count("*").alias("n"))
+    moved = j.where("(_in_a or _in_b) and not rank_pos_a <=> rank_pos_b")
+    weighed = j.where("eligible_a and eligible_b and (top_weight_a <> top_weight_b or tier_a <> tier_b)")
+    terms = lambda d, n: d.select(key, F.explode(F.array_distinct(f"core_hits_{n}")).alias("name"))
+    known = terms(j, "a").select("name").distinct()
+    added = terms(j, "b").join(known, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
+    admitted = j.where("_gained").groupBy(F.col("core_hits_b")[0].alias("name")).agg(F.count("*").alias("n"))
+    cell = F.concat_ws("|", F.coalesce("source_b", "source_a"), F.coalesce("precision_b", "precision_a"), F.when(F.col("_in_a") & F.col("_in_b"), "stayed").when(F.col("_in_b"), "entered").otherwise("left"))
+    cross = j.where("_in_a or _in_b").groupBy(cell.alias("name")).agg(F.count("*").alias("n"))
+    parts = [
+        fact(stacked, "count", F.col("name"), no, F.col("n")), fact(lost, "lost", F.col("name"), no, F.col("n")), fact(moved, "rank_move", F.col(key), F.col("rank_pos_b") - F.col("rank_pos_a"), F.col("rank_pos_b")),
+        fact(weighed, "weight_move", F.col(key), F.col("top_weight_b") - F.col("top_weight_a"), F.col("tier_b")), fact(total, "exclude_risk", F.lit("rate"), F.try_divide(F.col("_risky"), F.col("newly_hit")), F.col("_risky")),
+        fact(added, "added_term", F.col("name"), no, F.col("n")), fact(admitted, "admitted_by", F.col("name"), no, F.col("n")), fact(cross, "source_precision", F.col("name"), no, F.col("n")),
+    ]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def bind_experiment(analysis: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -425,7 +425,25 @@ def number_totals(spark, sf_dir):
     return d.rollup("source").agg(F.count("*").alias("docs"), F.sum("n").alias("n_numbers"))
 
 
-@query()
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Sentences by recursion over their ends, long ones over their cuts, chunks over their first sentences: nothing word by word.
+_CHUNKS = rf"""WITH RECURSIVE c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{_WHITE}', ' ', 'g'), ' ') AS t FROM documents),
+w AS (SELECT doc_id, t, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS j FROM c WHERE t <> ''),
+e AS (SELECT doc_id, any_value(t) AS t, coalesce(list(upto ORDER BY upto) FILTER (regexp_matches(w, '[.!?]$') AND length(stem) <> 1 AND NOT list_contains([{", ".join(_q(a) for a in sorted(text.ABBREVIATIONS))}], stem)), []) AS ends
+  FROM (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY j) - 1 AS upto, lower(regexp_extract(regexp_replace(w, '[.!?]+$', ''), '[A-Za-z]*$')) AS stem FROM w) GROUP BY doc_id),
+s AS (SELECT doc_id, t, ends, 1::BIGINT AS a, coalesce(list_filter(ends, lambda x: x >= {text.MIN_SENTENCE})[1], length(t))::BIGINT AS z FROM e
+  UNION ALL SELECT doc_id, t, rest, z + 2, coalesce(list_filter(rest, lambda x: x - z - 1 >= {text.MIN_SENTENCE})[1], length(t))::BIGINT FROM (SELECT doc_id, t, z, list_filter(ends, lambda x: x > z) AS rest FROM s WHERE z < length(t))),
+f AS (SELECT doc_id, a, 0 AS k, NULL::VARCHAR AS part, substr(t, a, z - a + 1) AS rest FROM s
+  UNION ALL SELECT doc_id, a, k + 1, CASE WHEN length(rest) <= {text.MAX_SENTENCE} THEN rest ELSE cut END, CASE WHEN length(rest) <= {text.MAX_SENTENCE} THEN '' ELSE trim(substr(rest, length(cut) + 1), ' ') END
+    FROM (SELECT *, coalesce(nullif(regexp_extract(substr(rest, 1, {text.MAX_SENTENCE}), '^(.*) [^ ]*$', 1), ''), substr(rest, 1, {text.MAX_SENTENCE})) AS cut FROM f WHERE rest <> '')),
+n AS (SELECT doc_id, length(part) + length(printf('[S%04d] ', sid)) + 1 AS size, sid FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, k) AS sid FROM f WHERE part IS NOT NULL)),
+p AS (SELECT doc_id, list(upto ORDER BY sid) AS upto FROM (SELECT doc_id, sid, sum(size) OVER (PARTITION BY doc_id ORDER BY sid)::BIGINT AS upto FROM n) GROUP BY doc_id),
+g AS (SELECT doc_id, upto, 0 AS chunk, 0::BIGINT AS seen, greatest(len(list_filter(upto, lambda x: x <= 3000)), 1)::BIGINT AS last FROM p
+  UNION ALL SELECT doc_id, upto, chunk + 1, last, greatest(len(list_filter(upto, lambda x: x <= upto[last] + 3000)), last + 1)::BIGINT FROM g WHERE last < len(upto))
+SELECT doc_id, chunk, (last - seen)::INT AS n_sentences, (upto[last] - coalesce(upto[seen], 0) - 1)::INT AS chars FROM g"""
+
+
+@query(_CHUNKS)
 def sentence_chunks(spark, sf_dir):
     s = text.sentences(table(spark, sf_dir, "documents"))
     return text.chunks(s, 3000).select("doc_id", "chunk", "n_sentences", F.length("text").alias("chars"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.keys import cell_number, clean_id, collapse
 from driftwell.functions.numbers import END_MATH, MATH, math_text
+from driftwell.operators.graph import cut, running_sums
 from driftwell.operators.tables import bands
 
 
@@ -30,18 +31,37 @@ def json_results(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def run_blocks(lines: DataFrame, group: str, order: str, start: Column, end: Column, line: str = "value") -> DataFrame:
-    """Blocks of a log: each start line opens one. Count of lines, warnings, calls, exit and times per block.
+def islands(lines: DataFrame, group: str, order: list[str], start: Column) -> DataFrame:
+    """Adds ``block``, the number of start lines of the line's group up to it (0 before the first).
 
-    Lines need a group (file or host) and an order within it; blocks come from a running count of starts.
+    Starts are counted over ranges of the order of all lines (``running_sums``), so one very long log is many tasks.
     """
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    b = lines.withColumn("block", F.count_if(start).over(w)).where("block > 0")
-    return b.groupBy(group, "block").agg(
-        F.min(order).alias("started"), F.max(F.when(end, F.col(order))).alias("ended"), F.count("*").alias("n_lines"),
-        F.count_if(F.col(line).rlike("(?i)warn")).alias("warnings"), F.sum(F.regexp_extract(line, r"calls=(\d+)", 1).try_cast("int")).alias("calls"),
-        F.max(F.regexp_extract(line, r"exit[ =](\d+)", 1).try_cast("int")).alias("exit_code"),
+    by = [F.col(group).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
+    counted = running_sums(lines.withColumn("_start", F.coalesce(start, F.lit(False)).cast("int")), by, {"_before": F.col("_start")})
+    counted = cut(counted.withColumn("_count", F.col("_before") + F.col("_start")))
+    base = counted.groupBy(F.col(group).alias("_g")).agg(F.min("_before").alias("_base"))  # a row a log
+    return counted.join(base, F.col(group).eqNullSafe(F.col("_g"))).withColumn("block", (F.col("_count") - F.col("_base")).cast("int")).drop("_g", "_base", "_before", "_count", "_start")
+
+
+def run_blocks(lines: DataFrame, group: str, order: list[str], start: Column, end: Column, line: str = "value", warning: str = "(?i)warn", skipped: Column | None = None) -> DataFrame:
+    """Runs of a log: a start line opens one, the next end line closes it, lines outside belong to none.
+
+    Per run: first and last line's ``order`` values (``ended`` null while it is open), lines, warnings, calls and exit code.
+    ``skipped`` lines tell of runs that never began; they neither open nor close one and come as runs of their own, with
+    block null.
+    """
+    skip = F.lit(False) if skipped is None else F.coalesce(skipped, F.lit(False))
+    at = F.struct(*[F.col(c) for c in order])
+    marked = lines.withColumn("_skip", skip).withColumn("_end", F.coalesce(end, F.lit(False)) & ~F.col("_skip"))
+    b = cut(islands(marked, group, order, F.coalesce(start, F.lit(False)) & ~F.col("_skip")).withColumn("_at", at))
+    closed = b.where("_end and block > 0").groupBy(F.col(group).alias("_g"), F.col("block").alias("_b")).agg(F.min("_at").alias("ended"))
+    inside = b.where("block > 0 and not _skip").join(closed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_b")), "left").where(F.col("ended").isNull() | (F.col("_at") <= F.col("ended")))
+    runs = inside.groupBy(group, "block").agg(
+        F.min("_at").alias("started"), F.max("ended").alias("ended"), F.count("*").alias("n_lines"), F.count_if(F.col(line).rlike(warning)).alias("warnings"),
+        F.max_by(F.regexp_extract(line, r"calls=(\d+)", 1).try_cast("int"), F.when(F.col(line).rlike(r"calls=\d"), F.col("_at"))).alias("calls"), F.max(F.when(F.col("_end"), F.regexp_extract(line, r"exit[ =](-?\d+)", 1).try_cast("int"))).alias("exit_code"),
     )
+    missed = b.where("_skip").select(group, F.lit(None).cast("int").alias("block"), F.col("_at").alias("started"), F.col("_at").alias("ended"), F.lit(1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("warnings"), F.lit(None).cast("int").alias("calls"), F.lit(None).cast("int").alias("exit_code"))
+    return runs.unionByName(missed)
 
 
 def markdown_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
