@@ -209,3 +209,23 @@ def replay(obs: DataFrame, scans: DataFrame, cutoff: Column, score: Callable[[Da
     ranked = score(papers, scan).where(F.col("rank_pos") <= k)
     snapshot = scan.select("policy").scalar()
     return ranked.select("paper_key", "rank_pos", snapshot.alias("snapshot_policy"), F.lit(policy).alias("scored_with"), (snapshot == policy).alias("policy_match")).where("snapshot_policy is not null")
+
+
+def evidence_summary(items: DataFrame, since: Column, until: Column, by: str = "profile_id", top: int = 5) -> DataFrame:
+    """What a period's external items say, a row a profile: items, missed ones, the capture funnel and the axes most often met.
+
+    ``items`` are those that ``newest_of_aliases`` leaves, with discovered_at, ``gap_stage`` and ``axes``. An item counts as
+    evaluable unless its stage is not_yet_evaluable or before_monitoring, as retrieved unless it is not_retrieved either,
+    as hit unless excluded or without a core hit, and as delivered if captured; a missed one is evaluable and not captured.
+    ``top_axes`` has the ``top`` axes by their number of items, ties by name.
+    """
+    i = items.where((F.col("discovered_at") >= since) & (F.col("discovered_at") < until))
+    stage = F.col("gap_stage")
+    evaluable = ~stage.isin("not_yet_evaluable", "before_monitoring")
+    retrieved = evaluable & (stage != "not_retrieved")
+    hit = retrieved & ~stage.isin("excluded", "no_core_hit")
+    n = i.groupBy(by).agg(F.count("*").alias("items"), F.count_if(evaluable).alias("evaluable"), F.count_if(retrieved).alias("retrieved"), F.count_if(hit).alias("core_hit"), F.count_if(stage == "captured").alias("delivered"), F.count_if(evaluable & (stage != "captured")).alias("missed"))
+    a = i.select(by, F.explode(F.array_distinct("axes")).alias("axis")).groupBy(by, "axis").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(by).orderBy(F.desc("n"), "axis")
+    a = a.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "axis"))), lambda x: x["axis"]).alias("top_axes"))
+    return n.join(a, by, "left")

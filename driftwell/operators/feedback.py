@@ -74,4 +74,4 @@ def keyword_table(hits: DataFrame, reactions: DataFrame, history: DataFrame, sin
 def reaction_log(reactions: DataFrame, items: DataFrame, titles: DataFrame) -> DataFrame:
     """Reactions with the title of the issue's item, else the delivered title, else the key."""
     j = reactions.join(items.select("issue_id", "paper_key", F.col("title").alias("_a")), ["issue_id", "paper_key"], "left").join(titles.select("paper_key", F.col("title").alias("_b")), "paper_key", "left")
-    return j.withColumn("title", F.coalesce("_a", "_b", "paper_key")).drop("_a", "_b")
+    return j.withColumn("title", F.coalesce("_a", "_b", F.col("paper_key").cast("string"))).drop("_a", "_b")

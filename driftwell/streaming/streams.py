@@ -77,6 +77,11 @@ def upsert_sink(path: str, keys: list[str], at: str, **policy):
     return write
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _versions(spark: SparkSession, path: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -97,11 +102,8 @@ def once_a_day_sink(path: str, keys: list[str]):
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(keys)
-        try:
+        if _exists(spark, f"{path}/_SUCCESS"):
             new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new.write.mode("append").parquet(path)
 
     return write
