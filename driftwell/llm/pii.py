@@ -5,7 +5,9 @@ its score. Patterns are possessive and anchored at the start of a run of their c
 matches without backtracking through long runs.
 
 A span's place comes from splitting the text at the pattern: the lengths of the pieces and of the matches, summed up,
-are its code point offsets. Spans are (kind, start, end, score, text), end exclusive.
+are its code point offsets. Sums are run over pieces of the array, and words near a span are taken from the block of text
+that it lies in, so the work grows with a text and not with its square. Spans are (kind, start, end, score, text), end
+exclusive.
 
 Defined cases: null text is empty and has no spans; texts of any length are scanned whole; repeated rows are scanned
 each; an empty table gives no rows; other columns pass through. Spans of different kinds may overlap and all stay.
@@ -63,45 +65,80 @@ def mod97(match: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), step) == 1
 
 
-def _valid(kind: str, m: Column) -> Column:
+def _valid(kind: Column, m: Column) -> Column:
+    """True if the match passes the check of its kind."""
     n = F.length(_digits(m))
-    if kind == "ip":
-        return m.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$")
-    if kind == "card":
-        return F.when(n.between(14, 19), luhn(m)).otherwise(False)
-    if kind == "phone":
-        return n.between(10, 15)
-    if kind == "iban":
-        return mod97(m)
-    if kind == "ssn":
-        return m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
-    if kind == "secret":
-        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-    return F.lit(True)
-
-
-def _proposed(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (start, end, text) for the matches of the pattern that their checks confirm."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
-    # only numbers are carried along: the ends of the matches, as one running sum
-    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
-    spans = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
-    return F.filter(spans, lambda x: _valid(kind, x["text"]))
-
-
-def _scorer(order: int, kind: str, text: Column):
-    """A function that gives a proposed span its kind and its score from the words around it."""
-    word = lambda names: rf"(?:^|[^a-z0-9])(?:{names})(?:[^a-z0-9]|$)"
-
-    def scored(x):
-        lo = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.concat(F.substr(text, lo + 1, x["start"] - lo), F.lit(" "), F.substr(text, x["end"] + 1, F.lit(CONTEXT_CHARS))))
-        score = F.lit(START_SCORE[kind]) + F.when(near.rlike(word(CONTEXT[kind])), 0.2).otherwise(0.0) - F.when(near.rlike(word(AGAINST)), 0.2).otherwise(0.0)
-        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
-        return F.struct(x["start"].alias("start"), F.lit(order).alias("kind_order"), F.lit(kind).alias("kind"), x["end"].alias("end"), score.alias("score"), x["text"].alias("text"))
-
-    return scored
+    return (
+        F.when(kind == "ip", m.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$")).when(kind == "card", F.when(n.between(14, 19), luhn(m)).otherwise(False)).when(kind == "phone", n.between(10, 15))
+        .when(kind == "iban", mod97(m)).when(kind == "ssn", m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")).when(kind == "secret", m.rlike("[0-9]") & m.rlike("[A-Za-z]")).otherwise(True)
+    )
+
+
+#: Elements of a running total that are added up at a time, and characters of a block of text.
+RUN, BLOCK = 512, 1000
+
+
+def _running(values: Column, combine, zero: int) -> Column:
+    """Running totals of an array of integers, each element included, in time that grows with its length.
+
+    The array is cut into runs; a run's own totals begin with the total of the runs before it, so no array is built
+    element by element that is longer than a run or than the number of runs.
+    """
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    part = lambda at: F.slice(values, at, F.lit(RUN))
+    grow = lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x)))
+    before = F.aggregate(F.transform(starts, lambda at: F.aggregate(part(at), F.lit(zero), combine)), F.array(F.lit(zero)), grow)
+    runs = F.zip_with(starts, F.slice(before, F.lit(1), F.size(starts)), lambda at, b: F.aggregate(part(at), F.array(b), grow))
+    return F.flatten(F.transform(runs, lambda r: F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0)))))
+
+
+def _blocks(text: Column) -> Column:
+    """A text as blocks of BLOCK characters, of which any part can be had without going through the whole."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _part(blocks: Column, lo: Column, hi: Column) -> Column:
+    """The characters from ``lo`` to before ``hi``; both at least 0, ``hi`` may lie behind the end."""
+    first = F.floor(lo / BLOCK).cast("int")
+    few = F.array_join(F.slice(blocks, first + 1, F.greatest(F.floor((hi - 1) / BLOCK).cast("int") - first + 1, F.lit(0))), "")
+    return F.when(hi > lo, F.substr(few, lo - first * BLOCK + 1, hi - lo)).otherwise("")
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` refers to it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _found(text: Column, order: int, kind: str, keep_score: float) -> Column:
+    """What a kind proposes in a text: its texts, and the lengths of the pieces between them."""
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda p: F.length(p))
+    hit = GATES[kind](text)
+    return F.struct(
+        F.lit(order).alias("kind_order"), F.lit(kind).alias("kind"), F.lit(START_SCORE[kind]).alias("score"), F.lit(_word(CONTEXT[kind])).alias("near"), F.lit(0.0 if kind in BASE else keep_score).alias("least"),
+        F.when(hit, found).otherwise(F.array().cast("array<string>")).alias("m"), F.when(hit, gaps).otherwise(F.array().cast("array<int>")).alias("gaps"),
+    )
+
+
+def _confirmed(f: Column) -> Column:
+    """Array of (start, end, text, and the kind's own values) for the matches that their checks confirm."""
+    steps = F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["m"])), f["m"], lambda g, m: g + F.length(m))
+    ends = _let(steps, lambda v: _running(v, lambda a, x: a + x, 0))
+    kept = [f[c].alias(c) for c in ("kind_order", "kind", "score", "near", "least")]
+    spans = F.zip_with(ends, f["m"], lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text"), *kept))
+    return F.filter(spans, lambda x: _valid(x["kind"], x["text"]))
+
+
+def _word(names: str) -> str:
+    return rf"(?:^|[^a-z0-9])(?:{names})(?:[^a-z0-9]|$)"
+
+
+def _scored(blocks: Column, x: Column) -> Column:
+    """A confirmed span with its score, moved by the words around it."""
+    near = F.lower(F.concat(_part(blocks, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)), x["start"]), F.lit(" "), _part(blocks, x["end"], x["end"] + CONTEXT_CHARS)))
+    moved = _let(near, lambda t: x["score"] + F.when(F.regexp_like(t, x["near"]), 0.2).otherwise(0.0) - F.when(t.rlike(_word(AGAINST)), 0.2).otherwise(0.0))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), moved))
+    return F.struct(x["start"].alias("start"), x["kind_order"].alias("kind_order"), x["kind"].alias("kind"), x["end"].alias("end"), score.alias("score"), x["text"].alias("text"), x["least"].alias("least"))
 
 
 #: A cheap test that every text with a match passes; texts that fail it skip the scan for places.
@@ -119,18 +156,17 @@ def find_spans(docs: DataFrame, kinds: tuple = BASE + ADDED, text_col: str = "te
     word that speaks against it. Base kinds stay whatever their score; added kinds need ``keep_score``. A column that has
     this name already is replaced; all others pass through.
     """
-    spans = "array<struct<start:int,kind_order:int,kind:string,end:int,score:double,text:string>>"
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    shape = "array<struct<start:int,kind_order:int,kind:string,end:int,score:double,text:string>>"
     work = unused(docs, "work")
-    text = F.col(work)["text"]
-    raw = docs.withColumn(work, F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    proposed = [F.when(GATES[k](text), _proposed(text, k, PATTERNS[k])).otherwise(none).alias(k) for k in kinds]
-    raw = raw.withColumn(work, F.struct(text.alias("text"), *proposed))
-    parts = []
-    for i, k in enumerate(kinds):
-        part = F.transform(F.col(work)[k], _scorer(i, k, text))
-        parts.append((part if k in BASE else F.filter(part, lambda x: x["score"] >= keep_score)).cast(spans))
-    return raw.withColumn(name, F.array_sort(F.concat(*parts))).drop(work)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # each step is a column that the next one refers to, so that nothing is worked out once an element
+    raw = docs.withColumn(work, F.array(*[_found(text, i, k, keep_score) for i, k in enumerate(kinds)]))
+    raw = raw.withColumn(work, F.flatten(F.transform(work, _confirmed)))
+    raw = raw.withColumn(work, F.struct(F.col(work).alias("spans"), F.when(F.size(work) > 0, _blocks(text)).alias("blocks")))
+    w = F.col(work)
+    scored = F.filter(F.transform(w["spans"], lambda x: _scored(w["blocks"], x)), lambda x: x["score"] >= x["least"])
+    plain = F.transform(scored, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind_order", "kind", "end", "score", "text")]))
+    return raw.withColumn(name, F.array_sort(plain).cast(shape)).drop(work)
 
 
 def _joined(spans: Column) -> Column:
@@ -147,18 +183,18 @@ def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every found span replaced by [KIND]; overlapping spans go as one, named by the first that starts."""
-    name = unused(docs, "spans")
+    name, work = unused(docs, "spans"), unused(docs, "cuts")
     found = find_spans(docs, text_col=text_col, name=name)
     t = F.col(text_col)
-    shape = "struct<at:int,out:string>"
-
-    def step(acc, x):
-        put = F.concat(acc["out"], F.substr(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        longer = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")).cast(shape)
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), put.alias("out")).cast(shape)).otherwise(longer)
-
-    done = F.aggregate(name, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(shape), step)
-    clean = F.when(F.size(name) == 0, t).otherwise(F.concat(done["out"], F.substr(t, done["at"] + 1)))
+    found = found.withColumn(work, F.transform(name, lambda x: x["end"]))
+    found = found.withColumn(work, F.struct(_running(F.col(work), lambda a, x: F.greatest(a, x), 0).alias("reach"), F.when(F.size(name) > 0, _blocks(t)).alias("blocks")))
+    # a span that begins behind all before it is named; the text between its start and their reach stays
+    reach = F.col(work)["reach"]
+    heads = F.filter(F.transform(name, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get(reach, i - 1)).alias("at"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda h: h["start"] >= h["at"])
+    found = found.withColumn(work, F.struct(heads.alias("heads"), F.element_at(F.concat(F.array(F.lit(0)), reach), -1).alias("last"), F.col(work)["blocks"].alias("blocks")))
+    w = F.col(work)
+    said = F.transform(w["heads"], lambda h: F.concat(_part(w["blocks"], h["at"], h["start"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
+    clean = F.when(F.size(name) == 0, t).otherwise(F.concat(F.array_join(said, ""), _part(w["blocks"], w["last"], F.length(t))))
     return found.withColumn(text_col, clean).select(*docs.columns)
 
 
