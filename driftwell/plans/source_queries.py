@@ -68,9 +68,9 @@ def markdown_sections(spark, sf_dir):
     return s.select("doc_id", "section", F.array_join("lines", "|").alias("lines"))
 
 
-@query("""SELECT l_orderkey AS doc_id, l_linenumber AS claim_id, l_linenumber + 1 < 2 + n AND ((l_linenumber + 2) IN (SELECT unnest([1])) OR true) AND abs(l_linenumber + (l_suppkey % 3) - l_linenumber) <= 1 AND l_linenumber + (l_suppkey % 3) BETWEEN 1 AND n + 1 AS grounded FROM lineitem JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS n FROM lineitem GROUP BY 1) ON k = l_orderkey""")
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS claim_id, l_suppkey % 3 <= 1 AND (l_orderkey, l_linenumber + l_suppkey % 3) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem) AS grounded FROM lineitem""")
 def cited_numbers(spark, sf_dir):
-    """Each order is a text of one sentence a line with that line's own number; claims cite a sentence up to two further on."""
+    """Each order is a text of one sentence a line with that line's own number; claims cite a sentence up to two further on, which may not exist."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("claim_id"), "l_suppkey")
     sents = l.select("doc_id", F.col("claim_id").cast("int").alias("sid"), _say("Line gave ", (F.col("claim_id") + 1000).cast("string"), " units.").alias("sentence"))
     claims = l.select("doc_id", "claim_id", (F.col("claim_id") + F.col("l_suppkey") % 3).cast("int").alias("sid"), (F.col("claim_id") + 1000).cast("string").alias("number"))
