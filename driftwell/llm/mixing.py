@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.llm.places import small
 from driftwell.llm.tokens import unused
 from driftwell.operators.graph import cut, running_sums
 
@@ -74,6 +75,7 @@ def _planned(docs: DataFrame, name: str, seed: str, id_col: str, targets: dict)
     t = t.select(F.col("source").alias(side), F.struct("source_size", "target").alias(f"{name}_of"))
     of, size = F.col(f"{name}_of"), F.col(name)["size"]
     rate = F.when(of["source_size"] > 0, of["target"] / of["source_size"]).otherwise(0.0)
+    t = small(t, t.count())  # one row a source
     joined = sized.join(t, F.col("source").eqNullSafe(F.col(side)), "left")
     plan = F.struct(size.alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), copies(rate, F.col(name)["key"], seed).alias("copies"))
     return joined.withColumn(name, plan).select(*docs.columns, name)

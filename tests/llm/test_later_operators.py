@@ -218,3 +218,34 @@ def test_written_shards_prune(spark, tmp_path):
     files = back.groupBy(F.input_file_name().alias("f")).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("source", "lang", "doc_id") for f in (F.min, F.max)]).collect()
     met = lambda c, v: sum(r[f"min_{c}"] <= v <= r[f"max_{c}"] for r in files) / len(files)
     assert len(files) >= 32 and met("source", "s3") < 0.5 and met("lang", "fr") < 0.6 and met("doc_id", 2000) < 0.5
+
+
+# earlier operators, at scale
+
+
+def test_mixing_moves_no_text(spark):
+    from driftwell.llm import mixing
+
+    d = table(spark, [(k, f"word {k}", "en", f"s{k % 3}", 1) for k in range(60)])
+    plan = mixing.mix_documents(d)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("text#")] if "text#" in plan else plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(source" not in above
+
+
+def test_many_spans_take_linear_time(spark):
+    import time
+
+    from driftwell.llm import pii
+
+    took = []
+    for n in (10_000, 40_000):
+        d = spark.createDataFrame([(1, "mail 1.2.3.4 Öx " * n)], "doc_id long, text string")
+        pii.digest(d.limit(0)).count()
+        began = time.time()
+        r = pii.digest(d).first()
+        took.append(time.time() - began)
+        assert r.n_ip == n and r.spans.endswith(f"ip:{16 * (n - 1) + 5}:{16 * (n - 1) + 12}")
+    assert took[1] < 4 * took[0] + 10
+    mixed = "call +1 (555) 010-2030 at 10.0.0.1, " * 700 + "x" * 2500
+    out = pii.redact(spark.createDataFrame([(1, mixed)], "doc_id long, text string")).first().text
+    assert out == "call [PHONE] at [IP], " * 700 + "x" * 2500
