@@ -1,4 +1,7 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input.
+
+All stages read whole texts, give an empty table for an empty one, and pass on columns of any name that they do not change.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +15,44 @@ from driftwell.operators.graph import checkpoint_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go.
+
+    A null or empty text has no toxic words and stays; rows that repeat go or stay alike; nulls in other columns don't count.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest doc_id.
+
+    Texts without words and rows without an id link with nothing and stay; of rows that repeat a doc_id one stays.
+    """
     return jaccard_join.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    A null or empty text holds none and stays; rows that repeat go or stay alike.
+    """
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by the name of its kind."""
+    """Personal data in the texts is replaced by the name of its kind, and ``n_chars`` counts the new text.
+
+    A null text stays null, and so does its count; every row stays.
+    """
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for, with the number of the copy."""
+    """Each document as often as its source's target asks for, with the number of the copy.
+
+    A null source is a source of its own; texts without words take no part in sizes and are copied as their source is;
+    rows that repeat count each, and a row without an id is decided by its text. ``_copy`` gets more underscores where a
+    column has that name already.
+    """
     return mixing.mix_documents(docs)
 
 
