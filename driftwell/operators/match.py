@@ -72,8 +72,8 @@ def match_keywords(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
     heads = heads.withColumn("_word", F.explode(F.array_distinct(_forms(F.col("head")))))
     words = F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"))
     rows = docs.select(id_col, text_col)
-    if heads.select("_word").distinct().limit(MAX_HEADS + 1).count() <= MAX_HEADS:
-        every = heads.agg(F.collect_set("_word")).scalar()  # at most MAX_HEADS words
+    if heads.limit(MAX_HEADS + 1).count() <= MAX_HEADS:  # of rows, which are what is broadcast
+        every = heads.agg(F.collect_set("_word")).scalar()
         met = rows.select(id_col, text_col, F.explode(F.array_intersect(words, every)).alias("_word"))
         met = met.join(F.broadcast(heads), "_word")
     else:

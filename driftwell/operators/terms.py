@@ -129,11 +129,21 @@ def drop_subsumed(terms: DataFrame, col: str = "term") -> DataFrame:
     return terms.withColumn("_n", norm_term(F.col(col))).join(inner, "_n", "left_anti").drop("_n")
 
 
+def _word_runs(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    """(keep, _run): every run of words of a normalised term, itself included."""
+    w = F.filter(F.split(norm_term(F.col(col)), " "), lambda x: x != "")
+    d = df.select(*keep, w.alias("_w")).where("size(_w) > 0").select("*", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_n"))
+    d = d.select("*", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1)).alias("_i"))
+    return d.select(*keep, F.array_join(F.slice("_w", F.col("_i"), F.col("_n")), " ").alias("_run")).distinct()
+
+
 def drop_known(terms: DataFrame, known: DataFrame, col: str = "term") -> DataFrame:
-    """Terms that neither contain a known term nor lie in one; ``known`` is a profile's short list."""
-    pad = lambda c: F.concat(F.lit(" "), norm_term(c), F.lit(" "))
-    k = known.select(pad(F.col("keyword")).alias("_k"))
-    return terms.join(F.broadcast(k), pad(F.col(col)).contains(F.col("_k")) | F.col("_k").contains(pad(F.col(col))), "left_anti")
+    """Terms that neither contain a known term nor lie in one, as runs of words; both meet by equality of a run."""
+    norm = F.trim(F.regexp_replace(norm_term(F.col(col)), " +", " "))
+    whole = known.select(F.trim(F.regexp_replace(norm_term(F.col("keyword")), " +", " ")).alias("_run")).where("_run <> ''").distinct()
+    holds = _word_runs(terms, col, col).join(whole, "_run").select(F.col(col).alias("_t"))
+    lies = terms.select(F.col(col).alias("_t"), norm.alias("_run")).join(_word_runs(known, "keyword"), "_run").select("_t")
+    return terms.join(holds.unionByName(lies).distinct(), F.col(col) == F.col("_t"), "left_anti")
 
 
 def emerging_terms(docs: DataFrame, current: Column, previous: Column, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 3, top: int = 12) -> DataFrame:

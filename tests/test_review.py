@@ -83,3 +83,11 @@ def test_each_phrase_that_addresses_a_model(spark):
     more = ["act as a helpful assistant", "You are an expert model", "you are a nice person"]
     rows = spark.createDataFrame([(t,) for t in [*said.values(), *more]], "t string").select(text.suspicious(F.col("t")).flags.alias("f")).collect()
     assert [r.f for r in rows] == [[k] for k in said] + [["role_reassignment"], ["role_reassignment"], []]
+
+
+def test_known_terms_meet_by_runs_of_words(spark):
+    from driftwell.operators import terms
+
+    t = spark.createDataFrame([(x,) for x in ("robot policy learning", "policy", "robots", "policies of robots", "battery pack", "pack", "policy learner")], "term string")
+    known = spark.createDataFrame([("robot policy",), ("Battery Packs",), ("",)], "keyword string")
+    assert sorted(r.term for r in terms.drop_known(t, known).collect()) == ["policies of robots", "policy learner"]
