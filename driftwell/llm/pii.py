@@ -113,19 +113,20 @@ def _found(text: Column, order: int, kind: str, keep_score: float) -> Column:
     """What a kind proposes in a text: its texts, and the lengths of the pieces between them."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda p: F.length(p))
-    hit = GATES[kind](text)
+    none = F.struct(F.array().cast("array<string>").alias("m"), F.array().cast("array<int>").alias("gaps"))
     return F.struct(
         F.lit(order).alias("kind_order"), F.lit(kind).alias("kind"), F.lit(START_SCORE[kind]).alias("score"), F.lit(_word(CONTEXT[kind])).alias("near"), F.lit(0.0 if kind in BASE else keep_score).alias("least"),
-        F.when(hit, found).otherwise(F.array().cast("array<string>")).alias("m"), F.when(hit, gaps).otherwise(F.array().cast("array<int>")).alias("gaps"),
+        F.when(GATES[kind](text), F.struct(found.alias("m"), gaps.alias("gaps"))).otherwise(none).alias("f"),
     )
 
 
 def _confirmed(f: Column) -> Column:
     """Array of (start, end, text, and the kind's own values) for the matches that their checks confirm."""
-    steps = F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["m"])), f["m"], lambda g, m: g + F.length(m))
+    m = f["f"]["m"]
+    steps = F.zip_with(F.slice(f["f"]["gaps"], F.lit(1), F.size(m)), m, lambda g, x: g + F.length(x))
     ends = _let(steps, lambda v: _running(v, lambda a, x: a + x, 0))
     kept = [f[c].alias(c) for c in ("kind_order", "kind", "score", "near", "least")]
-    spans = F.zip_with(ends, f["m"], lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text"), *kept))
+    spans = F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("text"), *kept))
     return F.filter(spans, lambda x: _valid(x["kind"], x["text"]))
 
 
