@@ -208,9 +208,9 @@ def code_ladder(spark, sf_dir):
 @query("""WITH r AS (SELECT l_orderkey AS k, 'M' || l_suppkey AS model, l_linenumber AS row_no, CASE WHEN s_acctbal > 2000 THEN round(s_acctbal)::BIGINT END AS c FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
 SELECT k, arg_max(model, (c, -row_no)) FILTER (c IS NOT NULL) AS model, count(c) AS checked FROM r GROUP BY k""")
 def most_cited(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("M"), F.col("l_suppkey").cast("string")).alias("model"), F.col("l_linenumber").alias("row_no"))
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("M"), F.col("l_suppkey").cast("string")).alias("model"), F.col("l_linenumber").alias("row_no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("model"), F.when(F.col("s_acctbal") > 2000, F.round("s_acctbal").cast("long")).alias("citations"))
-    return cells.most_cited(r, s, ["k"])
+    return cells.most_cited(r, s, ["k"], ("row_no", "file", "at"))  # a line number may stand twice in an order: then the row that lies first
 
 
 @query("""WITH n AS (SELECT c_nationkey AS reader, c_custkey AS paper_key, c_custkey % 3 AS retraction, c_mktsegment AS repro FROM customer), s AS (SELECT c_nationkey AS reader, c_custkey AS paper_key, c_custkey % 2 AS retraction, CASE WHEN c_custkey % 7 = 0 THEN 'old' ELSE c_mktsegment END AS repro FROM customer WHERE c_custkey % 4 > 0),
