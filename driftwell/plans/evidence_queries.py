@@ -34,7 +34,7 @@ def accept_items(spark, sf_dir):
 WHERE n_chars % 3 = n_chars % 2 AND lang <> 'de' AND (doc_id % 10) / 10.0 >= 0.8 AND array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ') <> ''""")
 def result_excerpts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    s = d.select(F.col("doc_id").alias("paper_key"), (F.col("n_chars") % 3).alias("numbers_total"), (F.col("n_chars") % 2).alias("numbers_matched"), F.when(F.col("lang") == "de", "planned").otherwise("measured").alias("coverage_kind"), ((F.col("doc_id") % 10) / 10).alias("coverage_ratio"), F.split("text", "\n").alias("results"))
+    s = d.select(F.col("doc_id").alias("paper_key"), (F.col("n_chars") % 3).alias("numbers_total"), (F.col("n_chars") % 2).alias("numbers_matched"), F.when(F.col("lang") == "de", "planned").when(F.col("lang").isNotNull(), "measured").alias("coverage_kind"), ((F.col("doc_id") % 10) / 10).alias("coverage_ratio"), F.split("text", "\n").alias("results"))
     return evidence.result_excerpts(s)
 
 
