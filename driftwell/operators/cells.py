@@ -65,19 +65,20 @@ def on_one_scale(a: Column, b: Column, metric: Column) -> Column:
 def verify_cell(claims: DataFrame, cells: DataFrame, id_col: str, tolerance: float = 0.0051) -> DataFrame:
     """Claims (doc, model, value) against table rows: verified, value_differs, ambiguous_row or row_missing."""
     key = lambda c: F.regexp_replace(norm_title(c), " ", "")
-    rows = cells.where("col = 0").select(id_col, "table_id", "row", key(F.col("text")).alias("row_key"))
-    rows = rows.join(cells.where("value is not null").groupBy(id_col, "table_id", "row").agg(F.collect_set("value").alias("row_values")), [id_col, "table_id", "row"])
+    rows = cells.groupBy(id_col, "table_id", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("name"), F.collect_set("value").alias("row_values"))
+    rows = rows.where("name is not null and size(row_values) > 0").select(id_col, key(F.col("name")).alias("row_key"), "row_values")
     uniq = rows.groupBy(id_col, "row_key").agg(F.count("*").alias("n_rows"), F.flatten(F.collect_list("row_values")).alias("found"))
     j = claims.withColumn("row_key", key(F.col("model"))).join(uniq, [id_col, "row_key"], "left")
     hit = F.exists("found", lambda x: (F.abs(x - F.col("value")) <= tolerance) | (F.abs(x - F.col("value") * 100) <= tolerance) | (F.abs(x * 100 - F.col("value")) <= tolerance))
     return j.withColumn("status", F.when(F.col("n_rows").isNull(), "row_missing").when(F.col("n_rows") > 1, "ambiguous_row").when(hit, "verified").otherwise("value_differs")).drop("found", "n_rows", "row_key")
 
 
-def most_cited(results: DataFrame, citations: DataFrame, keys: list[str]) -> DataFrame:
-    """The peer with the most known citations, ties by table order, and how many peers were known."""
+def most_cited(results: DataFrame, citations: DataFrame, keys: list[str], order: tuple[str, ...] = ("row_no",)) -> DataFrame:
+    """The peer with the most known citations, ties by table order (the columns of ``order``, ascending), and how many peers
+    were known."""
     j = results.join(citations, "model", "left")
     known = F.col("citations").isNotNull()
-    return j.groupBy(*keys).agg(F.max_by("model", F.when(known, F.struct("citations", -F.col("row_no")))).alias("model"), F.count("citations").alias("checked"))
+    return j.groupBy(*keys).agg(F.min_by("model", F.when(known, F.struct(-F.col("citations"), *order))).alias("model"), F.count("citations").alias("checked"))
 
 
 def difference(a: Column, b: Column, decimals: Column, way: Column) -> Column:

@@ -146,6 +146,8 @@ class _Tables(HTMLParser):
 
 
 MAX_GRID = 1_000_000
+#: From so many cells on a batch of rows goes out.
+BATCH_CELLS = 20_000
 
 
 def grids(html: str | None) -> list[tuple]:
@@ -187,18 +189,31 @@ def grids(html: str | None) -> list[tuple]:
 
 
 def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """The rows of the tables of each page, as ``grids`` gives them; ``tables.bands`` tells headers from bodies."""
+    """The rows of the tables of each page, as ``grids`` gives them; ``tables.bands`` tells headers from bodies.
+
+    Pages are dealt out first: parsing costs far more than reading, and a small file of them would be one task.
+    """
     fields = [("id", pa.int64()), ("table_id", pa.int32()), ("caption", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("own", pa.list_(pa.string())), ("spans", pa.list_(pa.int32())), ("heading", pa.bool_())]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
     def run(batches):
         for b in batches:
-            for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # a page at a time bounds the memory
-                rows = [(i, *g) for g in grids(h)]
-                cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+            held, n = [], 0
+            for i, h in zip(b.column(0), b.column(1), strict=True):  # small pages share a batch, a large one has its own
+                rows = [(i.as_py(), *g) for g in grids(h.as_py())]
+                held += rows
+                n += sum(len(r[4]) for r in rows)
+                if n >= BATCH_CELLS:
+                    yield batch_of(held)
+                    held, n = [], 0
+            yield batch_of(held)
 
     kind = "id long, table_id int, caption string, row int, cells array<string>, own array<string>, spans array<int>, heading boolean"
-    rows = pages.select(F.col(id_col).cast("long"), html_col).mapInArrow(run, kind)
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pages.select(F.col(id_col).cast("long"), html_col).repartition(n, id_col).mapInArrow(run, kind)
     return rows.withColumn("caption", math_text(F.col("caption"))).withColumnRenamed("id", id_col)
 
 
