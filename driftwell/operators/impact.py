@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.keys import norm_title
-from driftwell.operators.graph import cut
+from driftwell.operators.graph import counted, cut
 
 
 def compare_runs(before: DataFrame, after: DataFrame, key: str, k: int) -> DataFrame:
@@ -201,24 +201,36 @@ def shared_references(refs: DataFrame, paper: str = "paper_id", ref: str = "ref_
     return refs.groupBy(ref).agg(F.countDistinct(paper).alias("shared")).where(F.col("shared") >= least).orderBy(F.desc("shared"), ref).limit(top)
 
 
+#: Largest set of references that travels with each of its rarest ones.
+WIDE = 64
+
+
 def reference_similarity(refs: DataFrame, paper: str, ref: str, least: float = 0.15) -> DataFrame:
     """Pairs of papers whose reference sets' Jaccard is at least ``least``.
 
     A pair shares ``least`` of either set at least, so it shares one of the rarest n - ceil(least n) + 1 references of both:
     only these meet, and frequent references pair nobody unless a set holds little else. Pairs of fitting sizes are then
-    compared on their whole sets.
+    compared on their whole sets. Sets of up to WIDE references travel with their rarest ones, so a pair is compared where
+    it meets and counts at the rarest reference that it shares; only pairs with a larger set move to be compared.
     """
     r = refs.select(paper, ref).where(F.col(paper).isNotNull() & F.col(ref).isNotNull()).distinct()
     rare = r.groupBy(ref).agg(F.count("*").alias("_df"))
     sets = r.join(rare, ref).groupBy(paper).agg(F.array_sort(F.collect_list(F.struct("_df", ref))).alias("_s"))
-    sets = sets.select(paper, F.transform("_s", lambda x: x[ref]).alias("_s"), F.size("_s").alias("_n"))
+    sets, wide = counted(sets.select(paper, F.transform("_s", lambda x: x[ref]).alias("_s"), F.size("_s").alias("_n")), F.size("_s") > WIDE)
     most = F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1
-    p = sets.select(paper, "_n", F.explode(F.slice("_s", F.lit(1), most.cast("int"))).alias("_r"))
-    x, y = p.select(F.col(paper).alias("a"), F.col("_n").alias("_na"), "_r"), p.select(F.col(paper).alias("b"), F.col("_n").alias("_nb"), "_r")
-    met = x.join(y, "_r").where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9)).select("a", "b").distinct()
-    j = met.join(sets.select(F.col(paper).alias("a"), F.col("_s").alias("_sa")), "a").join(sets.select(F.col(paper).alias("b"), F.col("_s").alias("_sb")), "b")
-    both = F.size(F.array_intersect("_sa", "_sb"))
-    return j.select("a", "b", (both / (F.size("_sa") + F.size("_sb") - both)).alias("similarity")).where(F.col("similarity") >= least)
+    p = sets.select(paper, "_n", F.when(F.col("_n") <= WIDE, F.col("_s")).alias("_s"), F.explode(F.slice("_s", F.lit(1), most.cast("int"))).alias("_r"))
+    side = lambda df, c: df.select(F.col(paper).alias(c), F.col("_n").alias(f"_n{c}"), F.col("_s").alias(f"_s{c}"), "_r")
+    fits = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9)
+    shared = F.array_intersect("_sa", "_sb")
+    similarity = F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))
+    narrow = p.where(F.col("_n") <= WIDE)
+    met = side(narrow, "a").join(side(narrow, "b"), "_r").where(fits).withColumn("_shared", shared).where(F.get("_shared", F.lit(0)) == F.col("_r"))
+    out = met.select("a", "b", "_na", "_nb", F.size("_shared").alias("_both"))
+    if wide:
+        met = side(p, "a").join(side(p, "b"), "_r").where(fits & (F.greatest("_na", "_nb") > WIDE)).select("a", "b", "_na", "_nb").distinct()
+        met = met.join(sets.select(F.col(paper).alias("a"), F.col("_s").alias("_sa")), "a").join(sets.select(F.col(paper).alias("b"), F.col("_s").alias("_sb")), "b")
+        out = out.unionByName(met.select("a", "b", "_na", "_nb", F.size(shared).alias("_both")))
+    return out.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def frontier(cites: DataFrame, seeds: DataFrame, since_year: int, top: int = 10) -> DataFrame:
