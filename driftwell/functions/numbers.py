@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ NUMBER = r"[+\-−]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+\-−]?[0-9]+)?"
 MISSING = ("n/a", "na", "-", "–", "—", "−")
 #: Marks around the source of a formula inside a cell's text, private characters that no text uses.
 MATH, END_MATH = "\ue000", "\ue001"
+#: Marks around what a search has found, private characters too.
+FOUND, END_FOUND = "\ue002", "\ue003"
 
 # Names of metrics, of averages and of a paper's own rows. Abbreviations mind their case, phrases do not.
 METRIC_ABBR = (
@@ -29,6 +33,11 @@ METRIC_ALIASES = {
 VALUE = r"(?<![\w.])\d+(?:\.\d+)?\s?%|(?<![\w.])\d+\.\d+(?![\w.%])"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it: inside lambdas Spark would compute it each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_missing(c: Column) -> Column:
     return F.lower(F.trim(c)).isin(*MISSING)
 
@@ -55,16 +64,19 @@ def math_number(alt: Column) -> Column:
     t = F.regexp_replace(t, r"(?<![\w.])([+\-−]?)10\s*\^\s*\{?\s*([+\-−]?[0-9]+)\s*\}?", "$11e$2")
     for old, new in ((r"\\pm(?![A-Za-z])", "±"), (r"\\mp(?![A-Za-z])", "∓"), (r"\\%", "%"), (r"[{}]", " ")):
         t = F.regexp_replace(t, old, new)
-    t = collapse(t)
     one, below = rf"{NUMBER}\s*%?", r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)\s*%?"
     bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    sub = rf"^({one}) ?_ ?({below})$"
-    main, low = bare(F.regexp_extract(t, sub, 1)), bare(F.regexp_extract(t, sub, 2))
-    lowered = F.when(low.contains(".") | styled, F.concat(main, F.lit(" ± "), low)).otherwise(F.concat(main, F.lit(" "), F.translate(low, "0123456789", "₀₁₂₃₄₅₆₇₈₉")))
-    whole = rf"^({one})(?:\s*([±∓])\s*({below}))?$"
-    error = bare(F.regexp_extract(t, whole, 3))
-    plain = F.concat(bare(F.regexp_extract(t, whole, 1)), F.when(error != "", F.concat(F.lit(" "), F.regexp_extract(t, whole, 2), F.lit(" "), error)).otherwise(""))
-    return F.when(t.rlike(sub), lowered).when(t.rlike(whole), plain)
+    sub, whole = rf"^({one}) ?_ ?({below})$", rf"^({one})(?:\s*([±∓])\s*({below}))?$"
+
+    def lowered(t: Column) -> Column:
+        digits = lambda low: F.when(low.contains(".") | styled, F.concat(F.lit(" ± "), low)).otherwise(F.concat(F.lit(" "), F.translate(low, "0123456789", "₀₁₂₃₄₅₆₇₈₉")))
+        return F.concat(bare(F.regexp_extract(t, sub, 1)), _let(bare(F.regexp_extract(t, sub, 2)), digits))
+
+    def plain(t: Column) -> Column:
+        with_error = lambda e: F.when(e != "", F.concat(F.lit(" "), F.regexp_extract(t, whole, 2), F.lit(" "), e)).otherwise("")
+        return F.concat(bare(F.regexp_extract(t, whole, 1)), _let(bare(F.regexp_extract(t, whole, 3)), with_error))
+
+    return _let(collapse(t), lambda t: F.when(t.rlike(sub), lowered(t)).when(t.rlike(whole), plain(t)))
 
 
 def math_text(cell: Column, numbers: bool = True) -> Column:
@@ -116,13 +128,18 @@ SECTION_MARK = r"(?i)(?:§|\bsection|\bsec\.?)\s*$"
 
 def _spans(text: Column, pattern: str) -> Column:
     """array of (start, end, before, after) of a pattern's matches; before and after are the neighbouring pieces of text."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"))
-    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
     kind = "struct<at:int,spans:array<struct<lo:int,hi:int>>>"
     step = lambda s, x: F.struct((s["at"] + x["p"] + x["m"]).alias("at"), F.concat(s["spans"], F.array(F.struct((s["at"] + x["p"]).alias("lo"), (s["at"] + x["p"] + x["m"]).alias("hi")))).alias("spans")).cast(kind)
-    spans = F.aggregate(both, state.cast(kind), step)["spans"]
-    return F.transform(spans, lambda s, i: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
+
+    def spans(cut: Column) -> Column:
+        found, pieces = cut["found"], cut["pieces"]
+        both = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
+        return F.transform(F.aggregate(both, state.cast(kind), step)["spans"], lambda s, i: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
+
+    parts = F.split(F.regexp_replace(text, pattern, f"{FOUND}$0{END_FOUND}"), f"[{FOUND}{END_FOUND}]", -1)  # one search; every second part is a match
+    every = lambda k: lambda p: F.filter(p, lambda _, i: i % 2 == k)
+    return _let(_let(parts, lambda p: F.struct(every(1)(p).alias("found"), every(0)(p).alias("pieces"))), spans)
 
 
 def scored_value(sentence: Column, reach: int = 40) -> Column:
@@ -134,4 +151,5 @@ def scored_value(sentence: Column, reach: int = 40) -> Column:
     values = F.filter(_spans(sentence, VALUE), lambda v: ~v["before"].rlike(SECTION_MARK) & ~v["after"].rlike(NOT_SCORE))
     names = F.concat(_spans(sentence, METRIC_ABBR), _spans(sentence, METRIC_PHRASE))
     near = lambda v, m: ((v["lo"] >= m["hi"]) & (v["lo"] - m["hi"] <= reach)) | ((m["lo"] >= v["hi"]) & (m["lo"] - v["hi"] <= reach))
-    return F.coalesce(F.exists(values, lambda v: F.exists(names, lambda m: near(v, m))), F.lit(False))
+    met = lambda vs: F.when(F.size(vs) > 0, _let(names, lambda ms: F.exists(vs, lambda v: F.exists(ms, lambda m: near(v, m)))))
+    return F.coalesce(_let(values, met), F.lit(False))
