@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -79,6 +80,10 @@ def markdown_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return r.withColumn("value", cell_number(F.col("text")))
 
 
+#: A tag of a table without attributes, as most are.
+PLAIN_TAG = re.compile("<(t[dhr]|table|thead|tbody|tfoot|caption)>")
+
+
 class _Tables(HTMLParser):
     """Tables of a page: rows of cells with their spans, and captions. A table that can't be read as a grid is marked broken."""
 
@@ -89,10 +94,26 @@ class _Tables(HTMLParser):
         self.into: list | None = None
         self.formula = False
 
+    def parse_starttag(self, i):
+        plain = PLAIN_TAG.match(self.rawdata, i)
+        if not plain:
+            return super().parse_starttag(i)
+        self.handle_starttag(plain[1], ())
+        return plain.end()
+
+    def updatepos(self, i, j):
+        """Lines are not counted: nothing asks where a tag stands."""
+        return j
+
     def handle_starttag(self, tag, attrs):
-        a, t = dict(attrs), self.open[-1] if self.open else None
         if self.formula:
             return
+        t = self.open[-1] if self.open else None
+        if t and not attrs and tag in ("td", "th") and t["rows"]:  # most cells
+            self.into = ["", 1, 1, tag == "th"]
+            t["rows"][-1][2].append(self.into)
+            return
+        a = dict(attrs)
         if tag == "table":
             if t:
                 t["broken"] |= self.into is not None and self.into is not t["caption"]  # numbers of an inner table belong to no cell
@@ -170,6 +191,11 @@ def grids(html: str | None) -> list[tuple]:
             for cell in cells:
                 while (r, c) in held:
                     c += 1
+                if cell[1] == cell[2] == 1 and not broken and len(rows) * max(width, c + 1) <= MAX_GRID:  # free, as the search has found
+                    held[r, c] = clean(cell[0])
+                    c += 1
+                    width = max(width, c)
+                    continue
                 down = min(cell[1] or end - r, end - r)
                 width = max(width, c + cell[2])
                 if broken or len(rows) * width > MAX_GRID:
@@ -191,7 +217,8 @@ def grids(html: str | None) -> list[tuple]:
 def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The rows of the tables of each page, as ``grids`` gives them; ``tables.bands`` tells headers from bodies.
 
-    Pages are dealt out first: parsing costs far more than reading, and a small file of them would be one task.
+    Pages are dealt out first, by a hash of the id so that Spark doesn't take an earlier dealing by the id, in fewer parts, as
+    good enough: parsing costs far more than reading, and a small file of them would be one task.
     """
     fields = [("id", pa.int64()), ("table_id", pa.int32()), ("caption", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("own", pa.list_(pa.string())), ("spans", pa.list_(pa.int32())), ("heading", pa.bool_())]
 
@@ -213,7 +240,7 @@ def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     kind = "id long, table_id int, caption string, row int, cells array<string>, own array<string>, spans array<int>, heading boolean"
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pages.select(F.col(id_col).cast("long"), html_col).repartition(n, id_col).mapInArrow(run, kind)
+    rows = pages.select(F.col(id_col).cast("long"), html_col).repartition(n, F.xxhash64(id_col)).mapInArrow(run, kind)
     return rows.withColumn("caption", math_text(F.col("caption"))).withColumnRenamed("id", id_col)
 
 
