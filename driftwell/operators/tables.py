@@ -42,7 +42,9 @@ def bands(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
     """
     order = _by_table(id_col).orderBy("row")
     raw = F.transform("own", lambda x: N.math_text(x, numbers=False))
-    rows = rows.withColumn("_raw", raw).withColumn("_own", F.transform("own", lambda x: N.math_text(x))).withColumn("cells", F.transform("cells", lambda x: N.math_text(x)))
+    said = lambda c: F.when(F.exists(c, lambda x: x.contains(N.MATH)), F.transform(c, lambda x: N.math_text(x))).otherwise(F.col(c))
+    rows = rows.withColumn("_alike", F.col("cells") == F.col("own")).withColumn("_raw", raw).withColumn("_own", said("own"))
+    rows = rows.withColumn("cells", F.when(F.col("_alike"), F.col("_own")).otherwise(said("cells"))).drop("_alike")  # without spans they are the same
     width, n = F.size("cells"), F.size("own")
     group = (F.col("row") > 0) & (n == 2) & (width > 2) & (F.get("spans", F.lit(1)) == width - 1) & (F.get("_raw", F.lit(1)) != "")
     rows = rows.withColumn("is_group", F.coalesce(group, F.lit(False)))
@@ -89,13 +91,14 @@ def row_blocks(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
     return body.withColumn("_head", F.last(head, ignorenulls=True).over(upto)).select(*rows.columns, "is_block", "_head.block_id", "_head.block")
 
 
-def column_paths(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, table_id, paths): for each column its headers from top to bottom, repeats of a merged one left out."""
-    heads = rows.where("is_header").groupBy(id_col, "table_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("h"))
+def column_paths(rows: DataFrame, id_col: str = "page_id", keep: tuple = ()) -> DataFrame:
+    """(id, table_id, paths, and the table's own columns of ``keep``): for each column its headers from top to bottom, repeats of a merged one left out."""
+    of_table = [F.first(c).alias(c) for c in keep]
+    heads = rows.where("is_header").groupBy(id_col, "table_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("h"), *of_table)
     none = F.array().cast("array<string>")
     step = lambda c: lambda acc, h: F.when((h["cells"][c] != "") & ((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) != h["cells"][c])), F.concat(acc, F.array(h["cells"][c]))).otherwise(acc)
     at = F.sequence(F.lit(0), F.size(F.col("h")[0]["cells"]) - 1)
-    return heads.select(id_col, "table_id", F.transform(at, lambda c: F.aggregate("h", none, step(c))).alias("paths"))
+    return heads.select(id_col, "table_id", F.transform(at, lambda c: F.aggregate("h", none, step(c))).alias("paths"), *keep)
 
 
 def row_labels(body: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -163,16 +166,80 @@ def author_metrics(cells: DataFrame, sents: DataFrame, papers: DataFrame, id_col
     return met.select(id_col, "table_id", "col", F.col("metric").alias("told"))
 
 
+def _has_metric(c: Column) -> Column:
+    return c.rlike(N.METRIC_ABBR) | c.rlike(N.METRIC_PHRASE)
+
+
+def _as_read(path: Column, bench: Column, told: Column | None, lent: Column, units: Column) -> Column:
+    """What a column's headers say of one benchmark: metric and its key, direction, the path above an average, whether it is in percent.
+
+    A path without a metric borrows one: ``told`` by a sentence, else ``lent`` by the caption if it only names the benchmark
+    or an average. ``units`` are the keys of the metrics that the caption gives in percent; ``known`` is false without a metric.
+    """
+    last = F.try_element_at(path, F.lit(-1))
+    spare = F.trim(F.regexp_replace(last, r"\.$", "")).rlike("^(?:" + MEAN + ")$") | F.forall(path, lambda p: _is_name(p, bench))
+    lend = F.when(spare, lent)
+    lend = F.when(~_has_metric(F.array_join(path, " / ")), lend if told is None else F.coalesce(told, lend))
+
+    def named(path: Column) -> Column:
+        joined = F.array_join(path, " / ")
+        metric = N.clean_label(F.array_join(F.filter(path, lambda p: ~_is_name(N.clean_label(p), bench)), " / "))
+        known = lambda x: F.struct(F.when(x["metric"] != "", x["metric"]).otherwise(N.clean_label(x["joined"])).alias("metric"), x["joined"].alias("joined"))
+        return N._let(N._let(F.struct(joined.alias("joined"), metric.alias("metric")), known), told_of)
+
+    def told_of(x: Column) -> Column:
+        above, below = (F.regexp_extract(x["metric"], "^(.*) / (.*)$", k) for k in (1, 2))
+        unit = F.coalesce(F.array_contains(units, N.metric_path_key(N.only_metric(x["metric"]))), F.lit(False))
+        percent = x["joined"].contains("%") | (F.coalesce(F.size(units), F.lit(0)) > 0) & unit
+        return F.when(
+            _has_metric(x["joined"]),
+            F.struct(
+                bench.alias("benchmark"), N.label_key(bench).alias("bench_key"), x["metric"].alias("metric"), N.metric_path_key(x["metric"]).alias("metric_key"), N.metric_direction(x["joined"]).alias("direction"),
+                N.label_key(above).alias("parent"), below.rlike(MEAN).alias("mean"), percent.alias("percent"),
+            ),
+        )
+
+    return N._let(F.concat(F.array_compact(F.array(lend)), path), named)
+
+
+def _tables(rows: DataFrame, papers: DataFrame, id_col: str, told: bool) -> DataFrame:
+    """A row a table that is no ablation: its paper's names, and everything that its columns and its caption alone decide.
+
+    ``columns`` has for each column its path, the benchmarks it names and, of a table read by rows, what it says of each
+    benchmark; of a table of models, the model. With ``told`` sentences may name metrics, so those wait for the cells.
+    """
+    t = column_paths(rows, id_col, ("caption",)).join(papers.select(id_col, F.coalesce("method", F.lit("")).alias("method"), "benchmarks"), id_col)
+    t = t.where(~F.coalesce(F.col("caption").rlike(ABLATION), F.lit(False)))
+    with_own = F.exists("paths", lambda p: F.array_join(p, " / ").rlike(OURS) | F.coalesce((F.col("method") != "") & (F.size(p) > 0) & _is_name(F.get(p, F.size(p) - 1), F.col("method")), F.lit(False)))
+    in_columns = F.size(_named(F.flatten("paths"), F.col("benchmarks"))) > 0
+    captioned = F.when(in_columns, F.array().cast("array<string>")).otherwise(_named(F.array(F.coalesce("caption", F.lit(""))), F.col("benchmarks")))
+    percent = F.regexp_extract_all("caption", F.lit(N.METRIC_ABBR + r"\s*\(\s*%\s*\)"), F.lit(1)), F.regexp_extract_all("caption", F.lit(N.METRIC_PHRASE + r"\s*\(\s*%\s*\)"), F.lit(1))
+    times = F.regexp_extract("caption", r"(?i)\baveraged\s+over\s+([0-9]+)\s+(?:random\s+)?(?:seeds|runs|trials)\b", 1).try_cast("int")
+    over = F.when((F.regexp_count("caption", F.lit(r"(?i)\baveraged\s+over\b")) == 1) & (times > 0), times)
+    benches = F.filter("benchmarks", lambda b: F.regexp_like("caption", F.concat(F.lit(r"(?i)(?<![\w-])\Q"), b, F.lit(r"\E benchmark\b"))))
+    t = t.select("*", with_own.alias("_with_own"), captioned.alias("_captioned"), N.only_metric(F.col("caption")).alias("_m"), F.transform(F.concat(*percent), N.metric_path_key).alias("_units"), over.alias("averaged_over"), benches.alias("_b"))
+
+    def column(p: Column) -> Column:
+        joined = F.array_join(p, " / ")
+        model = N.clean_label(joined)
+        own = model.rlike(OURS) | F.coalesce((F.col("method") != "") & _is_name(F.try_element_at(p, F.lit(-1)), F.col("method")), F.lit(False))
+        straight = ~F.col("_with_own") & (F.size(p) > 0)
+        names = lambda x: F.when(straight, _named(x, F.col("benchmarks")))
+        said = [] if told else [F.when(straight, F.transform("benchmarks", lambda b: _as_read(p, b, None, F.col("_m"), F.col("_units")))).alias("said")]
+        turned = F.when(~straight, F.struct(model.alias("model"), own.alias("own"), joined.contains("%").alias("percent")))
+        return F.struct(p.alias("path"), names(p).alias("each"), names(F.array(joined)).alias("whole"), turned.alias("turned"), *said)
+
+    return t.withColumn("columns", F.transform("paths", column)).drop("paths")
+
+
 def _transposed(t: DataFrame, id_col: str) -> DataFrame:
     """Results of tables whose columns are models and whose rows are the tasks of one benchmark."""
-    benches = F.filter("benchmarks", lambda b: F.regexp_like("caption", F.concat(F.lit(r"(?i)(?<![\w-])\Q"), b, F.lit(r"\E benchmark\b"))))
-    t = t.where("_turned and col > 0 and size(path) > 0").withColumn("_b", benches).withColumn("_m", N.only_metric(F.col("caption"))).where("size(_b) = 1 and _m is not null")
-    metric = F.concat_ws(" / ", "_m", "label")
-    model = N.clean_label(F.array_join("path", " / "))
-    own = model.rlike(OURS) | F.coalesce((F.col("method") != "") & _is_name(F.try_element_at(F.col("path"), F.lit(-1)), F.col("method")), F.lit(False))
+    t = t.where("_turned and col > 0 and size(c.path) > 0 and size(_b) = 1 and _m is not null")
+    percent = F.col("c.turned.percent") | F.coalesce(F.array_contains("_units", F.col("_task.unit_key")), F.lit(False))
     return t.select(
-        id_col, "table_id", "row", "col", F.col("_b")[0].alias("benchmark"), metric.alias("metric"), N.metric_direction(F.col("_m")).alias("direction"), "value", "text", model.alias("model"), own.alias("own"),
-        F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("block"), "path", "caption", F.lit(None).cast("int").alias("base_row"), F.lit("transposed").alias("orientation"), F.lit(False).alias("told"),
+        id_col, "table_id", "row", "col", F.col("_b")[0].alias("benchmark"), "_task.metric", N.metric_direction(F.col("_m")).alias("direction"), "value", "text", "c.turned.model", "c.turned.own",
+        F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("block"), "caption", F.lit(None).cast("int").alias("base_row"), F.lit("transposed").alias("orientation"), F.lit(False).alias("told"),
+        N.label_key(F.col("_b")[0]).alias("bench_key"), "_task.metric_key", percent.alias("_percent"), "averaged_over",
     )
 
 
@@ -185,62 +252,56 @@ def table_results(rows: DataFrame, papers: DataFrame, sents: DataFrame | None =
     benchmark, or from the paper's own ``sents``. Ablation tables give nothing. A (row, benchmark, metric) that stands in
     two columns is dropped, both times; of columns under one heading an average replaces the others, and more than
     ``MAX_COLUMNS_PER_KEY`` without one are categories. Tables with models as columns are read the other way round.
+
+    What a caption or a column says is read once a table, what a label says once a row; cells only pick it. ``rows`` are
+    read twice, so cut them first where they are dear.
     """
-    t = row_labels(row_blocks(rows, id_col), id_col).join(column_paths(rows, id_col), [id_col, "table_id"]).join(papers.select(id_col, F.coalesce("method", F.lit("")).alias("method"), "benchmarks"), id_col)
-    t = t.where(~F.coalesce(F.col("caption").rlike(ABLATION), F.lit(False)))
-    with_own = F.exists("paths", lambda p: F.array_join(p, " / ").rlike(OURS) | F.coalesce((F.col("method") != "") & (F.size(p) > 0) & _is_name(F.get(p, F.size(p) - 1), F.col("method")), F.lit(False)))
-    t = t.withColumn("_with_own", with_own).withColumn("_turned", F.col("_with_own") & F.min(F.col("label").rlike(r"(?i)^(?:Task \d+|Average|Avg\.?|Mean)$")).over(_by_table(id_col)))
-    in_columns = F.size(_named(F.flatten("paths"), F.col("benchmarks"))) > 0
-    t = t.withColumn("_captioned", F.when(in_columns, F.array().cast("array<string>")).otherwise(_named(F.array(F.coalesce("caption", F.lit(""))), F.col("benchmarks"))))
+    t = row_labels(row_blocks(rows, id_col), id_col).drop("caption").join(_tables(rows, papers, id_col, sents is not None).hint("merge"), [id_col, "table_id"])  # both sides grow
+    t = t.withColumn("_turned", F.col("_with_own") & F.min(F.col("label").rlike(r"(?i)^(?:Task \d+|Average|Avg\.?|Mean)$")).over(_by_table(id_col)))
     above = F.lag(F.struct("label", "block_id", "is_block")).over(_by_table(id_col).orderBy("row"))
     based = ~above["is_block"] & above["block_id"].eqNullSafe(F.col("block_id")) & ~above["label"].rlike(r"^\+") & above["label"].rlike(r"[A-Za-z].*[A-Za-z]") & ~above["label"].rlike("^" + MEAN)
-    t = t.withColumn("_base", F.when(based, model_label(above["label"])))
-    cell = t.where("not is_block").select("*", F.posexplode("cells").alias("col", "text")).withColumn("value", cell_number(F.col("text"))).withColumn("path", F.get("paths", F.col("col"))).where("value is not null").drop("paths", "cells")
-    turned = _transposed(cell, id_col)
-    cell = cell.where("not _with_own and size(path) > 0").where(~F.exists("path", lambda p: p.rlike(r"(?i)pass@\d+\s*=\s*\d+\s*/\s*\d+")))
+    t = t.withColumn("_base", F.when(based, model_label(above["label"]))).where("not is_block")
     cited = lambda b: F.regexp_like("label", F.concat(F.lit(r"(?i)^\s*\Q"), b, F.lit(r"\E" + CITED + r"\s*$")))
-    by_row = F.filter(_named(F.array("label"), F.col("benchmarks")), lambda b: ~cited(b))
-    by_column = _named(F.col("path"), F.col("benchmarks"))
-    bench = F.coalesce(F.get(by_column, F.lit(0)), F.get(by_row, F.lit(0)), F.when(F.size("_captioned") == 1, F.col("_captioned")[0]))
-    cell = cell.withColumn("bench", bench).where(F.col("bench").isNotNull() & (F.size(F.array_union(_named(F.array(F.array_join("path", " / ")), F.col("benchmarks")), by_row)) <= 1))
-    cell = cell.withColumn("own", own_label(F.col("label"), F.col("method")))
+    by_row = N._let(_named(F.array("label"), F.col("benchmarks")), lambda n: F.struct(n.alias("all"), F.filter(n, lambda b: ~cited(b)).alias("own")))
+    plain = N._let(collapse(F.col("label")), lambda c: model_label(F.when(c != "", c).otherwise(F.col("label"))))
+    task = lambda m: F.struct(m.alias("metric"), N.metric_path_key(m).alias("metric_key"), N.metric_path_key(N.only_metric(m)).alias("unit_key"))
+    straight, turned = ~F.col("_with_own"), F.col("_turned") & (F.size("_b") == 1) & F.col("_m").isNotNull()
+    t = t.select(
+        "*", F.when(straight, by_row).alias("_by_row"), F.when(straight, plain).alias("_plain"), F.when(turned, N._let(F.concat_ws(" / ", "_m", "label"), task)).alias("_task"),
+        F.arrays_zip(F.col("cells").alias("text"), F.col("columns").alias("c")).alias("_cells"),
+    ).drop("cells", "columns")
+    cell = t.select("*", F.posexplode("_cells").alias("col", "_cell")).drop("_cells").select("*", F.col("_cell")["text"].alias("text"), F.col("_cell")["c"].alias("c")).drop("_cell")
+    cell = cell.withColumn("value", cell_number(F.col("text"))).where("value is not null")
+    turned = _transposed(cell, id_col)
+    cell = cell.where("not _with_own and size(c.path) > 0").where(~F.exists("c.path", lambda p: p.rlike(r"(?i)pass@\d+\s*=\s*\d+\s*/\s*\d+")))
+    bench = F.coalesce(F.get("c.each", F.lit(0)), F.get("_by_row.own", F.lit(0)), F.when(F.size("_captioned") == 1, F.col("_captioned")[0]))
+    cell = cell.withColumn("bench", bench).where(F.col("bench").isNotNull() & (F.size(F.array_union("c.whole", "_by_row.own")) <= 1))
     if sents is not None:
+        cell = cell.withColumn("path", F.col("c.path")).withColumn("own", own_label(F.col("label"), F.col("method")))
         cell = cell.join(author_metrics(cell, sents, papers, id_col), [id_col, "table_id", "col"], "left")
+        said = _as_read(F.col("path"), F.col("bench"), F.col("told"), F.col("_m"), F.col("_units"))
     else:
         cell = cell.withColumn("told", F.lit(None).cast("string"))
-    has_metric = lambda c: c.rlike(N.METRIC_ABBR) | c.rlike(N.METRIC_PHRASE)
-    last = F.try_element_at(F.col("path"), F.lit(-1))
-    spare = F.trim(F.regexp_replace(last, r"\.$", "")).rlike("^(?:" + MEAN + ")$") | F.forall("path", lambda p: _is_name(p, F.col("bench")))
-    lend = F.when(~has_metric(F.array_join("path", " / ")), F.coalesce("told", F.when(spare, N.only_metric(F.col("caption")))))
-    cell = cell.withColumn("path", F.concat(F.array_compact(F.array(lend)), F.col("path"))).where(has_metric(F.array_join("path", " / ")))
-    joined = F.array_join("path", " / ")
-    metric = N.clean_label(F.array_join(F.filter("path", lambda p: ~_is_name(N.clean_label(p), F.col("bench"))), " / "))
-    bare = collapse(F.regexp_replace(F.col("label"), _as_word(F.col("bench")), ""))
-    model = model_label(F.when(bare != "", bare).otherwise(F.col("label")))
-    cell = cell.withColumn("model", model).withColumn("own", own_label(F.col("model"), F.col("method")))
+        said = F.get(F.col("c.said"), F.array_position("benchmarks", F.col("bench")).cast("int") - 1)
+    cell = cell.withColumn("_said", said).where("_said is not null")
+    bare = N._let(collapse(F.regexp_replace(F.col("label"), _as_word(F.col("bench")), "")), lambda c: model_label(F.when(c != "", c).otherwise(F.col("label"))))
+    cell = cell.withColumn("model", F.when(F.array_contains("_by_row.all", F.col("bench")), bare).otherwise(F.col("_plain")))
+    cell = cell.withColumn("own", own_label(F.col("model"), F.col("method")))
     plus = F.col("own") & F.col("model").startswith("+") & F.col("_base").isNotNull()
     cell = cell.withColumn("base_row", F.when(F.col("model").startswith("+") & F.col("_base").isNotNull(), F.col("row") - 1))
     cell = cell.withColumn("model", F.when(plus, F.concat(F.col("_base"), F.lit(" + "), F.regexp_replace("model", r"^[+ ]+", ""))).otherwise(F.col("model")))
     cell = cell.where(F.col("model").rlike(r"[A-Za-z].*[A-Za-z]") & ~F.col("model").rlike(DERIVED))
     straight = cell.select(
-        id_col, "table_id", "row", "col", F.col("bench").alias("benchmark"), F.when(metric != "", metric).otherwise(N.clean_label(joined)).alias("metric"), N.metric_direction(joined).alias("direction"),
-        "value", "text", "model", "own", "block_id", "block", "path", "caption", "base_row", F.lit("rows").alias("orientation"), F.col("told").isNotNull().alias("told"),
+        id_col, "table_id", "row", "col", F.col("bench").alias("benchmark"), "_said.metric", "_said.direction", "value", "text", "model", "own", "block_id", "block", "caption", "base_row",
+        F.lit("rows").alias("orientation"), F.col("told").isNotNull().alias("told"), "_said.bench_key", "_said.metric_key", F.col("_said.percent").alias("_percent"), "averaged_over", F.col("_said.parent").alias("_parent"), F.col("_said.mean").alias("_mean"),
     )
-    straight = straight.withColumn("_key", N.metric_path_key(F.col("metric")))
-    split = F.regexp_extract("metric", r"^(.*) / (.*)$", 1)
-    mean = F.regexp_extract("metric", r"^(.*) / (.*)$", 2).rlike(MEAN)
     group = Window.partitionBy(id_col, "table_id", "benchmark", "_parent")
-    straight = straight.withColumn("_parent", N.label_key(split)).withColumn("_means", F.max(mean).over(group)).withColumn("_columns", F.size(F.collect_set("col").over(group)))
-    once = F.count("*").over(Window.partitionBy(id_col, "table_id", "row", "benchmark", "_key")) == 1
-    straight = straight.withColumn("_once", once).where("_once").where((F.col("_parent") == "") | F.when(F.col("_means"), mean).otherwise(F.col("_columns") <= MAX_COLUMNS_PER_KEY))
-    out = straight.drop("_key", "_parent", "_means", "_columns", "_once").unionByName(turned)
-    percent = F.regexp_extract_all("caption", F.lit(N.METRIC_ABBR + r"\s*\(\s*%\s*\)"), F.lit(1)), F.regexp_extract_all("caption", F.lit(N.METRIC_PHRASE + r"\s*\(\s*%\s*\)"), F.lit(1))
-    told_unit = F.exists(F.concat(*percent), lambda m: N.metric_path_key(m) == N.metric_path_key(N.only_metric(F.col("metric"))))
-    unit = F.when(F.array_join("path", " / ").contains("%") | F.col("text").contains("%") | F.coalesce(told_unit, F.lit(False)), "%")
-    times = F.regexp_extract("caption", r"(?i)\baveraged\s+over\s+([0-9]+)\s+(?:random\s+)?(?:seeds|runs|trials)\b", 1).try_cast("int")
-    over = F.when((F.regexp_count("caption", F.lit(r"(?i)\baveraged\s+over\b")) == 1) & (times > 0), times)
-    locator = F.format_string("t%d.r%d.c%d", "table_id", "row", "col")
-    return out.select("*", N.label_key(F.col("benchmark")).alias("bench_key"), N.metric_path_key(F.col("metric")).alias("metric_key"), unit.alias("unit"), over.alias("averaged_over"), locator.alias("locator")).drop("path")
+    straight = straight.withColumn("_means", F.max("_mean").over(group)).withColumn("_columns", F.size(F.collect_set("col").over(group)))
+    once = F.count("*").over(Window.partitionBy(id_col, "table_id", "row", "benchmark", "metric_key")) == 1
+    straight = straight.withColumn("_once", once).where("_once").where((F.col("_parent") == "") | F.when(F.col("_means"), F.col("_mean")).otherwise(F.col("_columns") <= MAX_COLUMNS_PER_KEY))
+    out = straight.drop("_parent", "_mean", "_means", "_columns", "_once").unionByName(turned)
+    unit = F.when(F.col("_percent") | F.col("text").contains("%"), "%")
+    return out.select("*", unit.alias("unit"), F.format_string("t%d.r%d.c%d", "table_id", "row", "col").alias("locator")).drop("_percent")
 
 
 def verified_gains(results: DataFrame, id_col: str = "page_id") -> DataFrame:

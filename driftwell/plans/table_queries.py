@@ -62,7 +62,7 @@ r AS (SELECT * FROM res WHERE page_id % 13 > 0)"""
 @query(f"WITH {_RESULTS} SELECT page_id, locator, metric_key, 'higher' AS direction, value, model, own, block, unit, averaged_over, orientation FROM r")
 def table_results(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    r = tables.table_results(tables.bands(readers.table_rows(pages)), _papers(pages))
+    r = tables.table_results(cut(tables.bands(readers.table_rows(pages))), _papers(pages))
     return r.select("page_id", "locator", "metric_key", "direction", "value", "model", "own", "block", "unit", "averaged_over", "orientation")
 
 
