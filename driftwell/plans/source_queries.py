@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import cells, evidence, impact, links, match, search, terms, text
 from driftwell.operators.graph import checkpoint_dir, connected_components
-from driftwell.plans.queries import EVENTS, query, table
+from driftwell.plans.queries import EVENTS, dealt, query, table
 from driftwell.sources import readers
 from driftwell.streaming import streams
 
@@ -54,7 +54,8 @@ def markdown_cells(spark, sf_dir):
     """Orders as markdown with a table of their lines; odd lines lack their last cell."""
     n = F.col("l_linenumber")
     row = _say("| line ", n.cast("string"), " | ", F.col("l_quantity").cast("int").cast("string"), F.when(n % 2 == 0, _say(" | ", F.col("l_returnflag"))).otherwise(""), " |")
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    l = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
+    d = l.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
     d = d.select("doc_id", _say("intro\n# Order ", F.col("doc_id").cast("string"), "\n\n| a | b | c |\n|---|:-:|---|\n", F.col("rows"), "\nend | of it\n").alias("text"))
     return readers.markdown_cells(d).where("row > 0").select("doc_id", "caption", "row", "col", "text", "value")
 

@@ -66,16 +66,30 @@ def run_blocks(lines: DataFrame, group: str, order: list[str], start: Column, en
 
 
 def markdown_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, table_id, caption, row, col, text): pipe tables; the last heading is the caption, short rows are padded."""
-    l = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    l = l.withColumn("is_row", F.trim("line").rlike(r"^\|.*\|$")).withColumn("rule", F.trim("line").rlike(r"^\|[\s:|-]+\|$"))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    l = l.withColumn("starts", F.col("is_row") & ~F.coalesce(F.lag("is_row").over(w), F.lit(False)))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    l = l.withColumn("table_id", F.count_if("starts").over(run)).withColumn("caption", F.last(F.when(F.col("line").rlike("^#+ "), F.regexp_replace("line", "^#+ ", "")), ignorenulls=True).over(run))
-    r = l.where("is_row and not rule").withColumn("row", F.row_number().over(Window.partitionBy(id_col, "table_id").orderBy("pos")) - 1)
-    r = r.withColumn("cells", F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"))
-    r = r.withColumn("width", F.max(F.size("cells")).over(Window.partitionBy(id_col, "table_id")))
+    """(doc, table_id, caption, row, col, text): pipe tables; the last heading is the caption, short rows are padded.
+
+    All of it is found inside a document's row, so no line is sorted or moved.
+    """
+    kind = lambda x: F.when(F.trim(x).rlike(r"^\|.*\|$"), F.when(F.trim(x).rlike(r"^\|[\s:|-]+\|$"), "rule").otherwise("row")).when(x.rlike("^#+ "), "head").otherwise("")
+    l = docs.select(id_col, F.split(text_col, "\n").alias("lines")).withColumn("kinds", F.transform("lines", kind))
+    is_row = lambda k: k.isin("row", "rule")
+    mark = lambda k, i: F.when((k == "head") | is_row(k) & ~F.coalesce(is_row(F.get("kinds", i - 1)), F.lit(False)), i)
+    l = l.withColumn("marks", F.filter(F.transform("kinds", mark), lambda i: i.isNotNull()))  # headings and the first lines of tables
+    first = F.struct(F.lit(None).cast("string").alias("caption"), F.array().cast("array<struct<at:int,caption:string>>").alias("tables"))
+
+    def step(s: Column, i: Column) -> Column:
+        table = F.array(F.struct(i.alias("at"), s["caption"].alias("caption")))
+        headed = F.struct(F.regexp_replace(F.get("lines", i), "^#+ ", "").alias("caption"), s["tables"].alias("tables"))
+        return F.when(F.get("kinds", i) == "head", headed).otherwise(F.struct(s["caption"].alias("caption"), F.concat(s["tables"], table).alias("tables")))
+
+    def cells(t: Column, j: Column) -> Column:
+        upto = F.coalesce(F.get("tables", j + 1)["at"], F.size("lines"))
+        rows = F.filter(F.slice("lines", t["at"] + 1, upto - t["at"]), lambda _, i: F.get("kinds", t["at"] + i) == "row")
+        return F.struct(t["caption"].alias("caption"), F.transform(rows, lambda x: F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|")).alias("rows"))
+
+    l = l.withColumn("tables", F.aggregate("marks", first, step, lambda s: s["tables"]))
+    r = l.select(id_col, F.posexplode(F.transform("tables", cells)).alias("at", "t")).withColumn("width", F.array_max(F.transform("t.rows", F.size)))
+    r = r.select(id_col, (F.col("at") + 1).cast("long").alias("table_id"), "t.caption", "width", F.posexplode("t.rows").alias("row", "cells"))
     r = r.select(id_col, "table_id", "caption", "row", F.posexplode(F.transform(F.sequence(F.lit(1), "width"), lambda i: F.trim(F.coalesce(F.get("cells", i - 1), F.lit(""))))).alias("col", "text"))
     return r.withColumn("value", cell_number(F.col("text")))
 
