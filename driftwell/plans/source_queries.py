@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import cells, evidence, impact, links, match, search, terms, text
 from driftwell.operators.graph import checkpoint_dir, connected_components
-from driftwell.plans.queries import EVENTS, dealt, query, table
+from driftwell.plans.queries import EVENTS, dealt, parts, query, table
 from driftwell.sources import readers
 from driftwell.streaming import streams
 
@@ -72,10 +72,12 @@ def markdown_sections(spark, sf_dir):
 @query("""SELECT l_orderkey AS doc_id, l_linenumber AS claim_id, l_suppkey % 3 <= 1 AND (l_orderkey, l_linenumber + l_suppkey % 3) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem) AS grounded FROM lineitem""")
 def cited_numbers(spark, sf_dir):
     """Each order is a text of one sentence a line with that line's own number; claims cite a sentence up to two further on, which may not exist."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("claim_id"), "l_suppkey")
+    l = table(spark, sf_dir, "lineitem")
+    n = parts(l)
+    l = l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("claim_id"), "l_suppkey")
     sents = l.select("doc_id", F.col("claim_id").cast("int").alias("sid"), _say("Line gave ", (F.col("claim_id") + 1000).cast("string"), " units.").alias("sentence"))
     claims = l.select("doc_id", "claim_id", (F.col("claim_id") + F.col("l_suppkey") % 3).cast("int").alias("sid"), (F.col("claim_id") + 1000).cast("string").alias("number"))
-    return text.ground_cited(claims, sents).select("doc_id", "claim_id", "grounded")
+    return text.ground_cited(claims, sents, parts=n).select("doc_id", "claim_id", "grounded")
 
 
 @query("""WITH t AS (SELECT item_id, text, lower(regexp_extract(text, '[A-Za-z]{5,}')) AS w FROM benchmark), p AS (SELECT *, strpos(lower(text), w) AS pos FROM t), s AS (SELECT *, greatest(pos - 20, 1) AS lo FROM p)
