@@ -198,7 +198,9 @@ def bind_experiment(analysis: DataFrame, runs: DataFrame, keys: list[str]) -> Da
 
 
 def shared_references(refs: DataFrame, paper: str = "paper_id", ref: str = "ref_id", least: int = 2, top: int = 20) -> DataFrame:
-    return refs.groupBy(ref).agg(F.countDistinct(paper).alias("shared")).where(F.col("shared") >= least).orderBy(F.desc("shared"), ref).limit(top)
+    """The references that most papers share; papers dealt out by their id are made distinct where they lie."""
+    each = refs.select(paper, ref).distinct()
+    return each.groupBy(ref).agg(F.count(paper).alias("shared")).where(F.col("shared") >= least).orderBy(F.desc("shared"), ref).limit(top)
 
 
 #: Largest set of references that travels with each of its rarest ones.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import keys as K
 from driftwell.operators import asof, cells, evidence, feedback, history, impact, links, match, merge, rank, search, signals, terms, text
-from driftwell.plans.queries import query, table
+from driftwell.plans.queries import dealt, parts, query, table
 from driftwell.sources import readers
 
 _days = lambda base, n: F.lit(base).cast("timestamp") + F.make_dt_interval(days=n.cast("int"))
@@ -193,6 +193,8 @@ def citation_audit(spark, sf_dir):
 SELECT paper_id, count(DISTINCT ref_id) AS n FROM c WHERE ref_id IN (SELECT ref_id FROM s) AND y >= 1996 GROUP BY 1 ORDER BY n DESC, paper_id LIMIT 10""")
 def frontier_papers(spark, sf_dir):
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = parts(l)
+    l, o = dealt(l.select("l_orderkey", "l_partkey"), "l_orderkey", n), dealt(o.select("o_orderkey", "o_orderdate"), "o_orderkey", n)
     cites = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("ref_id"), F.year("o_orderdate").alias("year"))
     return impact.frontier(cites, impact.shared_references(cites, top=3), 1996)
 
