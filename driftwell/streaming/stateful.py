@@ -69,16 +69,18 @@ def press_states(presses: list[tuple], delivered: int | None, expires: int | Non
 
 
 class ReactionStates(StatefulProcessor):
-    """A token's presses until its expiry, ``BURST_S`` seconds and no later press; each batch tells what changed."""
+    """A token's presses until its expiry, ``BURST_S`` seconds and no later press; each batch tells what changed.
+
+    All of a token's state is one value, read and written once a batch: each call of the store costs more than many presses.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.presses = handle.getMapState("presses", "at long, action string", "event_id string, status string")
-        self.seen = handle.getValueState("seen", "version long, timer long")
+        self.seen = handle.getValueState("seen", "version long, timer long, presses array<struct<at:long,action:string,event_id:string,status:string>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = {(k[0], k[1]): [v[0], v[1]] for k, v in self.presses.iterator()}
-        version, timer = self.seen.get() if self.seen.exists() else (0, None)
+        version, timer, presses = self.seen.get() or (0, None, [])
+        held = {(p[0], p[1]): [p[2], p[3]] for p in presses}
         said, delivered, expires, latest = {}, None, None, None
         for r in rows:
             version += 1
@@ -93,7 +95,6 @@ class ReactionStates(StatefulProcessor):
         for k, status in zip(keys, press_states(keys, delivered, expires), strict=True):
             if held[k][1] != status:
                 held[k][1] = status
-                self.presses.updateValue(k, tuple(held[k]))
                 said[held[k][0]] = status
         ends = max(latest, expires or latest) + BURST_S * SECOND
         due = max(ends // 1000 + 1, timer or 0)
@@ -101,12 +102,11 @@ class ReactionStates(StatefulProcessor):
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
-        self.seen.update((version, due))
+        self.seen.update((version, due, [(*k, *held[k]) for k in keys]))
         for event_id, status in said.items():
             yield Row(event_id=event_id, tid=key[0], status=status, version=version)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.presses.clear()
         self.seen.clear()
         return iter(())
 
@@ -133,30 +133,28 @@ def _ordered(axes: dict) -> list[tuple[str, str]]:
 
 
 class ChangeNotices(StatefulProcessor):
-    """The newest state of an entity for a reader and the newest one they acknowledged; silent keys leave after a while."""
+    """The newest state of an entity for a reader and the newest one they acknowledged; silent keys leave after a while.
+
+    Both are one value of the store, read and written once a batch.
+    """
 
     def __init__(self, axes: list[str], keys: list[str], keep_ms: int) -> None:
         self.axes, self.keys, self.keep_ms = axes, keys, keep_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        held = "at long, axes map<string,string>"
-        self.state, self.sent = handle.getValueState("state", held), handle.getValueState("sent", held)
-        self.said = handle.getValueState("said", "version long, timer long, axes array<string>, first boolean")
+        held = "struct<at:long,axes:map<string,string>>"
+        self.said = handle.getValueState("said", f"version long, timer long, pending array<string>, first boolean, state {held}, sent {held}")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        kinds = {"state": self.state.get() if self.state.exists() else None, "sent": self.sent.get() if self.sent.exists() else None}
-        version, timer, before, was = self.said.get() if self.said.exists() else (0, None, None, None)
-        latest = None
+        version, timer, before, was, *held = self.said.get() or (0, None, None, None, None, None)
+        kinds, latest = {kind: v and tuple(v) for kind, v in zip(("state", "sent"), held, strict=True)}, None
         for r in rows:
             version += 1
             latest = r.micros if latest is None else max(latest, r.micros)
             mine, axes = kinds[r.kind], dict(r.axes or {})
             if mine is None or (r.micros, _ordered(axes)) > (mine[0], _ordered(mine[1])):
                 kinds[r.kind] = (r.micros, axes)
-        for store, kind in ((self.state, "state"), (self.sent, "sent")):
-            if kinds[kind] is not None:
-                store.update(tuple(kinds[kind]))
         now, sent = kinds["state"], kinds["sent"]
         pending = [] if now is None else [a for a in self.axes if sent is None or now[1].get(a) != sent[1].get(a)]
         due = max(latest // 1000 + self.keep_ms, timer or 0)
@@ -164,13 +162,12 @@ class ChangeNotices(StatefulProcessor):
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
-        self.said.update((version, due, pending, sent is None))
+        self.said.update((version, due, pending, sent is None, now, sent))
         if pending != list(before or []) or pending and was != (sent is None):
             yield Row(**dict(zip(self.keys, key, strict=True)), changed=pending, first=sent is None, version=version)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        for store in (self.state, self.sent, self.said):
-            store.clear()
+        self.said.clear()
         return iter(())
 
     def close(self) -> None:
