@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 #: ``fetch(before, after, size)`` gives at most ``size`` records, the newest first, with after < key < before; both may be None.
+#: A feed whose pages may be too large to hold also has ``ends(before, after, size)``, the newest and oldest key and the number
+#: of the same records (None without any), and ``rows(before, oldest, fields)``, an iterator of records with oldest <= key < before.
 Fetch = Callable[[str | None, str | None, int], list[dict]]
 
 
@@ -43,17 +45,17 @@ class PagedReader(DataSourceStreamReader):
             full = True
             while full and len(pages) < self.max_pages and not error:
                 try:
-                    keys = [r["key"] for r in self.fetch(before, after, self.page_size)]
+                    newest, oldest, n = self.ends(before, after) or (None, None, 0)
                 except Exception as e:  # later pages may fail: what came before them counts
                     if not pages:
                         raise
                     error = f"page {len(pages) + 1}: {type(e).__name__}"
                     break
-                if keys:
-                    head = max(head, keys[0])
-                    pages.append((keys[0] + "\0", keys[-1]))
-                    before = keys[-1]
-                full = len(keys) >= self.page_size
+                if n:
+                    head = max(head, newest)
+                    pages.append((newest + "\0", oldest))
+                    before = oldest
+                full = n >= self.page_size
             if full and (before is not None or after is None and not pages):
                 holes.append((before, after))
         if not pages:
@@ -61,12 +63,21 @@ class PagedReader(DataSourceStreamReader):
         self.at = {"run": start["run"] + 1, "head": head, "holes": json.dumps(holes), "pages": json.dumps(pages), "status": "partial" if holes else "done", "error": error}
         return self.at
 
+    def ends(self, before: str | None, after: str | None) -> tuple[str, str, int] | None:
+        if hasattr(self.fetch, "ends"):
+            return self.fetch.ends(before, after, self.page_size)
+        keys = [r["key"] for r in self.fetch(before, after, self.page_size)]
+        return (keys[0], keys[-1], len(keys)) if keys else None
+
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         if self.at is None:  # after a restart Spark asks for the last planned run first
             self.at = end
         return [] if start == end else [Page(*p) for p in json.loads(end["pages"])]
 
     def read(self, partition: Page) -> Iterator[tuple]:
+        if hasattr(self.fetch, "rows"):
+            yield from self.fetch.rows(partition.before, partition.after, self.fields)
+            return
         for r in self.fetch(partition.before, None, self.page_size):
             if r["key"] >= partition.after:
                 yield tuple(r.get(f) for f in self.fields)
@@ -108,22 +119,61 @@ def run_status(query) -> dict:
 
 
 class LandedPages:
-    """``fetch`` over Parquet files with a ``key`` column, in any store that Arrow reads; footers prune what is out of range."""
+    """``fetch`` over Parquet files with a ``key`` column, in any store that Arrow reads; footers prune what is out of range.
+
+    A page is found by its keys alone and read a batch at a time, so no task holds a page.
+    """
+
+    BATCH = 20_000
 
     def __init__(self, path: str) -> None:
         self.path = path
 
-    def __call__(self, before: str | None, after: str | None, size: int) -> list[dict]:
+    def _batches(self, before: str | None, keep, columns: list[str]) -> Iterator:
+        """Batches of the records with key < before for which ``keep`` (an Arrow expression) holds; columns that no file has are left out."""
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         store, at = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        keep = pc.field("key").is_valid()
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.path.endswith(".parquet"))
+        if not files:
+            return
+        data = ds.dataset(files, filesystem=store, format="parquet")
         keep = keep if before is None else keep & (pc.field("key") < before)
+        known = [c for c in columns if c in data.schema.names] if columns else data.schema.names
+        yield from data.scanner(columns=known, filter=keep, batch_size=self.BATCH, batch_readahead=1, fragment_readahead=1).to_batches()
+
+    def ends(self, before: str | None, after: str | None, size: int) -> tuple[str, str, int] | None:
+        """Newest and oldest key and number of the page; at most two pages of keys are held."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        keep = pc.field("key").is_valid()
         keep = keep if after is None else keep & (pc.field("key") > after)
-        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.path.endswith(".parquet"))
-        return ds.dataset(files, filesystem=store, format="parquet").filter(keep).sort_by([("key", "descending")]).head(size).to_pylist() if files else []
+        first = lambda chunks: (lambda k: k.take(pc.sort_indices(k, sort_keys=[("", "descending")])[:size]))(pa.concat_arrays(chunks))
+        held, n = [], 0
+        for b in self._batches(before, keep, ["key"]):
+            held.append(b.column(0))
+            n += b.num_rows
+            if n >= 2 * size:
+                held, n = [first(held)], size
+        keys = first(held) if n else []
+        return (keys[0].as_py(), keys[-1].as_py(), len(keys)) if n else None
+
+    def rows(self, before: str, oldest: str, fields: list[str]) -> Iterator[tuple]:
+        import pyarrow.compute as pc
+
+        for b in self._batches(before, pc.field("key") >= oldest, fields):
+            at = {c: b.column(k).to_pylist() for k, c in enumerate(b.schema.names)}
+            yield from zip(*[at.get(f, [None] * b.num_rows) for f in fields], strict=True)
+
+    def __call__(self, before: str | None, after: str | None, size: int) -> list[dict]:
+        import pyarrow.compute as pc
+
+        ends = self.ends(before, after, size)
+        rows = [] if ends is None else [r for b in self._batches(ends[0] + "\0", pc.field("key") >= ends[1], []) for r in b.to_pylist()]
+        return sorted(rows, key=lambda r: r["key"], reverse=True)[:size]
 
 
 def scan_pages(records: DataFrame, since: Column, page_size: int, max_pages: int, source: str = "source", page: str = "page", at: str = "published") -> tuple[DataFrame, DataFrame]:
