@@ -23,7 +23,7 @@ METRIC_ABBR = (
     r"SR|DS|RC|WER|CER|MRR|nDCG(?:@\d+)?|Dice|PCK|ADE|FDE|EPE|MAE|RMSE|NDS|HOTA|MOTA)(?![\w-])"
 )
 METRIC_PHRASE = (
-    r"(?i)(?=[acdefmprstw])\b(accuracy|solve rates?|success(?: rates?)?|driving score|route completion|error rates?|collision rates?|top-1|top-5|recall@\d+|pass@\d+|"
+    r"(?=[ACDEFMPRSTWacdefmprstw])(?i)\b(accuracy|solve rates?|success(?: rates?)?|driving score|route completion|error rates?|collision rates?|top-1|top-5|recall@\d+|pass@\d+|"
     r"precision|recall|f1[- ]score|exact match|win rate|(?:any[- ])?medal rates?)\b"
 )
 LOWER_BETTER = r"(?i)(?<![\w-])(?:FID|LPIPS|WER|CER|ADE|FDE|EPE|MAE|RMSE|MSE|CD|error|err|collision|latency|miss rate|chamfer|infraction|violation)(?![\w-])"
@@ -122,9 +122,11 @@ def only_metric(text: Column) -> Column:
     return F.when(F.size(F.array_distinct(F.transform(names, metric_path_key))) == 1, names[0])
 
 
+#: Letters that begin the name of a metric, which no letter or digit precedes.
+_METRIC_FIRST = "A-FHILMNPRSTWacdefmnprstw"
 #: What follows a value that is a share of data, and what stands before the number of a section.
 NOT_SCORE = r"(?i)^\s*%?\s*(?:of|for)\s+(?:the\s+)?(?:training|train|labeled|labelled|annotated|data|dataset|samples?|images?|labels?|parameters?|budget|compute|time|runtime)\b"
-SECTION_MARK = r"(?i)(?=[§s])(?:§|\bsection|\bsec\.?)\s*$"
+SECTION_MARK = r"(?=[§Ss])((?i:§|\bsection|\bsec\.?)\s*)"
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -145,14 +147,26 @@ def _spans(text: Column, pattern: str) -> Column:
     return _let(parts, spans)
 
 
+def _scored(reach: int) -> str:
+    """A metric's name and a value within ``reach`` characters of each other, as one search that holds the names once.
+
+    A value that stands before sets the empty group ``met``, else one has to follow. Groups are atomic, so spans are those
+    that a search for each pattern alone finds; the number of a section is marked by FOUND and none.
+    """
+    value = VALUE.replace(r"(?<![\w.])", rf"(?<![\w.{FOUND}])")
+    value, gap = rf"(?>{value})(?!{NOT_SCORE.replace('^', '')})", rf"(?s:.{{0,{reach}}})"
+    name = rf"(?=[{_METRIC_FIRST}])(?<!\w)(?:(?>{METRIC_ABBR})|(?>{METRIC_PHRASE}))"
+    return rf"(?=[\d{_METRIC_FIRST}])(?<!\w)(?:{value}{gap}(?<met>))?{name}(?:\k<met>|(?={gap}{value}))"
+
+
 def scored_value(sentence: Column, reach: int = 40) -> Column:
     """True if a value stands within ``reach`` characters of a metric's name and is neither a section's number nor a share of data.
 
     The distance is that between two spans, so a value may stand on either side; numbers that are left out are left out
     one by one. Sentences are short; a text of any length should be cut into sentences first.
     """
-    values = F.filter(_spans(sentence, VALUE), lambda v: ~v["before"].rlike(SECTION_MARK) & ~v["after"].rlike(NOT_SCORE))
-    names = F.concat(_spans(sentence, METRIC_ABBR), _spans(sentence, METRIC_PHRASE))
-    near = lambda v, m: ((v["lo"] >= m["hi"]) & (v["lo"] - m["hi"] <= reach)) | ((m["lo"] >= v["hi"]) & (m["lo"] - v["hi"] <= reach))
-    met = lambda vs: F.when(F.size(vs) > 0, _let(names, lambda ms: F.exists(vs, lambda v: F.exists(ms, lambda m: near(v, m)))))
-    return F.coalesce(_let(values, met), F.lit(False))
+    may = F.lit(False)
+    for mark in ("§", "ec", "EC", "Ec", "eC"):  # a plain search, by which most sentences pass
+        may |= F.contains(sentence, F.lit(mark))
+    marked = F.regexp_replace(sentence, rf"{SECTION_MARK}(?={VALUE})\d", f"$1{FOUND}")
+    return F.coalesce(F.when(may, marked).otherwise(sentence).rlike(_scored(reach)), F.lit(False))
