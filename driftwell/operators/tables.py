@@ -145,8 +145,7 @@ def author_metrics(cells: DataFrame, sents: DataFrame, papers: DataFrame, id_col
     p = papers.select(id_col, "method", "benchmarks").where("method <> ''")
     s = sents.select(id_col, "sentence").where(F.length("sentence") <= 600).join(p, id_col).where(F.regexp_like("sentence", _as_word(F.col("method"))))
     s = s.withColumn("_b", _named(F.array("sentence"), F.col("benchmarks"))).where("size(_b) = 1")
-    phrase = N.METRIC_PHRASE.removeprefix(r"(?i)\b(").removesuffix(r")\b")
-    forms = {rf"(?i)^(.*?)\b({phrase})\s+(?:of|at|=|:)\s*(\d+(?:\.\d+)?)\s?%": (2, 3), rf"(?i)^(.*?)\b(\d+(?:\.\d+)?)\s?%\s+({phrase})\b": (3, 2)}
+    forms = {rf"(?i)^(.*?)\b({N.METRIC_WORDS})\s+(?:of|at|=|:)\s*(\d+(?:\.\d+)?)\s?%": (2, 3), rf"(?i)^(.*?)\b(\d+(?:\.\d+)?)\s?%\s+({N.METRIC_WORDS})\b": (3, 2)}
     told = []
     for pattern, (m, v) in forms.items():
         told.append(s.select(id_col, "method", F.col("_b")[0].alias("bench"), "sentence", *[F.regexp_extract("sentence", pattern, k).alias(n) for k, n in ((1, "before"), (m, "metric"), (v, "said"))]))
