@@ -7,6 +7,8 @@ document's tables are groups of their own.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,19 +72,17 @@ def row_blocks(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
     group row whose next row continues it. Inner headings carry the outer one's name.
     """
     order = _by_table(id_col).orderBy("row")
-    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
-    body = rows.where("not is_header")
-    first, rest = F.trim(F.get("cells", F.lit(0))), F.transform(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))), F.trim)
-    same = F.forall(rest, lambda c: (c == "") | (c == first))
-    absent = F.forall(rest, lambda c: c.rlike(NO_VALUE))
-    plain = (first != "") & first.rlike(NAME) & (F.size(rest) > 0) & (same | absent)
-    label = F.get(rest, F.lit(0))
-    body = body.withColumn("_plain", plain).withColumn("_wide", plain & same)
-    below = F.first(F.when(~F.col("is_group"), first), ignorenulls=True).over(after)
-    inner = F.col("is_group") & ~F.col("_plain") & F.forall(rest, lambda c: c == label) & label.rlike(NAME) & ~label.rlike(NO_VALUE)
-    named = inner & (first != "") & ((below == "") | (below == first))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    body = rows.where("not is_header").withColumn("_first", F.trim(F.get("cells", F.lit(0))))
+    first, label, rest = F.col("_first"), F.trim(F.get("cells", F.lit(1))), F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))  # a search ends at the first cell that differs
+    body = body.withColumn("_same", F.forall(rest, lambda c: (F.trim(c) == "") | (F.trim(c) == first)))
+    absent = F.forall(rest, lambda c: F.trim(c).rlike(NO_VALUE))
+    body = body.withColumn("_plain", (first != "") & first.rlike(NAME) & (F.size("cells") > 1) & (F.col("_same") | absent)).withColumn("_wide", F.col("_plain") & F.col("_same"))
+    inner = F.col("is_group") & ~F.col("_plain") & F.forall(rest, lambda c: F.trim(c) == label) & label.rlike(NAME) & ~label.rlike(NO_VALUE)
+    body = body.withColumn("_inner", inner).withColumn("_line", F.when(~F.col("is_group"), first))
+    body = body.withColumn("_below", F.expr(f"lead(_line) ignore nulls over (partition by `{id_col}`, table_id order by row)"))
+    named = F.col("_inner") & (first != "") & ((F.col("_below") == "") | (F.col("_below") == first))
     tidy = F.regexp_replace(model_label(first), r"(?<=\w)- (?=\w)", "-")
-    body = body.withColumn("_below", below).withColumn("_inner", inner)
     body = body.withColumn("_outer", F.last(F.when(F.col("_wide"), model_label(first)).when(named, tidy), ignorenulls=True).over(upto))
     goes_on = F.col("_inner") & ((F.col("_below") == "") | (F.col("_below") == F.when(first != "", first).otherwise(F.coalesce("_outer", F.lit("")))))
     body = body.withColumn("is_block", F.col("_plain") | F.coalesce(goes_on, F.lit(False)))
@@ -103,19 +103,15 @@ def column_paths(rows: DataFrame, id_col: str = "page_id", keep: tuple = ()) ->
 
 def row_labels(body: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Adds ``label``: the cells before the first value, equal neighbours once; marks of settings only where they tell rows apart."""
-    kind = "struct<done:boolean,full:array<string>>"
-
-    def step(s, c):
-        stop = s["done"] | N.is_numeric(c) | N.is_missing(c)
-        new = (c != "") & ((F.size(s["full"]) == 0) | (F.try_element_at(s["full"], F.lit(-1)) != c) | c.isin(*MARKS))
-        return F.struct(stop.alias("done"), F.when(~stop & new, F.concat(s["full"], F.array(c))).otherwise(s["full"]).alias("full")).cast(kind)
-
-    full = F.aggregate("cells", F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("full")).cast(kind), step)["full"]
-    body = body.withColumn("_full", full)
+    stop = F.array_position(F.transform("cells", lambda c: N.is_numeric(c) | N.is_missing(c)), True)
+    before = N._let(stop, lambda k: F.when(k == 0, F.col("cells")).otherwise(F.slice("cells", F.lit(1), (k - 1).cast("int"))))
+    body = body.withColumn("_said", F.filter(before, lambda c: c != ""))
+    new = lambda c, i: (i == 0) | (F.get("_said", i - 1) != c) | c.isin(*MARKS)
+    body = body.withColumn("_full", F.when(F.size("_said") > 1, F.filter("_said", new)).otherwise(F.col("_said")))
     body = body.withColumn("_bare", F.array_join(F.filter("_full", lambda c: ~c.isin(*MARKS)), " "))
     alike = F.count("*").over(Window.partitionBy(id_col, "table_id", "_bare"))
     label = F.when((F.col("_bare") == "") | (alike > 1), F.array_join("_full", " ")).otherwise(F.col("_bare"))
-    return body.withColumn("label", label).drop("_full", "_bare")
+    return body.withColumn("label", label).drop("_said", "_full", "_bare")
 
 
 def _as_word(name: Column) -> Column:
@@ -123,6 +119,11 @@ def _as_word(name: Column) -> Column:
     return F.concat(F.lit(r"(?i)(?<![\w-])\Q"), F.regexp_replace(name, r"\\E", ""), F.lit(r"\E(?![\w-])"))
 
 
+def _folded(name: Column) -> Column:
+    """A text with its letters A to Z small, as patterns without case compare it; for a plain search before a pattern's."""
+    return F.translate(name, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def _is_name(text: Column, name: Column) -> Column:
     return F.lower(F.trim(text)) == F.lower(F.trim(name))
 
@@ -217,6 +218,7 @@ def _tables(rows: DataFrame, papers: DataFrame, id_col: str, told: bool) -> Data
     over = F.when((F.regexp_count("caption", F.lit(r"(?i)\baveraged\s+over\b")) == 1) & (times > 0), times)
     benches = F.filter("benchmarks", lambda b: F.regexp_like("caption", F.concat(F.lit(r"(?i)(?<![\w-])\Q"), b, F.lit(r"\E benchmark\b"))))
     t = t.select("*", with_own.alias("_with_own"), captioned.alias("_captioned"), N.only_metric(F.col("caption")).alias("_m"), F.transform(F.concat(*percent), N.metric_path_key).alias("_units"), over.alias("averaged_over"), benches.alias("_b"))
+    t = t.withColumn("_way", N.metric_direction(F.col("_m"))).withColumn("_low", F.transform("benchmarks", lambda b: _folded(F.regexp_replace(b, r"\\E", ""))))
 
     def column(p: Column) -> Column:
         joined = F.array_join(p, " / ")
@@ -226,20 +228,26 @@ def _tables(rows: DataFrame, papers: DataFrame, id_col: str, told: bool) -> Data
         names = lambda x: F.when(straight, _named(x, F.col("benchmarks")))
         said = [] if told else [F.when(straight, F.transform("benchmarks", lambda b: _as_read(p, b, None, F.col("_m"), F.col("_units")))).alias("said")]
         turned = F.when(~straight, F.struct(model.alias("model"), own.alias("own"), joined.contains("%").alias("percent")))
-        return F.struct(p.alias("path"), names(p).alias("each"), names(F.array(joined)).alias("whole"), turned.alias("turned"), *said)
+        ratio = F.when(straight, F.exists(p, lambda x: x.rlike(r"(?i)pass@\d+\s*=\s*\d+\s*/\s*\d+")))
+        return F.struct(p.alias("path"), names(p).alias("each"), names(F.array(joined)).alias("whole"), ratio.alias("ratio"), turned.alias("turned"), *said)
 
     return t.withColumn("columns", F.transform("paths", column)).drop("paths")
 
 
-def _transposed(t: DataFrame, id_col: str) -> DataFrame:
-    """Results of tables whose columns are models and whose rows are the tasks of one benchmark."""
-    t = t.where("_turned and col > 0 and size(c.path) > 0 and size(_b) = 1 and _m is not null")
-    percent = F.col("c.turned.percent") | F.coalesce(F.array_contains("_units", F.col("_task.unit_key")), F.lit(False))
-    return t.select(
-        id_col, "table_id", "row", "col", F.col("_b")[0].alias("benchmark"), "_task.metric", N.metric_direction(F.col("_m")).alias("direction"), "value", "text", "c.turned.model", "c.turned.own",
-        F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("block"), "caption", F.lit(None).cast("int").alias("base_row"), F.lit("transposed").alias("orientation"), F.lit(False).alias("told"),
-        N.label_key(F.col("_b")[0]).alias("bench_key"), "_task.metric_key", percent.alias("_percent"), "averaged_over",
-    )
+def _labelled(label: Column) -> Column:
+    """A row by its name: the model, whether it is the paper's own, whether it stands for what it adds to the row above, and whether it is a result's."""
+
+    def own(x: Column) -> Column:
+        return F.struct(x.alias("label"), own_label(x, F.col("method")).alias("own"), (x.startswith("+") & F.col("_base").isNotNull()).alias("based"))
+
+    def model(x: Column) -> Column:
+        added = F.concat(F.col("_base"), F.lit(" + "), F.regexp_replace(x["label"], r"^[+ ]+", ""))
+        return F.struct(F.when(x["own"] & x["based"], added).otherwise(x["label"]).alias("model"), x["own"].alias("own"), x["based"].alias("based"))
+
+    def kept(x: Column) -> Column:
+        return F.struct(x["model"].alias("model"), x["own"].alias("own"), x["based"].alias("based"), (x["model"].rlike(r"[A-Za-z].*[A-Za-z]") & ~x["model"].rlike(DERIVED)).alias("kept"))
+
+    return N._let(N._let(N._let(label, own), model), kept)
 
 
 def table_results(rows: DataFrame, papers: DataFrame, sents: DataFrame | None = None, id_col: str = "page_id") -> DataFrame:
@@ -250,55 +258,59 @@ def table_results(rows: DataFrame, papers: DataFrame, sents: DataFrame | None =
     cell. A cell needs a metric: from its headers, from the caption for averages and for columns that only name the
     benchmark, or from the paper's own ``sents``. Ablation tables give nothing. A (row, benchmark, metric) that stands in
     two columns is dropped, both times; of columns under one heading an average replaces the others, and more than
-    ``MAX_COLUMNS_PER_KEY`` without one are categories. Tables with models as columns are read the other way round.
+    ``MAX_COLUMNS_PER_KEY`` without one are categories. Tables with models as columns are read the other way round: their
+    rows are the tasks of one benchmark.
 
-    What a caption or a column says is read once a table, what a label says once a row; cells only pick it. ``rows`` are
-    read twice, so cut them first where they are dear.
+    What a caption or a column says is read once a table, what a label says once a row; cells of both kinds of tables go the
+    same way and only pick it. ``rows`` are read twice, so cut them first where they are dear.
     """
     t = row_labels(row_blocks(rows, id_col), id_col).drop("caption").join(_tables(rows, papers, id_col, sents is not None).hint("merge"), [id_col, "table_id"])  # both sides grow
     t = t.withColumn("_turned", F.col("_with_own") & F.min(F.col("label").rlike(r"(?i)^(?:Task \d+|Average|Avg\.?|Mean)$")).over(_by_table(id_col)))
     above = F.lag(F.struct("label", "block_id", "is_block")).over(_by_table(id_col).orderBy("row"))
     based = ~above["is_block"] & above["block_id"].eqNullSafe(F.col("block_id")) & ~above["label"].rlike(r"^\+") & above["label"].rlike(r"[A-Za-z].*[A-Za-z]") & ~above["label"].rlike("^" + MEAN)
-    t = t.withColumn("_base", F.when(based, model_label(above["label"]))).where("not is_block")
+    straight, turned = ~F.col("_with_own"), F.col("_turned") & (F.size("_b") == 1) & F.col("_m").isNotNull()
+    t = t.withColumn("_base", F.when(based, model_label(above["label"]))).where("not is_block").where(straight | turned)
     cited = lambda b: F.regexp_like("label", F.concat(F.lit(r"(?i)^\s*\Q"), b, F.lit(r"\E" + CITED + r"\s*$")))
     by_row = N._let(_named(F.array("label"), F.col("benchmarks")), lambda n: F.struct(n.alias("all"), F.filter(n, lambda b: ~cited(b)).alias("own")))
+    empty = F.array().cast("array<string>")
+    may = N._let(_folded(F.col("label")), lambda l: F.exists("_low", lambda b: F.contains(l, b)))  # most rows name none, and a pattern of a column is made anew each time
+    by_row = F.when(may, by_row).otherwise(F.struct(empty.alias("all"), empty.alias("own")))
     plain = N._let(collapse(F.col("label")), lambda c: model_label(F.when(c != "", c).otherwise(F.col("label"))))
     task = lambda m: F.struct(m.alias("metric"), N.metric_path_key(m).alias("metric_key"), N.metric_path_key(N.only_metric(m)).alias("unit_key"))
-    straight, turned = ~F.col("_with_own"), F.col("_turned") & (F.size("_b") == 1) & F.col("_m").isNotNull()
     t = t.select(
-        "*", F.when(straight, by_row).alias("_by_row"), F.when(straight, plain).alias("_plain"), F.when(turned, N._let(F.concat_ws(" / ", "_m", "label"), task)).alias("_task"),
+        "*", F.when(straight, by_row).alias("_by_row"), F.when(straight, _labelled(plain)).alias("_plain"), F.when(turned, N._let(F.concat_ws(" / ", "_m", "label"), task)).alias("_task"),
         F.arrays_zip(F.col("cells").alias("text"), F.col("columns").alias("c")).alias("_cells"),
     ).drop("cells", "columns")
     cell = t.select("*", F.posexplode("_cells").alias("col", "_cell")).drop("_cells").select("*", F.col("_cell")["text"].alias("text"), F.col("_cell")["c"].alias("c")).drop("_cell")
-    cell = cell.withColumn("value", cell_number(F.col("text"))).where("value is not null")
-    turned = _transposed(cell, id_col)
-    cell = cell.where("not _with_own and size(c.path) > 0").where(~F.exists("c.path", lambda p: p.rlike(r"(?i)pass@\d+\s*=\s*\d+\s*/\s*\d+")))
+    cell = cell.withColumn("value", cell_number(F.col("text"))).where("value is not null and size(c.path) > 0")
     bench = F.coalesce(F.get("c.each", F.lit(0)), F.get("_by_row.own", F.lit(0)), F.when(F.size("_captioned") == 1, F.col("_captioned")[0]))
-    cell = cell.withColumn("bench", bench).where(F.col("bench").isNotNull() & (F.size(F.array_union("c.whole", "_by_row.own")) <= 1))
+    cell = cell.withColumn("bench", F.when(straight, bench).otherwise(F.col("_b")[0]))
+    cell = cell.where(F.when(straight, ~F.col("c.ratio") & F.col("bench").isNotNull() & ((F.size("c.whole") <= 1) & (F.size("_by_row.own") == 0) | (F.size(F.array_union("c.whole", "_by_row.own")) <= 1))).otherwise(F.col("col") > 0))
     if sents is not None:
-        cell = cell.withColumn("path", F.col("c.path")).withColumn("own", own_label(F.col("label"), F.col("method")))
-        cell = cell.join(author_metrics(cell, sents, papers, id_col), [id_col, "table_id", "col"], "left")
-        said = _as_read(F.col("path"), F.col("bench"), F.col("told"), F.col("_m"), F.col("_units"))
+        own = own_label(F.col("label"), F.col("method"))
+        cell = cell.join(author_metrics(cell.where(straight).withColumn("path", F.col("c.path")).withColumn("own", own), sents, papers, id_col), [id_col, "table_id", "col"], "left")
+        said = _as_read(F.col("c.path"), F.col("bench"), F.col("told"), F.col("_m"), F.col("_units"))
     else:
         cell = cell.withColumn("told", F.lit(None).cast("string"))
         said = F.get(F.col("c.said"), F.array_position("benchmarks", F.col("bench")).cast("int") - 1)
-    cell = cell.withColumn("_said", said).where("_said is not null")
     bare = N._let(collapse(F.regexp_replace(F.col("label"), _as_word(F.col("bench")), "")), lambda c: model_label(F.when(c != "", c).otherwise(F.col("label"))))
-    cell = cell.withColumn("model", F.when(F.array_contains("_by_row.all", F.col("bench")), bare).otherwise(F.col("_plain")))
-    cell = cell.withColumn("own", own_label(F.col("model"), F.col("method")))
-    plus = F.col("own") & F.col("model").startswith("+") & F.col("_base").isNotNull()
-    cell = cell.withColumn("base_row", F.when(F.col("model").startswith("+") & F.col("_base").isNotNull(), F.col("row") - 1))
-    cell = cell.withColumn("model", F.when(plus, F.concat(F.col("_base"), F.lit(" + "), F.regexp_replace("model", r"^[+ ]+", ""))).otherwise(F.col("model")))
-    cell = cell.where(F.col("model").rlike(r"[A-Za-z].*[A-Za-z]") & ~F.col("model").rlike(DERIVED))
-    straight = cell.select(
-        id_col, "table_id", "row", "col", F.col("bench").alias("benchmark"), "_said.metric", "_said.direction", "value", "text", "model", "own", "block_id", "block", "caption", "base_row",
-        F.lit("rows").alias("orientation"), F.col("told").isNotNull().alias("told"), "_said.bench_key", "_said.metric_key", F.col("_said.percent").alias("_percent"), "averaged_over", F.col("_said.parent").alias("_parent"), F.col("_said.mean").alias("_mean"),
+    name = F.when(F.array_contains("_by_row.all", F.col("bench")), _labelled(bare)).otherwise(F.col("_plain"))
+    cell = cell.withColumn("_said", F.when(straight, said)).withColumn("_name", F.when(straight, name)).where(F.when(straight, F.col("_said").isNotNull() & F.col("_name.kept")).otherwise(True))
+    either = lambda a, b: F.when(straight, F.col(a)).otherwise(b if isinstance(b, Column) else F.col(b))
+    none = F.lit(None)
+    percent = F.col("c.turned.percent") | F.coalesce(F.array_contains("_units", F.col("_task.unit_key")), F.lit(False))
+    out = cell.select(
+        id_col, "table_id", "row", "col", F.col("bench").alias("benchmark"), either("_said.metric", "_task.metric").alias("metric"), either("_said.direction", "_way").alias("direction"), "value", "text",
+        either("_name.model", "c.turned.model").alias("model"), either("_name.own", "c.turned.own").alias("own"), either("block_id", none).alias("block_id"), either("block", none).alias("block"), "caption",
+        F.when(F.col("_name.based"), F.col("row") - 1).alias("base_row"), F.when(straight, "rows").otherwise("transposed").alias("orientation"), F.col("told").isNotNull().alias("told"),
+        either("_said.bench_key", N.label_key(F.col("bench"))).alias("bench_key"), either("_said.metric_key", "_task.metric_key").alias("metric_key"), either("_said.percent", percent).alias("_percent"), "averaged_over",
+        F.col("_said.parent").alias("_parent"), F.col("_said.mean").alias("_mean"), straight.alias("_straight"),
     )
     group = Window.partitionBy(id_col, "table_id", "benchmark", "_parent")
-    straight = straight.withColumn("_means", F.max("_mean").over(group)).withColumn("_columns", F.size(F.collect_set("col").over(group)))
+    out = out.withColumn("_means", F.max("_mean").over(group)).withColumn("_columns", F.size(F.collect_set("col").over(group)))
     once = F.count("*").over(Window.partitionBy(id_col, "table_id", "row", "benchmark", "metric_key")) == 1
-    straight = straight.withColumn("_once", once).where("_once").where((F.col("_parent") == "") | F.when(F.col("_means"), F.col("_mean")).otherwise(F.col("_columns") <= MAX_COLUMNS_PER_KEY))
-    out = straight.drop("_parent", "_mean", "_means", "_columns", "_once").unionByName(turned)
+    alone = F.col("_once") & ((F.col("_parent") == "") | F.when(F.col("_means"), F.col("_mean")).otherwise(F.col("_columns") <= MAX_COLUMNS_PER_KEY))
+    out = out.withColumn("_once", once).where(~F.col("_straight") | alone).drop("_parent", "_mean", "_means", "_columns", "_once", "_straight")
     unit = F.when(F.col("_percent") | F.col("text").contains("%"), "%")
     return out.select("*", unit.alias("unit"), F.format_string("t%d.r%d.c%d", "table_id", "row", "col").alias("locator")).drop("_percent")
 

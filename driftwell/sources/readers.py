@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -94,8 +95,11 @@ def markdown_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return r.withColumn("value", cell_number(F.col("text")))
 
 
-#: A tag of a table without attributes, as most are.
-PLAIN_TAG = re.compile("<(t[dhr]|table|thead|tbody|tfoot|caption)>")
+#: What stands inside a tag as most are written, attributes as one text: HTMLParser reads it alike. White space is that of HTML.
+TAG = re.compile(r"""/([a-zA-Z][a-zA-Z0-9]*)|([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n\r\f]+[a-zA-Z][a-zA-Z-]*(?:=(?:"[^"<>&]*"|'[^'<>&]*'|[^ \t\n\r\f"'=<>`&/]+))?)*)[ \t\n\r\f]*""")
+ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z-]*)(?:=("[^"]*"|'[^']*'|[^ \t\n\r\f"'=<>`&/]+))?""")
+#: Elements whose content is no markup.
+TEXT_ONLY = frozenset("script style xmp iframe noembed noframes noscript textarea title plaintext".split())
 
 
 class _Tables(HTMLParser):
@@ -108,12 +112,32 @@ class _Tables(HTMLParser):
         self.into: list | None = None
         self.formula = False
 
-    def parse_starttag(self, i):
-        plain = PLAIN_TAG.match(self.rawdata, i)
-        if not plain:
-            return super().parse_starttag(i)
-        self.handle_starttag(plain[1], ())
-        return plain.end()
+    def read(self, page: str) -> None:
+        """The whole page: cut at once at its tags as long as they are written as most are, the rest by HTMLParser."""
+        first, *pieces = page.split("<")
+        at, row = len(first), None  # the cells of the row that is open, None if a tag has to look for it
+        for piece in pieces:
+            tag, end, said = piece.partition(">")
+            if "&" in said:
+                said = unescape(said)
+            if row is not None and end and (tag == "td" or tag == "th"):  # most cells
+                self.into = [said, 1, 1, tag == "th"]
+                row.append(self.into)
+            else:
+                m = TAG.fullmatch(tag) if end else None
+                name = m and (m[1] or m[2]).lower()
+                if not m or name in TEXT_ONLY:
+                    self.feed(page[at:])
+                    break
+                if m[1]:
+                    self.handle_endtag(name)
+                else:
+                    self.handle_starttag(name, [(k.lower(), v[1:-1] if v[:1] in "\"'" else v) if v else (k.lower(), None) for k, v in ATTRIBUTE.findall(m[3])] if m[3] else ())
+                if said:
+                    self.handle_data(said)
+                row = self.open[-1]["rows"][-1][2] if self.open and self.open[-1]["rows"] and not self.formula else None
+            at += len(piece) + 1
+        self.close()
 
     def updatepos(self, i, j):
         """Lines are not counted: nothing asks where a tag stands."""
@@ -123,15 +147,11 @@ class _Tables(HTMLParser):
         if self.formula:
             return
         t = self.open[-1] if self.open else None
-        if t and not attrs and tag in ("td", "th") and t["rows"]:  # most cells
-            self.into = ["", 1, 1, tag == "th"]
-            t["rows"][-1][2].append(self.into)
-            return
         a = dict(attrs)
         if tag == "table":
             if t:
                 t["broken"] |= self.into is not None and self.into is not t["caption"]  # numbers of an inner table belong to no cell
-            t = {"rows": [], "caption": ["", 1, 1, False], "part": ("", 0), "broken": False}
+            t = {"rows": [], "caption": ["", 1, 1, False], "part": ("", 0), "broken": False, "spread": set()}
             self.tables.append(t)
             self.open.append(t)
             self.into = None
@@ -151,6 +171,8 @@ class _Tables(HTMLParser):
             t["broken"] |= not all(x.isascii() and x.isdigit() and len(x) < 5 for x in spans) or spans[1] == "0"
             self.into = ["", *(int(x) if x.isascii() and x.isdigit() else 1 for x in spans), heading]
             t["rows"][-1][2].append(self.into)
+            if self.into[1:3] != [1, 1]:
+                t["spread"].add(len(t["rows"]) - 1)
         elif tag == "caption":
             self.into = t["caption"]
         elif tag == "math" and self.into is not None and a.get("alttext"):
@@ -192,39 +214,48 @@ def grids(html: str | None) -> list[tuple]:
     headings. Tables that spans make larger than MAX_GRID cells, that overlap or that are broken give nothing.
     """
     p, out = _Tables(), []
-    p.feed(html or "")
-    p.close()
-    clean = lambda x: " ".join(x.split())
+    p.read(html or "")
     for k, t in enumerate(p.tables):
-        held: dict[tuple[int, int], str] = {}
-        width, rows, broken = 0, t["rows"], t["broken"] or t in p.open
+        if t["broken"] or t in p.open:
+            continue
+        held: dict[int, dict[int, str]] = {}  # cells of rows that spans reach; the others are their own
+        width, rows, broken, last = 0, t["rows"], False, 0
+        owns = [[" ".join(x[0].split()) for x in cells] for _, _, cells in rows]
         for r, (_, part, cells) in enumerate(rows):
-            c, end = 0, r + 1
-            while end < len(rows) and rows[end][1] == part:
-                end += 1
-            for cell in cells:
-                while (r, c) in held:
-                    c += 1
-                if cell[1] == cell[2] == 1 and not broken and len(rows) * max(width, c + 1) <= MAX_GRID:  # free, as the search has found
-                    held[r, c] = clean(cell[0])
-                    c += 1
-                    width = max(width, c)
-                    continue
-                down = min(cell[1] or end - r, end - r)
-                width = max(width, c + cell[2])
-                if broken or len(rows) * width > MAX_GRID:
-                    broken = True
-                    break
-                for i in range(r, r + down):
-                    for j in range(c, c + cell[2]):
-                        broken |= (i, j) in held
-                        held[i, j] = clean(cell[0])
-                c += cell[2]
+            c = 0
+            if r not in t["spread"] and r not in held:
+                c = len(cells)
+                width = max(width, c)
+            else:
+                if last <= r:  # rows of one part lie together
+                    last = r + 1
+                    while last < len(rows) and rows[last][1] == part:
+                        last += 1
+                row = held.setdefault(r, {})
+                for cell, own in zip(cells, owns[r], strict=True):
+                    while c in row:
+                        c += 1
+                    down = min(cell[1] or last - r, last - r)
+                    width = max(width, c + cell[2])
+                    if len(rows) * width > MAX_GRID:
+                        break
+                    for i in range(r, r + down):
+                        to = held.setdefault(i, {})
+                        for j in range(c, c + cell[2]):
+                            broken |= j in to
+                            to[j] = own
+                    c += cell[2]
+            broken |= len(rows) * width > MAX_GRID
+            if broken:
+                break
         if broken or not width:
             continue
+        caption = " ".join(t["caption"][0].split())
         for r, (section, _, cells) in enumerate(rows):
-            heading = section == "thead" or bool(cells) and all(x[3] for x in cells)
-            out.append((k, clean(t["caption"][0]), r, [held.get((r, c), "") for c in range(width)], [clean(x[0]) for x in cells], [x[2] for x in cells], heading))
+            heading = section == "thead" or bool(cells) and cells[0][3] and all(x[3] for x in cells)
+            own = owns[r]
+            whole = [held[r].get(c, "") for c in range(width)] if r in held else own if len(own) == width else own + [""] * (width - len(own))
+            out.append((k, caption, r, whole, own, [x[2] for x in cells] if r in t["spread"] else [1] * len(own), heading))
     return out
 
 
