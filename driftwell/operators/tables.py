@@ -74,11 +74,12 @@ def row_blocks(rows: DataFrame, id_col: str = "page_id") -> DataFrame:
     order = _by_table(id_col).orderBy("row")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     body = rows.where("not is_header").withColumn("_first", F.trim(F.get("cells", F.lit(0))))
-    first, label, rest = F.col("_first"), F.trim(F.get("cells", F.lit(1))), F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))  # a search ends at the first cell that differs
-    body = body.withColumn("_same", F.forall(rest, lambda c: (F.trim(c) == "") | (F.trim(c) == first)))
-    absent = F.forall(rest, lambda c: F.trim(c).rlike(NO_VALUE))
-    body = body.withColumn("_plain", (first != "") & first.rlike(NAME) & (F.size("cells") > 1) & (F.col("_same") | absent)).withColumn("_wide", F.col("_plain") & F.col("_same"))
-    inner = F.col("is_group") & ~F.col("_plain") & F.forall(rest, lambda c: F.trim(c) == label) & label.rlike(NAME) & ~label.rlike(NO_VALUE)
+    body = body.withColumn("_rest", F.transform(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))), F.trim))
+    first, rest, label = F.col("_first"), F.col("_rest"), F.get("_rest", F.lit(0))
+    body = body.withColumn("_same", F.forall(rest, lambda c: (c == "") | (c == first)))
+    absent = F.forall(rest, lambda c: c.rlike(NO_VALUE))
+    body = body.withColumn("_plain", (first != "") & first.rlike(NAME) & (F.size(rest) > 0) & (F.col("_same") | absent)).withColumn("_wide", F.col("_plain") & F.col("_same"))
+    inner = F.col("is_group") & ~F.col("_plain") & F.forall(rest, lambda c: c == label) & label.rlike(NAME) & ~label.rlike(NO_VALUE)
     body = body.withColumn("_inner", inner).withColumn("_line", F.when(~F.col("is_group"), first))
     body = body.withColumn("_below", F.expr(f"lead(_line) ignore nulls over (partition by `{id_col}`, table_id order by row)"))
     named = F.col("_inner") & (first != "") & ((F.col("_below") == "") | (F.col("_below") == first))
@@ -277,12 +278,13 @@ def table_results(rows: DataFrame, papers: DataFrame, sents: DataFrame | None =
     by_row = F.when(may, by_row).otherwise(F.struct(empty.alias("all"), empty.alias("own")))
     plain = N._let(collapse(F.col("label")), lambda c: model_label(F.when(c != "", c).otherwise(F.col("label"))))
     task = lambda m: F.struct(m.alias("metric"), N.metric_path_key(m).alias("metric_key"), N.metric_path_key(N.only_metric(m)).alias("unit_key"))
+    number = lambda text, i: F.struct(i.alias("col"), text.alias("text"), F.get("columns", i).alias("c"), cell_number(text).alias("value"))  # noqa: E731  read once, before a cell is a row
     t = t.select(
         "*", F.when(straight, by_row).alias("_by_row"), F.when(straight, _labelled(plain)).alias("_plain"), F.when(turned, N._let(F.concat_ws(" / ", "_m", "label"), task)).alias("_task"),
-        F.arrays_zip(F.col("cells").alias("text"), F.col("columns").alias("c")).alias("_cells"),
+        F.filter(F.transform("cells", number), lambda x: x["value"].isNotNull()).alias("_cells"),
     ).drop("cells", "columns")
-    cell = t.select("*", F.posexplode("_cells").alias("col", "_cell")).drop("_cells").select("*", F.col("_cell")["text"].alias("text"), F.col("_cell")["c"].alias("c")).drop("_cell")
-    cell = cell.withColumn("value", cell_number(F.col("text"))).where("value is not null and size(c.path) > 0")
+    cell = t.select("*", F.posexplode_outer("_cells").alias("_at", "_cell")).drop("_cells", "_at").select("*", "_cell.*").drop("_cell")  # outer, as Spark would else make the array twice to see whether it is empty
+    cell = cell.where("value is not null and size(c.path) > 0")
     bench = F.coalesce(F.get("c.each", F.lit(0)), F.get("_by_row.own", F.lit(0)), F.when(F.size("_captioned") == 1, F.col("_captioned")[0]))
     cell = cell.withColumn("bench", F.when(straight, bench).otherwise(F.col("_b")[0]))
     cell = cell.where(F.when(straight, ~F.col("c.ratio") & F.col("bench").isNotNull() & ((F.size("c.whole") <= 1) & (F.size("_by_row.own") == 0) | (F.size(F.array_union("c.whole", "_by_row.own")) <= 1))).otherwise(F.col("col") > 0))
