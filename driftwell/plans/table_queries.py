@@ -77,7 +77,7 @@ SELECT a.page_id, m.best.locator AS locator, m.best.model AS model, m.best.value
 FROM a LEFT JOIN m USING (page_id) LEFT JOIN p USING (page_id)
   LEFT JOIN LATERAL (SELECT max(x.best.value) AS value FROM m x WHERE x.metric_key = m.metric_key AND x.page_id <> m.page_id) o ON true""")
 def document_analysis(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages = cut(_pages(spark, sf_dir))  # parsed once, and asked for by papers more than once
     papers, rows = _papers(pages), cut(tables.bands(readers.table_rows(pages)))
     a = analysis.analyse(papers, rows, tables.table_results(rows, papers))
     return a.select("page_id", "locator", "model", "value", "n_peers", "best_peer", "standing", "reason")
